@@ -10,7 +10,7 @@ from sightline.functions.geometry import distance
 from sightline.functions.labels import hit, pixel_error
 from sightline.operators.frames import positives
 from sightline.operators.ordering import (
-    attach_scalars, counted_cells, salted_join, value_ranked, values_at_ranks, with_medians)
+    counted_cells, salted_join, value_ranked, values_at_ranks, with_constants, with_medians)
 from sightline.operators.strata import with_residual
 
 INLIER_ERR_PX = 5.0
@@ -59,7 +59,7 @@ def transfer_bias(
     """Derive the offset on one split and compare hit rates on others."""
     offset = bias_offset(per_frame.filter(F.col("split") == derive_on), [], estimator).select(
         "offset_x", "offset_y")
-    target = attach_scalars(per_frame.filter(F.col("split").isin(*apply_to)), offset)
+    target = with_constants(per_frame.filter(F.col("split").isin(*apply_to)), offset)
     return _hit_rates(target, ["split"], tolerance)
 
 
@@ -69,7 +69,7 @@ def _offsets_of_others_mean(inliers: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.sum("dx").alias("_sx"), F.sum("dy").alias("_sy"))
     grand = own.agg(F.sum("_n").alias("_all_n"), F.sum("_sx").alias("_all_x"), F.sum("_sy").alias("_all_y"))
     others = F.col("_all_n") - F.col("_n")
-    return attach_scalars(own, grand).select(
+    return with_constants(own, grand).select(
         "dive_id",
         F.when(others > 0, (F.col("_all_x") - F.col("_sx")) / others).alias("offset_x"),
         F.when(others > 0, (F.col("_all_y") - F.col("_sy")) / others).alias("offset_y"))
@@ -120,7 +120,7 @@ def leave_one_out(
     pooled = bias_offset(per_frame, [], estimator, max_err).select(
         F.col("offset_x").alias("_all_x"), F.col("offset_y").alias("_all_y"))
     known = inliers.select("dive_id").distinct().withColumn("_own", F.lit(True))
-    filled = attach_scalars(joined.join(known, "dive_id", "left"), pooled)
+    filled = with_constants(joined.join(known, "dive_id", "left"), pooled)
     for axis in "xy":
         filled = filled.withColumn(f"offset_{axis}", F.when(
             F.col("_own"), F.col(f"offset_{axis}")).otherwise(F.col(f"_all_{axis}")))

@@ -11,7 +11,7 @@ from sightline.functions.labels import BORDERLINE_MAX_PX, INF, MID_MAX_PX, error
 from sightline.operators.calibrate import bias_offset
 from sightline.operators.frames import positives
 from sightline.operators.metrics import core_metrics, roc_points
-from sightline.operators.ordering import attach_scalars, exact_quantiles, join_null_safe
+from sightline.operators.ordering import attach_scalars, exact_quantiles, join_null_safe, with_constants
 from sightline.operators.peaks import sigmoid
 
 
@@ -107,7 +107,7 @@ def outlying_dives(per_dive: DataFrame, sigmas: float = 2.0) -> DataFrame:
     stats = per_dive.agg(F.stddev_pop("hit_rate_n3").alias("_sd"))
     middle = exact_quantiles(per_dive, [], {"_median": ("hit_rate_n3", 0.5)})
     return (
-        attach_scalars(attach_scalars(per_dive, stats), middle)
+        with_constants(per_dive, attach_scalars(stats, middle))
         .filter(F.col("hit_rate_n3") < F.col("_median") - F.lit(float(sigmas)) * F.col("_sd"))
         .drop("_sd", "_median")
     )

@@ -15,7 +15,8 @@ from sightline.functions.labels import hit, pixel_error, quartile_label
 from sightline.operators.frames import join_predictions
 from sightline.operators.ordering import (
     attach_scalars, class_counts_at_or_above, exact_medians, exact_quantiles, join_null_safe,
-    rank_sums)
+    rank_sums, with_constants)
+from sightline.session import cut_lineage
 
 TOLERANCES_PX = (3, 4)
 MIN_FOR_QUARTILES = 4
@@ -39,9 +40,10 @@ def with_quartile(
 ) -> DataFrame:
     """Label each row with the (lo, hi] quartile bin of ``population``.
 
-    With fewer than ``minimum`` known values there are no bins: all null.
+    With fewer than ``minimum`` known values there are no bins: all null.  The
+    three edges are read by one job.
     """
-    both = attach_scalars(df, quartile_edges(population, value, "_edge"))
+    both = with_constants(df, quartile_edges(population, value, "_edge"))
     label = quartile_label(F.col(value), F.col("_edge1"), F.col("_edge2"), F.col("_edge3"), names, missing)
     if minimum:
         label = F.when(F.col("_edge_n") >= minimum, label)
@@ -56,22 +58,21 @@ def auroc(df: DataFrame, keys: Sequence[str], score: str, is_positive: Column) -
     return sums.select(*keys, F.when((p > 0) & (n > 0), u / (p * n)).alias("presence_auroc"))
 
 
-def core_metrics(
-    per_frame: DataFrame,
-    keys: Sequence[str] = (),
-    presence_threshold: float = 0.5,
-    tolerances_px: Sequence[float] = TOLERANCES_PX,
-) -> DataFrame:
-    """One row per group with all metrics; those without their class are null.
+def scored_rows(per_frame: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The columns metrics need: ``is_positive``, ``_conf`` (null is 0) and ``_err``.
 
-    A missing prediction on a positive is a miss but has no pixel error; a
-    missing confidence is zero.
+    ``_err`` is null for negatives and for positives without a prediction.
     """
-    keys = list(keys)
-    rows = per_frame.select(
-        *keys, "is_positive",
+    return per_frame.select(
+        *keep, "is_positive",
         F.coalesce("pred_confidence", F.lit(0.0)).alias("_conf"),
         F.when(F.col("is_positive"), pixel_error()).alias("_err"))
+
+
+def metrics_of_rows(
+    rows: DataFrame, keys: Sequence[str], presence_threshold: float, tolerances_px: Sequence[float]
+) -> DataFrame:
+    """Metrics of :func:`scored_rows` per group: sums, medians and AUROC side by side."""
     pos, err = F.col("is_positive"), F.col("_err")
     called = (F.col("_conf") >= presence_threshold).cast("double")
     summary = rows.groupBy(*keys).agg(
@@ -91,6 +92,22 @@ def core_metrics(
     return join_null_safe(join_null_safe(summary, medians, keys), areas, keys)
 
 
+def core_metrics(
+    per_frame: DataFrame,
+    keys: Sequence[str] = (),
+    presence_threshold: float = 0.5,
+    tolerances_px: Sequence[float] = TOLERANCES_PX,
+) -> DataFrame:
+    """One row per group with all metrics; those without their class are null.
+
+    A missing prediction on a positive is a miss but has no pixel error; a
+    missing confidence is zero.  The rows are read three times (sums, errors,
+    scores): materialise an expensive join first, as :func:`evaluate` does.
+    """
+    keys = list(keys)
+    return metrics_of_rows(scored_rows(per_frame, keys), keys, presence_threshold, tolerances_px)
+
+
 def as_long(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, metric, value) without absent metrics."""
     names = [c for c in wide.columns if c not in keys]
@@ -116,12 +133,16 @@ def evaluate_joined(
     """Metrics of joined frames as (slice, metric, value).
 
     Line quartiles are taken over all joined frames and need four known values.
+    The five columns the metrics use are written to the checkpoint folder once,
+    so the joins behind them run once and not per metric (runs two jobs).
     """
+    rows = cut_lineage(scored_rows(per_frame, ["wavelength", "line_confidence"]))
     binned = with_quartile(
-        per_frame, per_frame, "line_confidence", "_q", missing=None, minimum=MIN_FOR_QUARTILES)
-    sliced = binned.withColumn("slice", F.explode(slice_names(F.col("wavelength"), F.col("_q"))))
-    wide = core_metrics(sliced, ["slice"], presence_threshold, tolerances_px)
-    return as_long(wide, ["slice"])
+        rows, rows, "line_confidence", "_q", missing=None, minimum=MIN_FOR_QUARTILES)
+    sliced = binned.select(
+        F.explode(slice_names(F.col("wavelength"), F.col("_q"))).alias("slice"),
+        "is_positive", "_conf", "_err")
+    return as_long(metrics_of_rows(sliced, ["slice"], presence_threshold, tolerances_px), ["slice"])
 
 
 def evaluate(

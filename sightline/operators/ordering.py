@@ -180,14 +180,13 @@ def running_weight(
     token: Column,
     ties: Sequence[str],
     before: str = "weight_before",
-    total: str = "weight_total",
 ) -> DataFrame:
     """Cumulative weight before each row along the token order, over all rows."""
     rows = df.withColumn("_token", token).withColumn(
         "_bucket", F.substring("_token", 1, TOKEN_SLICE_DIGITS))
     sums = rows.groupBy("_bucket").agg(F.sum(weight).alias("w"))
     offsets = _bucket_offsets(sums, [], "_bucket", ["w"]).select(
-        "_bucket", F.col("before_w").alias("_before"), F.col("total_w").alias(total))
+        "_bucket", F.col("before_w").alias("_before"))
     inside = Window.partitionBy("_bucket").orderBy("_token", *ties).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (
@@ -297,8 +296,27 @@ def with_medians(
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row frame as scalar subqueries (no join)."""
-    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
+    """Add the columns of a one-row frame through one scalar subquery (no join).
+
+    The row travels as a struct: a subquery per column would plan and run the
+    whole of ``one_row`` once per column.
+    """
+    packed = one_row.select(F.struct(*one_row.columns)).scalar()
+    return df.withColumn("_one", packed).select(
+        *df.columns, *[F.col(f"_one.{c}").alias(c) for c in one_row.columns])
+
+
+def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame as literals (runs a job returning that row).
+
+    For facts about a whole table that every row of another needs: quartile
+    edges, totals, offsets.  A literal keeps the following plans small and lets
+    Catalyst fold and push it; an empty frame gives nulls.
+    """
+    row = one_row.limit(1).collect()
+    values = row[0].asDict() if row else {}
+    return df.select("*", *[
+        F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in one_row.schema.fields])
 
 
 def counted_cells(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sightline.functions.hashing import token, uniform
 from sightline.operators.frames import keep_members, positives
 from sightline.operators.ordering import (
-    attach_scalars, exact_quantiles, first_n, running_weight, token_ranked)
+    exact_quantiles, first_n, running_weight, token_ranked, with_constants)
 
 # Fixed value: lowest weight of a negative, so that none is lost for good.
 HARDNESS_FLOOR = 1e-3
@@ -55,7 +55,7 @@ def proportional_subsample(records: DataFrame, n: int, seed: int = 0) -> DataFra
         records.withColumn("_pos", is_pos), ["_pos"], token(seed, "image_id"), ["image_id"], "_r")
     counts = records.agg(
         F.count(F.lit(1)).alias("_all"), F.count_if(is_pos).alias("_npos"))
-    sized = attach_scalars(ranked, counts)
+    sized = with_constants(ranked, counts)
     total, n_pos_all = F.col("_all"), F.col("_npos")
     n_neg_all = total - n_pos_all
     share = F.rint(F.lit(n) * (n_pos_all / F.greatest(total, F.lit(1)))).cast("long")
@@ -95,8 +95,11 @@ def draw_by_weight(
     spans several slices enters each of them, so one row with a third of all
     weight is no hot spot.  Inside a slice, rows and draws are merged in one
     sort and every draw takes the last row start before it: no pairs are formed.
+    The total weight is read by a job of its own.
     """
-    placed = running_weight(rows.select(row_id, weight), weight, token(seed, row_id), [row_id])
+    totals = rows.agg(F.sum(weight).alias("weight_total"))
+    placed = with_constants(
+        running_weight(rows.select(row_id, weight), weight, token(seed, row_id), [row_id]), totals)
     total = F.col("weight_total")
 
     def slice_of(position: Column) -> Column:
@@ -111,9 +114,8 @@ def draw_by_weight(
             "_slice", F.col("weight_before").alias("_at"), F.lit(0).alias("_kind"),
             F.col(row_id).alias("_row"), *[F.lit(None).cast(t).alias(c) for c, t in draws.dtypes])
     )
-    totals = rows.agg(F.sum(weight).alias("weight_total"))
     wanted = (
-        attach_scalars(draws, totals)
+        with_constants(draws, totals)
         .filter(F.col("weight_total") > 0)
         .withColumn("_at", F.col(u) * total)
         .select(
@@ -154,7 +156,7 @@ def balanced_epoch(
         raise ValueError("a balanced epoch needs at least one positive record")
     order = token_ranked(pos, [], token(f"{base}/p", "image_id"), ["image_id"], "r", "n")
     n_neg = neg.agg(F.count(F.lit(1)).alias("n_neg"))
-    draws = attach_scalars(order.select("r", "n"), n_neg)
+    draws = with_constants(order.select("r", "n"), n_neg)
 
     if balance_colours:
         # Pooled weight one per colour; a missing tag is a group of its own.

@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sightline.operators.ordering import (
     attach_scalars, average_ranks, exact_quantiles, rank_sums)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal tail; runs on one row per test."""
     return z.abs().map(lambda v: math.erfc(v / math.sqrt(2.0)), na_action="ignore")

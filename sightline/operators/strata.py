@@ -13,7 +13,8 @@ from sightline.functions.labels import (
 from sightline.operators.frames import positives
 from sightline.operators.metrics import MIN_FOR_QUARTILES, with_quartile
 from sightline.operators.ordering import (
-    attach_scalars, exact_quantiles, value_ranked, with_medians)
+    attach_scalars, exact_quantiles, value_ranked, with_constants, with_medians)
+from sightline.session import cut_lineage
 
 TOP_K = (1, 5, 10, 20, 50)
 
@@ -41,8 +42,9 @@ def summarize_axis(pos: DataFrame, by: Sequence[str]) -> DataFrame:
     """Failures along one axis, with its share of all failures."""
     by = list(by)
     grouped = with_medians(pos.groupBy(*by).agg(*_summary()), pos, by, {"median_err": "err"})
-    everything = pos.agg(F.greatest(F.count_if(F.col("fail")), F.lit(1)).alias("_fails"))
-    return attach_scalars(grouped, everything).select(
+    # Every positive is in one group, so the groups add up to all failures.
+    fails = F.greatest(F.sum("n_fail").over(Window.partitionBy()), F.lit(1))
+    return grouped.withColumn("_fails", fails).select(
         *by, "n", "n_fail", "hit_rate_n3", "median_err", "mean_err",
         (F.col("n_fail") / F.col("n")).alias("failure_rate"),
         (F.col("n_fail") / F.col("_fails")).alias("share_of_failures"))
@@ -64,8 +66,8 @@ def summarize_axes(pos: DataFrame, axes: Mapping[str, Sequence[str]]) -> DataFra
         "_a.axis", "_a.stratum", "err", "fail")
     keys = ["axis", "stratum"]
     grouped = with_medians(rows.groupBy(*keys).agg(*_summary()), rows, keys, {"median_err": "err"})
-    everything = pos.agg(F.greatest(F.count_if(F.col("fail")), F.lit(1)).alias("_fails"))
-    return attach_scalars(grouped, everything).select(
+    fails = F.greatest(F.sum("n_fail").over(Window.partitionBy("axis")), F.lit(1))
+    return grouped.withColumn("_fails", fails).select(
         *keys, "n", "n_fail", "hit_rate_n3", "median_err", "mean_err",
         (F.col("n_fail") / F.col("n")).alias("failure_rate"),
         (F.col("n_fail") / F.col("_fails")).alias("share_of_failures"))
@@ -108,15 +110,17 @@ def with_prior_distance(pos: DataFrame, priors: DataFrame) -> DataFrame:
 def enrich(per_frame: DataFrame, tolerance: float = HIT_TOLERANCE_PX) -> DataFrame:
     """Positives with every stratum: line and prior quartiles, failure and error class.
 
-    Quartiles are taken over the positives.
+    Quartiles are taken over the positives.  The joined positives are written to
+    the checkpoint folder once; quartile edges are read by a job each.
     """
-    pos = failures(per_frame, tolerance)
+    pos = cut_lineage(failures(per_frame, tolerance))
     pos = with_quartile(pos, pos, "line_confidence", "line_q")
-    pos = with_prior_distance(pos, rig_priors(pos))
-    pos = with_quartile(pos, pos, "dist_from_prior", "prior_q", PRIOR_DISTANCE_NAMES)
-    return pos.withColumn(
-        "fail_class", failure_class(F.col("fail"), F.col("no_pred"), F.col("pred_confidence"))
-    ).withColumn("err_class", error_class(F.col("fail"), F.col("err")))
+    near = with_prior_distance(pos, rig_priors(pos))
+    near = with_quartile(near, near, "dist_from_prior", "prior_q", PRIOR_DISTANCE_NAMES)
+    return near.select(
+        "*",
+        failure_class(F.col("fail"), F.col("no_pred"), F.col("pred_confidence")).alias("fail_class"),
+        error_class(F.col("fail"), F.col("err")).alias("err_class"))
 
 
 def per_dive_metrics(per_frame: DataFrame) -> DataFrame:
@@ -267,14 +271,14 @@ def log_histogram(
     """Counts between logarithmic edges from ``low`` to max(value, 10).
 
     ``edges`` edges make ``edges - 1`` bins.  Without ``high`` the upper edge is
-    the largest finite value, read by a scalar subquery.
+    the largest finite value, read by one job.
     """
     v = F.col(value)
     if high is not None:
         rows = df.withColumn("_top", F.lit(max(float(high), 10.0)))
     else:
         top = df.agg(F.greatest(F.max(F.when(v < INF, v)), F.lit(10.0)).alias("_top"))
-        rows = attach_scalars(df, top)
+        rows = with_constants(df, top)
     at = (F.log10(v) - F.log10(F.lit(low))) / (F.log10("_top") - F.log10(F.lit(low)))
     raw = F.floor(at * F.lit(float(edges - 1))) + 1
     inside = rows.filter((v >= low) & (v <= F.col("_top")))

@@ -11,6 +11,7 @@ import time
 import duckdb
 from pyspark.sql import SparkSession
 
+from sightline.session import configure
 from workload import QUERIES
 
 TABLES = (
@@ -52,10 +53,9 @@ def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, name: str, sf:
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+        configure(SparkSession.builder.master("local[8]")).config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+        .config("spark.driver.memory", "8g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     bad = 0

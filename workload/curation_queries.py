@@ -319,7 +319,7 @@ FROM per_frame WHERE image_id IN ({SUBSAMPLE_SQL})
 """, ("per_frame",), "hit_rate_n3 mean_pixel_error median_pixel_error")
 def subsample_metrics(spark, sf):
     chosen = sm.proportional_subsample(_records(spark, sf), 200)
-    rows = fr.keep_members(v.per_frame(spark, sf), chosen, "image_id")
+    rows = fr.keep_members(v.joined(spark, sf), chosen, "image_id")
     return core_metrics(rows).select(
         "n_frames", "n_positive", "hit_rate_n3", "mean_pixel_error", "median_pixel_error")
 
@@ -431,7 +431,7 @@ SELECT bucket, image_id FROM (
 def error_bucket_sample(spark, sf):
     from sightline.operators.calibrate import localized
 
-    return sm.bucket_sample(localized(v.per_frame(spark, sf)), 3).select("bucket", "image_id")
+    return sm.bucket_sample(localized(v.joined(spark, sf)), 3).select("bucket", "image_id")
 
 
 @query("first_ten_positives", """

@@ -8,6 +8,8 @@ its whole table.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sightline.operators.frames import join_predictions
@@ -15,12 +17,14 @@ from sightline.operators.lines import least_squares_lines
 from sightline.operators.splits import make_splits
 from sightline.operators.strata import enrich, failures
 from sightline.operators.tags import resolve_tags
+from sightline.session import cut_lineage
 
 # Raster size of every derived image.
 WIDTH, HEIGHT = 4014, 3016
 RIGS = 7
 
 
+@cache
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -40,6 +44,7 @@ def _geometry(events: DataFrame) -> DataFrame:
     )
 
 
+@cache
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     e = _geometry(table(spark, sf, "events"))
     user, event = F.col("user_id"), F.col("event_id")
@@ -63,6 +68,7 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
         superseded.alias("superseded"), F.lit(True).alias("completed"))
 
 
+@cache
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     e = _geometry(table(spark, sf, "events"))
     event = F.col("event_id")
@@ -79,31 +85,46 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
         F.when(missing, F.lit(0.0)).otherwise(conf).alias("pred_confidence"))
 
 
+@cache
 def tags(spark: SparkSession, sf: str) -> DataFrame:
     return resolve_tags(frames(spark, sf))
 
 
+@cache
 def splits(spark: SparkSession, sf: str) -> DataFrame:
     return make_splits(tags(spark, sf))
 
 
+@cache
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Plain least-squares lines: enough for joins and strata, one aggregate to build."""
     return least_squares_lines(frames(spark, sf))
 
 
+@cache
 def per_frame(spark: SparkSession, sf: str, split: str | None = None) -> DataFrame:
     return join_predictions(
         frames(spark, sf), predictions(spark, sf), splits(spark, sf), tags(spark, sf),
         lines(spark, sf), split)
 
 
+@cache
+def joined(spark: SparkSession, sf: str) -> DataFrame:
+    """All frames with their dive facts and predictions, written once per session.
+
+    The breakdown queries read it several times each.
+    """
+    return cut_lineage(per_frame(spark, sf))
+
+
+@cache
 def positives(spark: SparkSession, sf: str) -> DataFrame:
-    return failures(per_frame(spark, sf))
+    return failures(joined(spark, sf))
 
 
+@cache
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich(per_frame(spark, sf))
+    return enrich(joined(spark, sf))
 
 
 def dives(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,6 +158,7 @@ def second_clicks(f: DataFrame) -> DataFrame:
         "label_studio_task_id", F.col("label_studio_task_id") + 5_000_000)
 
 
+@cache
 def flips(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     code = F.element_at(F.array(*[F.lit(c) for c in (0, 3, 5, 6)]), (F.col("event_id") % 4 + 1).cast("int"))
@@ -145,6 +167,7 @@ def flips(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("event_id") % 29 != 0, code).alias("flip"))
 
 
+@cache
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Three tiles of five cells (a peak and its four neighbours) per image."""
     e = _geometry(table(spark, sf, "events"))
@@ -166,6 +189,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
         (((event * 15485863 + t * 7) % 1000) / F.lit(1000)).alias("presence"))
 
 
+@cache
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """Frames with their line facts and raster size."""
     f = frames(spark, sf).select("dive_id", "image_id", "rig_id", "label_x", "label_y", "is_positive")
@@ -185,6 +209,7 @@ def sized_images(spark: SparkSession, sf: str) -> DataFrame:
         F.when(pick == 0, F.lit(3840)).when(pick == 1, F.lit(800)).otherwise(F.lit(WIDTH)).alias("width"))
 
 
+@cache
 def intrinsics(spark: SparkSession) -> DataFrame:
     """Camera constants of all rigs but the last."""
     rows = [
@@ -198,6 +223,7 @@ def intrinsics(spark: SparkSession) -> DataFrame:
 PATCH = 9
 
 
+@cache
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
     """A small raster per image: dark ground, bright cells decided by the id.
 
@@ -219,6 +245,7 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
         F.when(lit & red, tone).when(lit, weak).otherwise(F.lit(20)).alias("r"))
 
 
+@cache
 def pixel_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Frames whose label lies inside the small raster."""
     i = F.col("image_id")
@@ -227,6 +254,7 @@ def pixel_frames(spark: SparkSession, sf: str) -> DataFrame:
     ).withColumn("label_y", F.when(F.col("is_positive"), ((i * 5) % PATCH).cast("double")))
 
 
+@cache
 def pixel_lines(spark: SparkSession, sf: str) -> DataFrame:
     """One line per dive through the small raster; two thirds are confident."""
     d = F.col("dive_id")
