@@ -137,12 +137,12 @@ def deduplicated_predictions(spark, sf):
 
 
 @query("per_frame_table", """
-SELECT image_id, dive_id, split, wavelength, line_confidence, is_positive, pred_x, pred_y, pred_confidence, raw_err AS err FROM per_frame
-""", ("per_frame",), "line_confidence pred_x pred_y pred_confidence err", 4)
+SELECT image_id, dive_id, split, wavelength, line_confidence >= 5 AS steady, is_positive, pred_x, pred_y, pred_confidence, raw_err AS err FROM per_frame
+""", ("per_frame",), "pred_x pred_y pred_confidence err")
 def per_frame_table(spark, sf):
     return v.per_frame(spark, sf).withColumn("err", pixel_error()).select(
-        "image_id", "dive_id", "split", "wavelength", "line_confidence", "is_positive", "pred_x", "pred_y",
-        "pred_confidence", "err")
+        "image_id", "dive_id", "split", "wavelength", (F.col("line_confidence") >= 5).alias("steady"),
+        "is_positive", "pred_x", "pred_y", "pred_confidence", "err")
 
 
 # Failure breakdown -----------------------------------------------------------------
