@@ -6,9 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-# Hue runs 0..179; red wraps around and needs two bands.
-RED_HUE_BANDS = ((0, 15), (160, 179))
-GREEN_HUE_BANDS = ((35, 95),)
+# Hue runs 0..179; red wraps around, from 160 over 0 to 15.
+HUES = 180
+RED_HUES = (160, 15)
+GREEN_HUES = (35, 95)
 DETECT_SAT_MIN = 100
 DETECT_VAL_MIN = 200
 AUDIT_SAT_ABOVE = 60
@@ -30,49 +31,50 @@ def hsv(b: Column, g: Column, r: Column) -> Hsv:
     """8-bit HSV (hue 0..179) in the fixed-point arithmetic of common 8-bit code.
 
     Scale factors are rounded to 1/4096, so borderline pixels fall on the same
-    side of a threshold as in that arithmetic.
+    side of a threshold as in that arithmetic.  Written in doubles, which hold
+    all values exactly, and with few repeats of the channels: a filter inlines
+    these expressions, and generated methods must stay small.
     """
+    b, g, r = (c.cast("double") for c in (b, g, r))
     val = F.greatest(b, g, r)
     diff = val - F.least(b, g, r)
-    half = F.lit(2048)
+    one = F.lit(1.0)
 
-    def scaled(amount: Column, factor: Column) -> Column:
-        return F.floor((amount * factor + half) / F.lit(4096.0)).cast("long")
+    def scaled(amount: Column, full: float, base: Column) -> Column:
+        # A zero base only meets a zero amount.
+        factor = F.rint(F.lit(full) / F.greatest(base, one))
+        return F.floor((amount * factor + F.lit(2048.0)) / F.lit(4096.0))
 
-    sat_factor = F.when(val == 0, F.lit(0)).otherwise(F.rint(F.lit(1044480.0) / val)).cast("long")
-    hue_factor = F.when(diff == 0, F.lit(0)).otherwise(
-        F.rint(F.lit(737280.0) / (F.lit(6.0) * diff))).cast("long")
     sector = (
-        F.when(val == r, g - b)
-        .when(val == g, b - r + F.lit(2) * diff)
-        .otherwise(r - g + F.lit(4) * diff)
+        F.when((r >= g) & (r >= b), g - b)
+        .when(g >= b, b - r + F.lit(2.0) * diff)
+        .otherwise(r - g + F.lit(4.0) * diff)
     )
-    hue = scaled(sector, hue_factor)
     return Hsv(
-        F.when(hue < 0, hue + F.lit(180)).otherwise(hue),
-        scaled(diff, sat_factor),
-        val,
-    )
+        F.pmod(scaled(sector, 122880.0, diff), F.lit(HUES)), scaled(diff, 1044480.0, val), val.cast("long"))
 
 
-def _in_bands(hue: Column, bands: tuple[tuple[int, int], ...]) -> Column:
-    test = F.lit(False)
-    for low, high in bands:
-        test = test | hue.between(low, high)
-    return test
+def _in_range(hue: Column, hues: tuple[int, int]) -> Column:
+    """Hue within a range that may wrap; the hue expression enters only once."""
+    low, high = hues
+    return F.pmod(hue - F.lit(low), F.lit(HUES)) <= F.lit((high - low) % HUES)
 
 
 def colour_mask(b: Column, g: Column, r: Column, tag: Column) -> Column:
-    """Bright, saturated and of the tag's hue; an unknown tag accepts both hues."""
+    """Bright, saturated and of the tag's hue; an unknown tag accepts both hues.
+
+    Brightness comes first: it is cheap and drops most pixels.
+    """
     parts = hsv(b, g, r)
-    red, green = _in_bands(parts.hue, RED_HUE_BANDS), _in_bands(parts.hue, GREEN_HUE_BANDS)
-    hue_ok = F.when(tag == "red", red).when(tag == "green", green).otherwise(red | green)
-    return hue_ok & (parts.sat >= DETECT_SAT_MIN) & (parts.val >= DETECT_VAL_MIN)
+    other = F.coalesce(tag, F.lit(""))
+    hue_ok = ((other != "green") & _in_range(parts.hue, RED_HUES)) | (
+        (other != "red") & _in_range(parts.hue, GREEN_HUES))
+    return (parts.val >= DETECT_VAL_MIN) & (parts.sat >= DETECT_SAT_MIN) & hue_ok
 
 
 def audit_mask(b: Column, g: Column, r: Column) -> Column:
     parts = hsv(b, g, r)
-    return (parts.sat > AUDIT_SAT_ABOVE) & (parts.val > AUDIT_VAL_ABOVE)
+    return (parts.val > AUDIT_VAL_ABOVE) & (parts.sat > AUDIT_SAT_ABOVE)
 
 
 def chromaticity(b: Column, g: Column, r: Column, scale: float = 255.0, eps: float = 1e-3) -> Column:

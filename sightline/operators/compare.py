@@ -10,9 +10,10 @@ from sightline.functions.geometry import RigPrior, corridor_weight, distance, ri
 from sightline.functions.labels import BORDERLINE_MAX_PX, INF, MID_MAX_PX, error_or, hit, pixel_error
 from sightline.operators.calibrate import bias_offset
 from sightline.operators.frames import positives
-from sightline.operators.metrics import core_metrics, roc_points
+from sightline.operators.metrics import TOLERANCES_PX, metrics_of_rows, roc_points, scored_rows
 from sightline.operators.ordering import attach_scalars, exact_quantiles, join_null_safe, with_constants
 from sightline.operators.peaks import sigmoid
+from sightline.session import cut_lineage
 
 
 def run_table(per_frame: DataFrame, estimator: str = "median", tolerance: float = 3.0) -> DataFrame:
@@ -86,7 +87,9 @@ def prior_sweep(
         F.max("presence").alias("pred_confidence"))
     joined = frames.select("image_id", "is_positive", "label_x", "label_y").join(
         peaks.select(*keys, "image_id", "p.pred_x", "p.pred_y", "pred_confidence"), "image_id")
-    wide = core_metrics(joined, keys, presence_threshold)
+    # Three metric passes read the peaks; the scoring scan runs once.
+    rows = cut_lineage(scored_rows(joined, keys))
+    wide = metrics_of_rows(rows, keys, presence_threshold, TOLERANCES_PX)
     return wide.select(
         *keys, "hit_rate_n3", "hit_rate_n4", "presence_auroc", "fpr_at_threshold",
         "mean_pixel_error", "median_pixel_error")

@@ -14,6 +14,7 @@ from sightline.functions.geometry import perpendicular_distance
 from sightline.functions.hashing import token
 from sightline.operators.frames import positives
 from sightline.operators.ordering import DEFAULT_SALTS, exact_medians, first_n, salted_join
+from sightline.session import cut_lineage
 
 # Fixed values of the fit.
 MIN_POINTS = 5
@@ -140,20 +141,21 @@ def consensus_lines(
     """Best hypothesis per dive: most points strictly within ``tol_px``, then lowest h."""
     points = positives(frames).select("dive_id", "image_id", "label_x", "label_y")
     lines = _hypotheses(points, seed, hypotheses)
+    # Votes are grouped by two integers; the line itself is looked up afterwards.
     votes = (
         salted_join(points, lines, ["dive_id"], ["image_id"], salts=salts)
         .select("dive_id", "label_x", "label_y", F.explode("cand").alias("l"))
         .filter(perpendicular_distance(
             F.col("label_x"), F.col("label_y"), F.col("l.a"), F.col("l.b"), F.col("l.c")) < tol_px)
-        .groupBy("dive_id", "l").agg(F.count(F.lit(1)).alias("votes"))
+        .groupBy("dive_id", F.col("l.h").alias("h")).agg(F.count(F.lit(1)).alias("votes"))
     )
     best = votes.groupBy("dive_id").agg(
-        F.max_by("l", F.struct("votes", (-F.col("l.h")).alias("h"))).alias("l"),
-        F.max("votes").alias("votes"))
+        F.max(F.struct("votes", (-F.col("h")).alias("h"))).alias("_best"))
     # A dive whose every pair coincides has no candidate and keeps all points.
-    return lines.select("dive_id").join(best, "dive_id", "left").select(
+    chosen = F.get(F.filter("cand", lambda s: s["h"] == -F.col("_best.h")), F.lit(0))
+    return lines.join(best, "dive_id", "left").withColumn("l", chosen).select(
         "dive_id", F.col("l.h").alias("h"), F.col("l.a").alias("a"), F.col("l.b").alias("b"),
-        F.col("l.c").alias("c"), "votes")
+        F.col("l.c").alias("c"), F.col("_best.votes").alias("votes"))
 
 
 def fit_lines(
@@ -168,17 +170,19 @@ def fit_lines(
 
     Consensus search, least-squares refit on its inliers, recount, confidence
     from the inliers and robust noise from all positives.  Dives with fewer
-    than five positives have null line fields.
+    than five positives have null line fields.  The refitted lines are written
+    to the checkpoint folder (runs a job).
     """
     points = positives(frames).select("dive_id", "image_id", "label_x", "label_y")
     x, y = F.col("label_x"), F.col("label_y")
     best = consensus_lines(frames, seed, tol_px, hypotheses, salts)
     supported = F.col("votes").isNull() | (F.col("votes") < 2) | (
         perpendicular_distance(x, y, F.col("a"), F.col("b"), F.col("c")) < tol_px)
-    refit = _least_squares(
+    # One row per dive: written once, since three later passes start from it.
+    refit = cut_lineage(_least_squares(
         salted_join(points, best, ["dive_id"], ["image_id"], salts=salts)
         .filter(supported).groupBy("dive_id").agg(*_moments(), F.max("votes").alias("votes"))
-    ).select("dive_id", "line_a", "line_b", "line_c", "votes")
+    ).select("dive_id", "line_a", "line_b", "line_c", "votes"))
 
     a, b, c = F.col("line_a"), F.col("line_b"), F.col("line_c")
     measured = salted_join(points, refit, ["dive_id"], ["image_id"], salts=salts).withColumn(

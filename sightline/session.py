@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder (runs a job)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the checkpoint folder and read it back (runs a job).
+
+    A columnar table instead of ``DataFrame.checkpoint``: later reads prune
+    columns, and its file size lets Catalyst choose joins.  The files stay until
+    the folder is cleaned, as checkpoints do.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/sightline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -91,14 +91,14 @@ def sensor_labels(spark, sf):
 
 
 @query("rotated_pixels", """
-SELECT image_id, CASE image_id % 4 WHEN 1 THEN 8 - x WHEN 2 THEN y WHEN 3 THEN 8 - y ELSE x END AS world_x,
-  CASE image_id % 4 WHEN 1 THEN 8 - y WHEN 2 THEN 8 - x WHEN 3 THEN x ELSE y END AS world_y, g FROM pixels
+SELECT image_id, CAST(sum(g * CASE image_id % 4 WHEN 1 THEN 8 - x WHEN 2 THEN y WHEN 3 THEN 8 - y ELSE x END) AS BIGINT) AS moment_x,
+  CAST(sum(g * CASE image_id % 4 WHEN 1 THEN 8 - y WHEN 2 THEN 8 - x WHEN 3 THEN x ELSE y END) AS BIGINT) AS moment_y FROM pixels GROUP BY image_id
 """, ("pixels",))
 def rotated_pixels(spark, sf):
     code = F.element_at(F.array(*[F.lit(c) for c in (0, 3, 5, 6)]), (F.col("image_id") % 4 + 1).cast("int"))
     point = geo.forward_rotation(F.col("x"), F.col("y"), code, v.PATCH, v.PATCH)
-    return v.pixels(spark, sf).withColumn("_p", point).select(
-        "image_id", F.col("_p.x").alias("world_x"), F.col("_p.y").alias("world_y"), "g")
+    return v.pixels(spark, sf).withColumn("_p", point).groupBy("image_id").agg(
+        F.sum(F.col("g") * F.col("_p.x")).alias("moment_x"), F.sum(F.col("g") * F.col("_p.y")).alias("moment_y"))
 
 
 @query("bias_removed", """

@@ -225,7 +225,7 @@ PATCH = 9
 
 @cache
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
-    """A small raster per image: dark ground, bright cells decided by the id.
+    """A small raster per image, written once: dark ground, bright cells decided by the id.
 
     Cell (x, y) lights up where (7 id + 3 x y + 5 x + 2 y) mod 6 < 2; its colour
     is that of the dive's dot.
@@ -238,11 +238,11 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
     tone = F.lit(205) + (i + x * 3 + y * 7) % 50
     red = F.col("user_id") % 6 < 3
     weak = F.lit(30) + (i + x + y) % 25
-    return grid.select(
+    return cut_lineage(grid.select(
         i.alias("image_id"), "x", "y",
         F.when(lit, weak).otherwise(F.lit(40)).alias("b"),
         F.when(lit & ~red, tone).when(lit, weak).otherwise(F.lit(30)).alias("g"),
-        F.when(lit & red, tone).when(lit, weak).otherwise(F.lit(20)).alias("r"))
+        F.when(lit & red, tone).when(lit, weak).otherwise(F.lit(20)).alias("r")))
 
 
 @cache
