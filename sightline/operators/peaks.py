@@ -206,40 +206,38 @@ def rectify_points(
 ) -> DataFrame:
     """Undo radial and tangential lens distortion per rig (k1 k2 p1 p2 k3 k4 k5 k6).
 
-    Fixed-point iteration from the normalised point, one projection per step so
-    that each step is computed once.  Points of a rig without intrinsics and
-    null points are left alone; with no table at all nothing happens.
+    Fixed-point iteration from the normalised point.  It is a fold over the step
+    numbers: a filter on the result may inline the expression, and unrolled
+    steps would then multiply.  Points of a rig without intrinsics and null
+    points are left alone; with no table at all nothing happens.
     """
     if intrinsics is None:
         return predictions
     joined = predictions.join(intrinsics, "rig_id", "left")
-
-    def k(i: int) -> Column:
-        return F.coalesce(F.get("dist", F.lit(i)), F.lit(0.0))
-
-    out = joined.withColumn("_x0", (F.col("pred_x") - F.col("cx")) / F.col("fx")).withColumn(
-        "_y0", (F.col("pred_y") - F.col("cy")) / F.col("fy")).withColumns({
-            f"_k{i}": k(i) for i in range(8)})
-    out = out.withColumns({"_x": F.col("_x0"), "_y": F.col("_y0")})
-    x, y, r2 = F.col("_x"), F.col("_y"), F.col("_r2")
-    k1, k2, p1, p2, k3, k4, k5, k6 = (F.col(f"_k{i}") for i in range(8))
-    for _ in range(steps):
-        out = out.withColumn("_r2", x * x + y * y)
-        out = out.withColumns({
-            "_inv": (F.lit(1.0) + ((k6 * r2 + k5) * r2 + k4) * r2) / (F.lit(1.0) + ((k3 * r2 + k2) * r2 + k1) * r2),
-            "_dx": F.lit(2.0) * p1 * x * y + p2 * (r2 + F.lit(2.0) * x * x),
-            "_dy": p1 * (r2 + F.lit(2.0) * y * y) + F.lit(2.0) * p2 * x * y,
-        })
-        out = out.withColumns({
-            "_x": (F.col("_x0") - F.col("_dx")) * F.col("_inv"),
-            "_y": (F.col("_y0") - F.col("_dy")) * F.col("_inv"),
-        })
-    new_x, new_y = F.col("_x") * F.col("fx") + F.col("cx"), F.col("_y") * F.col("fy") + F.col("cy")
+    k1, k2, p1, p2, k3, k4, k5, k6 = (
+        F.coalesce(F.get("dist", F.lit(i)), F.lit(0.0)) for i in range(8))
+    x0 = (F.col("pred_x") - F.col("cx")) / F.col("fx")
+    y0 = (F.col("pred_y") - F.col("cy")) / F.col("fy")
+    two = F.lit(2.0)
+
+    def step(at: Column, _: Column) -> Column:
+        x, y = at["x"], at["y"]
+        r2 = x * x + y * y
+        inverse = (F.lit(1.0) + ((k6 * r2 + k5) * r2 + k4) * r2) / (
+            F.lit(1.0) + ((k3 * r2 + k2) * r2 + k1) * r2)
+        shift_x = two * p1 * x * y + p2 * (r2 + two * x * x)
+        shift_y = p1 * (r2 + two * y * y) + two * p2 * x * y
+        return F.struct(((x0 - shift_x) * inverse).alias("x"), ((y0 - shift_y) * inverse).alias("y"))
+
+    start = F.struct(x0.alias("x"), y0.alias("y"))
+    solved = joined.withColumn("_p", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step))
+    new_x = F.col("_p.x") * F.col("fx") + F.col("cx")
+    new_y = F.col("_p.y") * F.col("fy") + F.col("cy")
     if clamp_to_image:
         new_x = clamp(new_x, 0.0, F.col("width") - 1.0)
         new_y = clamp(new_y, 0.0, F.col("height") - 1.0)
     known = F.col("fx").isNotNull() & F.col("pred_x").isNotNull()
-    out = out.withColumns({
+    out = solved.withColumns({
         "pred_x": F.when(known, new_x).otherwise(F.col("pred_x")),
         "pred_y": F.when(known, new_y).otherwise(F.col("pred_y")),
     })
