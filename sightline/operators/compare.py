@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -67,26 +68,28 @@ def prior_sweep(
 ) -> DataFrame:
     """Metrics per prior setting (label, floor, sigma_x, sigma_y).
 
-    The settings are a short literal array: every candidate is scored under each
-    of them in one scan, and one aggregate by (setting, image) keeps the peaks.
+    One aggregate by image keeps the peak of every setting side by side; the
+    settings, a short list, become rows only after that.
     """
-    grid = F.array(*[
-        F.struct(
-            F.lit(str(c["label"])).alias("label"), F.lit(float(c["floor"])).alias("floor"),
-            F.lit(float(c["sigma_x"])).alias("sigma_x"), F.lit(float(c["sigma_y"])).alias("sigma_y"))
-        for c in configs])
     x, y = F.col("tile_x") + F.col("x"), F.col("tile_y") + F.col("y")
     keys = ["label", "floor", "sigma_x", "sigma_y"]
-    scored = candidates.withColumn("_c", F.explode(grid)).select("*", "_c.*").withColumn(
-        "value", sigmoid(F.col("logit")) * rig_prior_weight(
-            x, y, base, floor=F.col("floor"), sigma_x=F.col("sigma_x"), sigma_y=F.col("sigma_y")))
-    order = F.struct(
-        "value", (-F.col("tile_idx")).alias("t"), (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))
-    peaks = scored.groupBy(*keys, "image_id").agg(
-        F.max_by(F.struct(x.cast("double").alias("pred_x"), y.cast("double").alias("pred_y")), order).alias("p"),
-        F.max("presence").alias("pred_confidence"))
-    joined = frames.select("image_id", "is_positive", "label_x", "label_y").join(
-        peaks.select(*keys, "image_id", "p.pred_x", "p.pred_y", "pred_confidence"), "image_id")
+    point = F.struct(x.cast("double").alias("pred_x"), y.cast("double").alias("pred_y"))
+    peaks, rows = [], []
+    for i, c in enumerate(configs):
+        prior = replace(
+            base, floor=float(c["floor"]), sigma_x=float(c["sigma_x"]), sigma_y=float(c["sigma_y"]))
+        value = sigmoid(F.col("logit")) * rig_prior_weight(x, y, prior)
+        order = F.struct(
+            value.alias("value"), (-F.col("tile_idx")).alias("t"), (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))
+        peaks.append(F.max_by(point, order).alias(f"_p{i}"))
+        rows.append(F.struct(
+            F.lit(str(c["label"])).alias("label"), F.lit(prior.floor).alias("floor"),
+            F.lit(prior.sigma_x).alias("sigma_x"), F.lit(prior.sigma_y).alias("sigma_y"),
+            F.col(f"_p{i}.pred_x").alias("pred_x"), F.col(f"_p{i}.pred_y").alias("pred_y")))
+    best = candidates.groupBy("image_id").agg(*peaks, F.max("presence").alias("pred_confidence"))
+    scored = best.select("image_id", "pred_confidence", F.explode(F.array(*rows)).alias("_c")).select(
+        "image_id", "pred_confidence", "_c.*")
+    joined = frames.select("image_id", "is_positive", "label_x", "label_y").join(scored, "image_id")
     # Three metric passes read the peaks; the scoring scan runs once.
     rows = cut_lineage(scored_rows(joined, keys))
     wide = metrics_of_rows(rows, keys, presence_threshold, TOLERANCES_PX)
