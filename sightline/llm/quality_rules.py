@@ -30,8 +30,8 @@ FENCE = 3
 MEASURES = {
     "symbols": ("n_symbols", "word_chars", 10_000, 200),
     "capitals": ("n_capitals", "word_chars", 10_000, 600),
-    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 800),
-    "repeats": ("n_repeat_words", "n_words", 10_000, 400),
+    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 1_200),
+    "repeats": ("n_repeat_words", "n_words", 10_000, 600),
     "word_length": ("word_chars", "n_words", 100, 200),
 }
 
