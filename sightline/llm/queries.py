@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
 from sightline.llm.registry import LLM_QUERIES
-from sightline.llm import rules_queries, url_queries  # noqa: F401
+from sightline.llm import decontaminate_queries, packing_queries, rules_queries, url_queries  # noqa: F401
 
 __all__ = ["LLM_QUERIES"]
