@@ -18,7 +18,7 @@ from sightline.llm.textops import mix
 # Expected points per register below the first horizon: ln(registers) + SLACK.
 SLACK = 3.0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_INTERVAL = np.uint64(0xD1B54A32D192ED03)
+_INTERVAL = 0xD1B54A32D192ED03
 _PLACE = np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -47,12 +47,11 @@ def signatures(rows: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_ro
 def _first_points(rows, elements, weights, horizon, n_rows, registers) -> tuple[np.ndarray, np.ndarray]:
     best = np.full(n_rows * registers, np.inf)
     identity = np.zeros(n_rows * registers, dtype=np.uint64)
-    low, high = 0, 1
-    level = 0
+    low, high, level = 0, 1, 0
     while len(rows):
         width = high - low
         row, weight = rows, weights
-        key = mix(elements + _INTERVAL * np.uint64(level + 1))
+        key = mix(elements + np.uint64(_INTERVAL * (level + 1) % (1 << 64)))
         time = np.zeros(len(rows))
         while len(row):
             key = mix(key + _STEP)
@@ -62,7 +61,7 @@ def _first_points(rows, elements, weights, horizon, n_rows, registers) -> tuple[
             row, weight, key, time = row[alive], weight[alive], key[alive], time[alive]
             bits = mix(key ^ _PLACE)
             register = ((bits >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)).astype(np.int64)
-            place = low + ((bits & np.uint64(0xFFFFFFFF)) * np.uint64(width) >> np.uint64(32)) + np.uint64(1)
+            place = np.uint64(low + 1) + ((bits & np.uint64(0xFFFFFFFF)) * np.uint64(width) >> np.uint64(32))
             seen = place <= weight
             at = row[seen] * registers + register[seen]
             t = time[seen]
@@ -72,6 +71,4 @@ def _first_points(rows, elements, weights, horizon, n_rows, registers) -> tuple[
         more = weights > high
         rows, elements, weights = rows[more], elements[more], weights[more]
         low, high, level = high, high * 2, level + 1
-        low = np.uint64(low)
-        high = int(high)
     return best, identity

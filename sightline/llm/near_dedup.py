@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from sightline.llm.bag_minhash import signatures
 from sightline.llm.components import components
-from sightline.llm.textops import Words, mix, word_groups
+from sightline.llm.textops import ALPHANUMERIC, LOWER_ASCII, Words, mix, word_groups
 from sightline.operators.ordering import salted_join
 from sightline.session import cut_lineage
 
@@ -66,7 +66,7 @@ def counted(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for words in word_groups(batch.column(2)):
+        for words in word_groups(batch.column(2), ALPHANUMERIC, LOWER_ASCII):
             rows, hashes, first, counts = counted(*shingles_of(words))
             found = signatures(rows[first], hashes[first], counts, words.n_rows, REGISTERS)
             has = np.diff(words.row_bounds) > 0
@@ -91,7 +91,7 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text the sorted hashes of its shingles; the k-th repeat of a shingle is an element of its own."""
     for batch in batches:
-        for words in word_groups(batch.column(1)):
+        for words in word_groups(batch.column(1), ALPHANUMERIC, LOWER_ASCII):
             rows, hashes, first, counts = counted(*shingles_of(words))
             repeat = np.arange(len(rows)) - np.repeat(first, counts)
             elements = np.where(repeat, mix(hashes + repeat.astype(np.uint64)), hashes)
@@ -146,8 +146,9 @@ def _compare_block(block: pd.DataFrame) -> pd.DataFrame:
 def near_duplicate_classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id``, ``class_id``, ``class_size``, ``keep`` and ``_digest``: one row per row of ``documents``.
 
-    Documents with equal texts, or whose five-word shingles (white-space words, unchanged, with multiplicity)
-    have a weighted Jaccard similarity of 0.8 or more, are linked; classes are the connected components.
+    Documents with equal texts, or whose five-word shingles (with multiplicity) have a weighted Jaccard
+    similarity of 0.8 or more, are linked; classes are the connected components.  Words are runs of digits,
+    letters and non-ASCII characters, A-Z lower-cased.
     ``class_id`` is the least doc_id of the class, ``keep`` marks the rows with the class's first doc_id and
     its text (several if a row is repeated).  Texts of fewer than five words are one shingle.  Null texts and
     texts without words are linked to nothing, each such row is a class of its own and kept; null doc_ids
@@ -219,6 +220,6 @@ def drop_near_duplicates(documents: DataFrame, text: str = "text", doc_id: str =
     names = documents.columns
     # Only rows that come several times meet in a shuffle; rows without words stay as often as they come.
     single = F.col("_rows") == 1
-    wordless = ~F.regexp_like(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    wordless = ~F.regexp_like(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     repeated = found.where(~single & ~wordless).dropDuplicates(["_kdoc", "_kdigest"])
     return found.where(single | wordless).select(*names).unionByName(repeated.select(*names))
