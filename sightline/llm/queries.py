@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
 from sightline.llm.registry import LLM_QUERIES
-from sightline.llm import chat_queries, decontaminate_queries, near_queries, packing_queries, rules_queries, substring_queries, url_queries  # noqa: F401
+from sightline.llm import chat_queries, decontaminate_queries, language_queries, near_queries, packing_queries, rules_queries, substring_queries, url_queries  # noqa: F401
 
 __all__ = ["LLM_QUERIES"]
