@@ -30,6 +30,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_CHECKPOINT_DIR", "/tmp/sightline-bench"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

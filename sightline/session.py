@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PREFIX = "sightline-"
+
 # Adaptive execution picks broadcast joins from measured sizes, coalesces small
 # partitions and splits skewed join partitions (also in front of aggregates).
 RECOMMENDED_CONF = {
@@ -29,10 +33,9 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder that ``spark.checkpoint.dir`` (or ``setCheckpointDir``) names; it must be set.
 
-    Only a local session (tests) may fall back to a temporary folder: on a
-    cluster a machine-local folder would be lost with its executor.
+    Nothing is guessed: on a cluster a machine-local folder would be lost with its executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -40,11 +43,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="sightline-checkpoint-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(configured)
-    return configured
+    return sc.getCheckpointDir()
+
+
+# Where cut_lineage notes the tables it writes, if anyone collects them.
+_collecting: ContextVar[list[str] | None] = ContextVar("_collecting", default=None)
+
+
+@contextmanager
+def collect_written(paths: list[str]) -> Iterator[list[str]]:
+    """Note the tables that :func:`cut_lineage` writes inside the block, for :func:`release_paths`."""
+    token = _collecting.set(paths)
+    try:
+        yield paths
+    finally:
+        _collecting.reset(token)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -52,9 +67,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     A columnar table instead of ``DataFrame.checkpoint``: later reads prune
     columns, and its file size lets Catalyst choose joins.  The files stay until
-    the folder is cleaned, as checkpoints do.
+    they are released or the folder is cleaned, as checkpoints do.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/sightline-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{_PREFIX}{uuid.uuid4().hex}"
     df.write.parquet(path)
+    noted = _collecting.get()
+    if noted is not None:
+        noted.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_paths(spark: SparkSession, paths: list[str], still_read: DataFrame | None = None) -> None:
+    """Delete tables that :func:`cut_lineage` wrote, but for those that ``still_read`` reads; empties ``paths`` of them."""
+    used = still_read.inputFiles() if still_read is not None and paths else []
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in list(paths):
+        name = path.rsplit("/", 1)[1]
+        if name.startswith(_PREFIX) and not any(name in f for f in used):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+            paths.remove(path)
+
+
+def release(written: DataFrame) -> None:
+    """Delete the table behind a result of :func:`cut_lineage`, once nothing reads it any more."""
+    folders = {f.rsplit("/", 1)[0] for f in written.inputFiles()}
+    if len(folders) == 1:
+        release_paths(written.sparkSession, [*folders])

@@ -55,7 +55,8 @@ def main() -> None:
     spark = (
         configure(SparkSession.builder.master("local[8]")).config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g").getOrCreate())
+        .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", "/tmp/sightline-check").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     bad = 0
