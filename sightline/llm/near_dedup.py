@@ -70,7 +70,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, hashes, first, counts = counted(*shingles_of(words))
             found = signatures(rows[first], hashes[first], counts, words.n_rows, REGISTERS)
             has = np.diff(words.row_bounds) > 0
-            own = [s.tobytes() if h else None for s, h in zip(found, has)]
+            own = [s.tobytes() if h else None for s, h in zip(found.astype(np.uint32), has)]
             part = batch.slice(words.first_row, words.n_rows)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.binary())], _SIGNED.names)
 
@@ -80,7 +80,8 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        found = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint64).reshape(-1, BANDS, BAND_REGISTERS)
+        found = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).astype(np.uint64)
+        found = found.reshape(-1, BANDS, BAND_REGISTERS)
         key = np.tile(mix(band + np.uint64(1)), (len(found), 1))
         for i in range(BAND_REGISTERS):
             key = mix(key ^ found[:, :, i])
@@ -131,7 +132,7 @@ def _compare_block(block: pd.DataFrame) -> pd.DataFrame:
     """Pairs across components whose signatures agree; block i against block j of one bucket."""
     i, j = int(block["i"].iloc[0]), int(block["j"].iloc[0])
     left, right = block[block["own"] == i], block[block["own"] == j]
-    a, b = (np.frombuffer(b"".join(x["signature"]), dtype=np.uint64).reshape(-1, REGISTERS) for x in (left, right))
+    a, b = (np.frombuffer(b"".join(x["signature"]), dtype=np.uint32).reshape(-1, REGISTERS) for x in (left, right))
     la, lb = left["label"].to_numpy(), right["label"].to_numpy()
     na, nb = left["node"].to_numpy(), right["node"].to_numpy()
     out = []
