@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sightline.functions.geometry import perpendicular_distance
 from sightline.functions.hashing import token
 from sightline.operators.frames import positives
-from sightline.operators.ordering import DEFAULT_SALTS, exact_medians, first_n, salted_join
+from sightline.operators.ordering import DEFAULT_SALTS, exact_medians, salted_join, token_ranked
 from sightline.session import cut_lineage
 
 # Fixed values of the fit.
@@ -25,8 +25,6 @@ MAD_TO_SIGMA = 1.4826
 FLAT_VARIANCE = 1e-9
 OUTLIER_SIGMA = 3.0
 MAD_FLOOR_PX = 1.0
-# Two points per hypothesis are needed; a pool above 2 * HYPOTHESES loses nothing.
-POOL = 512
 
 
 def _moments(x: str = "label_x", y: str = "label_y") -> list[Column]:
@@ -83,52 +81,36 @@ def least_squares_lines(frames: DataFrame, threshold: float = CONFIDENCE_THRESHO
 def _hypotheses(points: DataFrame, seed: int, hypotheses: int) -> DataFrame:
     """One row per dive with an array of candidate lines struct(h, a, b, c).
 
-    The pool of a dive is its first points in seeded order.  Hypothesis h pairs
-    positions (7919 h + 104729 dive) mod m and a second, always different one.
+    Hypothesis h pairs ranks (7919 h + 104729 dive) mod m and a second, always
+    different one, in the seeded order of all m points of the dive.  Points are
+    ranked without one task per dive and looked up by (dive, rank).
     """
-    pool = first_n(
-        points.withColumn("_tok", token(seed, "image_id")), ["dive_id"],
-        [F.col("_tok"), F.col("image_id"), F.col("label_x"), F.col("label_y")],
-        max(POOL, 2 * hypotheses), ["image_id"])
-    packed = (
-        pool.groupBy("dive_id")
-        .agg(F.array_sort(F.collect_list(
-            F.struct("_tok", "image_id", "label_x", "label_y"))).alias("pts"))
-        .withColumn("m", F.size("pts"))
-        .filter(F.col("m") >= MIN_POINTS)
-    )
+    order = ["image_id", "label_x", "label_y"]
+    numbered = token_ranked(points, ["dive_id"], token(seed, "image_id"), order, "_rank", "_m")
     dive = F.col("dive_id")
     if dict(points.dtypes)["dive_id"] != "bigint":
         dive = F.pmod(F.xxhash64("dive_id"), F.lit(1 << 20))
-    m = F.col("m").cast("long")
-
-    def first_of(h: Column) -> Column:
-        return F.pmod(F.lit(7919) * h + F.lit(104729) * dive, m)
-
-    def second_of(h: Column) -> Column:
-        step = F.pmod(F.lit(15485863) * h + dive, m - 1)
-        return F.pmod(first_of(h) + F.lit(1) + step, m)
-
-    def candidate(h: Column) -> Column:
-        p, q = F.get("pts", first_of(h).cast("int")), F.get("pts", second_of(h).cast("int"))
-        return F.struct(
-            h.cast("int").alias("h"),
-            p["label_x"].alias("x0"), p["label_y"].alias("y0"),
-            (q["label_x"] - p["label_x"]).alias("dx"), (q["label_y"] - p["label_y"]).alias("dy"))
-
-    def as_line(s: Column) -> Column:
-        norm = F.sqrt(s["dx"] * s["dx"] + s["dy"] * s["dy"])
-        a, b = -s["dy"] / norm, s["dx"] / norm
-        return F.struct(
-            s["h"].alias("h"), a.alias("a"), b.alias("b"),
-            (-(a * s["x0"] + b * s["y0"])).alias("c"))
-
+    h, m = F.col("h"), F.col("m")
+    first = F.pmod(F.lit(7919) * h + F.lit(104729) * dive, m)
+    second = F.pmod(first + F.lit(1) + F.pmod(F.lit(15485863) * h + dive, m - 1), m)
     hs = F.sequence(F.lit(0).cast("long"), F.lit(hypotheses - 1).cast("long"))
-    return (
-        packed.withColumn("_cand", F.transform(hs, candidate))
-        .withColumn("_cand", F.filter("_cand", lambda s: (s["dx"] != 0) | (s["dy"] != 0)))
-        .select("dive_id", F.transform("_cand", as_line).alias("cand"))
-    )
+    wanted = (
+        points.groupBy("dive_id").agg(F.count(F.lit(1)).alias("m"))
+        .filter(m >= MIN_POINTS)
+        .select("dive_id", "m", F.explode(hs).alias("h"))
+        .select("dive_id", "h", F.posexplode(F.array(first, second)).alias("_end", "_rank")))
+    pairs = (
+        wanted.join(numbered.select("dive_id", "_rank", "label_x", "label_y"), ["dive_id", "_rank"])
+        .groupBy("dive_id", "h").agg(*[
+            F.max(F.when(F.col("_end") == end, F.col(c))).alias(f"{axis}{end}")
+            for end in (0, 1) for axis, c in (("x", "label_x"), ("y", "label_y"))])
+        .withColumn("dx", F.col("x1") - F.col("x0")).withColumn("dy", F.col("y1") - F.col("y0")))
+    norm = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    usable = (F.col("dx") != 0) | (F.col("dy") != 0)
+    line = F.when(usable, F.struct(
+        F.col("h").cast("int").alias("h"), (-F.col("dy") / norm).alias("a"), (F.col("dx") / norm).alias("b"),
+        (-(-F.col("dy") / norm * F.col("x0") + F.col("dx") / norm * F.col("y0"))).alias("c")))
+    return pairs.groupBy("dive_id").agg(F.array_sort(F.collect_list(line)).alias("cand"))
 
 
 def consensus_lines(
@@ -185,26 +167,32 @@ def fit_lines(
     ).select("dive_id", "line_a", "line_b", "line_c", "votes"))
 
     a, b, c = F.col("line_a"), F.col("line_b"), F.col("line_c")
-    measured = salted_join(points, refit, ["dive_id"], ["image_id"], salts=salts).withColumn(
-        "d", perpendicular_distance(x, y, a, b, c))
+    # One row per positive, written once: the statistics, the centre and the spread read it.
+    measured = cut_lineage(
+        salted_join(points, refit, ["dive_id"], ["image_id"], "left", salts=salts)
+        .select(
+            "dive_id", "image_id", "line_a", "line_b", "line_c", "votes",
+            perpendicular_distance(x, y, a, b, c).alias("d"),
+            (a * y - b * x).alias("_u"), (a * x + b * y).alias("_v")))
     # Without a usable hypothesis the line is a plain fit and every point counts.
-    inlier = F.col("votes").isNull() | (F.col("votes") < 2) | (F.col("d") < tol_px)
+    inlier = a.isNotNull() & (F.col("votes").isNull() | (F.col("votes") < 2) | (F.col("d") < tol_px))
     stats = measured.groupBy("dive_id", "line_a", "line_b", "line_c").agg(
-        F.count_if(inlier).alias("inlier_count"),
+        F.count(F.lit(1)).alias("n_positives"),
+        F.when(a.isNotNull(), F.count_if(inlier)).alias("inlier_count"),
         F.stddev_pop(F.when(inlier, F.col("d"))).alias("residual_std"),
-        F.var_pop(F.when(inlier, a * y - b * x)).alias("_along"),
-        F.var_pop(F.when(inlier, a * x + b * y)).alias("_across"),
+        F.var_pop(F.when(inlier, F.col("_u"))).alias("_along"),
+        F.var_pop(F.when(inlier, F.col("_v"))).alias("_across"),
     )
+    measured = measured.filter(a.isNotNull())
     centre = exact_medians(measured, ["dive_id"], {"_med": "d"})
     spread = exact_medians(
         salted_join(measured.select("dive_id", "image_id", "d"), centre, ["dive_id"], ["image_id"], salts=salts)
         .withColumn("_dev", F.abs(F.col("d") - F.col("_med"))),
         ["dive_id"], {"_mad": "_dev"})
 
-    counts = points.groupBy("dive_id").agg(F.count(F.lit(1)).alias("n_positives"))
     confidence = _variance_ratio(F.col("_along"), F.col("_across"))
     return (
-        counts.join(stats, "dive_id", "left").join(spread, "dive_id", "left")
+        stats.join(spread, "dive_id", "left")
         .select(
             "dive_id", "n_positives", "line_a", "line_b", "line_c", "inlier_count",
             (F.col("inlier_count") / F.col("n_positives")).alias("inlier_fraction"),
@@ -237,7 +225,7 @@ def flag_outliers(
     limit = F.lit(sigma) * F.greatest(F.col("_label_noise_mad"), F.lit(float(mad_floor_px)))
     usable = F.col("is_positive") & F.col("_is_line_confident") & F.col("_label_noise_mad").isNotNull()
     return (
-        frames.join(facts, "dive_id", "left")
+        salted_join(frames, facts, ["dive_id"], ["image_id"], "left")
         .withColumn("perp_distance_to_line", d)
         .withColumn(
             "label_is_outlier",

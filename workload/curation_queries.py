@@ -200,7 +200,7 @@ WITH sure AS (
 duo AS (
   SELECT dive_id, h, i, (i + 1 + (15485863 * h + dive_id) % (m - 1)) % m AS j FROM (
     SELECT dive_id, h, m, (7919 * h + 104729 * dive_id) % m AS i
-    FROM (SELECT dive_id, least(any_value(n), 512) AS m FROM sure GROUP BY dive_id HAVING any_value(n) >= 5),
+    FROM (SELECT dive_id, any_value(n) AS m FROM sure GROUP BY dive_id HAVING any_value(n) >= 5),
          (SELECT range AS h FROM range(200)))),
 cand AS (
   SELECT dive_id, h, a, b, -(a * x0 + b * y0) AS c FROM (

@@ -177,7 +177,7 @@ SELECT q.dive_id, q.h, -(p1.y - p0.y) / norm AS a, (p1.x - p0.x) / norm AS b, p0
 FROM (
   SELECT dive_id, h, i, (i + 1 + (15485863 * h + dive_id) % (m - 1)) % m AS j FROM (
     SELECT dive_id, h, m, (7919 * h + 104729 * dive_id) % m AS i
-    FROM (SELECT dive_id, least(any_value(n), 512) AS m FROM points GROUP BY dive_id HAVING any_value(n) >= 5),
+    FROM (SELECT dive_id, any_value(n) AS m FROM points GROUP BY dive_id HAVING any_value(n) >= 5),
          (SELECT range AS h FROM range(200)))) q
 JOIN points p0 ON p0.dive_id = q.dive_id AND p0.k = q.i
 JOIN points p1 ON p1.dive_id = q.dive_id AND p1.k = q.j,
