@@ -16,6 +16,7 @@ from sightline.operators.ordering import first_n, value_ranked
 from sightline.sources.tables import flips_by_checksum
 from workload import views as v
 from workload.registry import query
+from workload.views_sql import with_ctes
 
 FRAME_COLUMNS = (
     "dive_id, image_id, rig_id, image_path, image_checksum, label_x, label_y, is_positive, label_string, "
@@ -191,42 +192,38 @@ def label_line_percentiles(spark, sf):
     return line_distance_percentiles(ln.flag_outliers(f, ln.fit_lines(f)))
 
 
-@query("cold_start_lines", """
-WITH sure AS (
-  SELECT f.dive_id, f.image_id, p.pred_x AS x, p.pred_y AS y,
-    row_number() OVER (PARTITION BY f.dive_id ORDER BY md5('0:' || f.image_id), f.image_id) - 1 AS k,
-    count(*) OVER (PARTITION BY f.dive_id) AS n
-  FROM frames f JOIN predictions p USING (image_id) WHERE p.pred_confidence >= 0.5 AND p.pred_x IS NOT NULL),
-duo AS (
-  SELECT dive_id, h, i, (i + 1 + (15485863 * h + dive_id) % (m - 1)) % m AS j FROM (
-    SELECT dive_id, h, m, (7919 * h + 104729 * dive_id) % m AS i
-    FROM (SELECT dive_id, any_value(n) AS m FROM sure GROUP BY dive_id HAVING any_value(n) >= 5),
-         (SELECT range AS h FROM range(200)))),
-cand AS (
-  SELECT dive_id, h, a, b, -(a * x0 + b * y0) AS c FROM (
-    SELECT d.dive_id, d.h, p0.x AS x0, p0.y AS y0,
-      -(p1.y - p0.y) / sqrt((p1.x - p0.x) * (p1.x - p0.x) + (p1.y - p0.y) * (p1.y - p0.y)) AS a,
-      (p1.x - p0.x) / sqrt((p1.x - p0.x) * (p1.x - p0.x) + (p1.y - p0.y) * (p1.y - p0.y)) AS b
-    FROM duo d JOIN sure p0 ON p0.dive_id = d.dive_id AND p0.k = d.i JOIN sure p1 ON p1.dive_id = d.dive_id AND p1.k = d.j
-    WHERE p1.x <> p0.x OR p1.y <> p0.y))
-SELECT dive_id, inliers AS inlier_count FROM (
-  SELECT r.dive_id, count(*) AS inliers FROM (
-    SELECT dive_id, a2, b2, -(a2 * mx + b2 * my) AS c2 FROM (
-      SELECT *, CASE WHEN cos(t) < 0 THEN sin(t) ELSE -sin(t) END AS a2, abs(cos(t)) AS b2 FROM (
-        SELECT s.dive_id, avg(s.x) AS mx, avg(s.y) AS my,
-          0.5 * atan2(2 * covar_pop(s.x, s.y), var_pop(s.x) - var_pop(s.y)) AS t
-        FROM sure s JOIN (
-          SELECT dive_id, a, b, c FROM (
-            SELECT c.*, row_number() OVER (PARTITION BY c.dive_id ORDER BY c.votes DESC, c.h) AS place FROM (
-              SELECT c.dive_id, c.h, any_value(c.a) AS a, any_value(c.b) AS b, any_value(c.c) AS c, count(*) AS votes
-              FROM cand c JOIN sure s ON s.dive_id = c.dive_id WHERE abs(c.a * s.x + c.b * s.y + c.c) < 4 GROUP BY c.dive_id, c.h) c)
-          WHERE place = 1) b ON s.dive_id = b.dive_id
-        WHERE abs(b.a * s.x + b.b * s.y + b.c) < 4 GROUP BY s.dive_id))) r
-  JOIN sure s ON s.dive_id = r.dive_id WHERE abs(r.a2 * s.x + r.b2 * s.y + r.c2) < 4 GROUP BY r.dive_id)
-""".replace("WITH sure AS", "SELECT * FROM (WITH sure AS") + ")", ("frames", "predictions"))
+# The fit over other points: the same fragments on another source.
+_FRAME_POINTS = ("label_x AS x, label_y AS y", "FROM frames WHERE is_positive")
+_FITTED = with_ctes(("predictions", "fitted"), """
+SELECT dive_id, n_positives, line_a, line_b, line_c, inlier_count, inlier_fraction, residual_std, label_noise_mad,
+  line_confidence, is_line_confident FROM fitted
+""")
+
+
+def _fitted_over(x_and_y: str, source: str) -> str:
+    return _FITTED.replace(_FRAME_POINTS[0], x_and_y).replace(_FRAME_POINTS[1], source)
+
+
+@query("cold_start_lines", _fitted_over(
+    "pred_x AS x, pred_y AS y",
+    "FROM frames JOIN predictions USING (image_id) WHERE pred_confidence >= 0.5 AND pred_x IS NOT NULL"),
+    (), LINE_DOUBLES, 4)
 def cold_start_lines(spark, sf):
-    return ln.cold_start(v.frames(spark, sf), v.predictions(spark, sf), 0.5).filter(
-        F.col("inlier_count").isNotNull()).select("dive_id", "inlier_count")
+    return ln.cold_start(v.frames(spark, sf), v.predictions(spark, sf), 0.5)
+
+
+@query("large_group_lines", _fitted_over(
+    "label_x AS x, label_y AS y", """FROM (
+  SELECT o_orderkey % 5 AS dive_id, o_orderkey AS image_id, CAST(o_custkey AS DOUBLE) AS label_x,
+    CAST(o_custkey AS DOUBLE) / 2 + CAST((o_orderkey * 7919) % 401 AS DOUBLE) / 50 - 4 AS label_y FROM orders)"""),
+    (), LINE_DOUBLES, 4)
+def large_group_lines(spark, sf):
+    """Five groups with thousands of points each."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey").cast("double")
+    points = v.table(spark, sf, "orders").select(
+        (key % 5).alias("dive_id"), key.alias("image_id"), customer.alias("label_x"),
+        (customer / 2 + ((key * 7919) % 401).cast("double") / 50 - 4).alias("label_y"), F.lit(True).alias("is_positive"))
+    return ln.fit_lines(points)
 
 
 # Tags and splits ---------------------------------------------------------------
