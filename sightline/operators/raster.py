@@ -19,12 +19,11 @@ from sightline.functions.geometry import perpendicular_distance
 from sightline.functions.hashing import all_of
 from sightline.operators.frames import classical_context, keep_members
 from sightline.operators.sampling import two_stage_sample
-from sightline.session import cut_lineage
+from sightline.session import cut_lineage, release
 
 PATCH_HALF = 31
-# A run is named by its row and first column; columns stay below this.
-ROW_STEP = 1 << 20
-MAX_ROUNDS = 64
+# A run is named by its row and first column, both 32-bit in every image format that is read.
+ROW_STEP = 1 << 31
 
 
 def pixel_runs(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -41,7 +40,7 @@ def pixel_runs(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.min("x").alias("x0"), F.max("x").alias("x1"),
             F.count(F.lit(1)).alias("area"), F.sum("x").alias("sum_x"), F.sum("val").alias("sum_val"))
         .select(
-            *keys, (F.col("y") * F.lit(ROW_STEP) + F.col("x0")).alias("node"),
+            *keys, (F.col("y").cast("long") * F.lit(ROW_STEP) + F.col("x0")).alias("node"),
             "y", "x0", "x1", "area", "sum_x", "sum_val")
     )
 
@@ -63,8 +62,9 @@ def touching_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def component_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, node, label): the smallest node id of each connected component.
 
-    Runs one job per round.  A round takes the least label among a node and its
-    neighbours and then the label of that label, which doubles the reach.
+    Runs one job per round until no label changes.  A round takes the least
+    label among a node and its neighbours and then the label of that label, which
+    doubles the reach.  A round's table is deleted when the next one is written.
     """
     keys = list(keys)
     both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
@@ -74,7 +74,7 @@ def component_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) ->
     linked = both.select(*keys, F.col("u").alias("node")).distinct()
     alone = labels.join(linked, [*keys, "node"], "left_anti")
     active = cut_lineage(labels.join(linked, [*keys, "node"], "left_semi"))
-    for _ in range(MAX_ROUNDS):
+    while True:
         offers = both.join(
             active.select(*keys, F.col("node").alias("v"), "label"), [*keys, "v"]
         ).groupBy(*keys, F.col("u").alias("node")).agg(F.min("label").alias("_offer"))
@@ -83,10 +83,10 @@ def component_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) ->
         jump = active.select(*keys, F.col("node").alias("_new"), F.col("label").alias("_jump"))
         moved = cut_lineage(lowered.join(jump, [*keys, "_new"], "left").select(
             *keys, "node", "_old", F.least("_new", "_jump").alias("label")))
+        release(active)
         active = moved.select(*keys, "node", "label")
         if moved.filter(F.col("label") != F.col("_old")).isEmpty():
             return alone.unionByName(active)
-    raise RuntimeError("component labels did not settle")
 
 
 def labelled_runs(mask: DataFrame, keys: Sequence[str]) -> DataFrame:

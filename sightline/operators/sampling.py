@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sightline.functions.hashing import token, uniform
 from sightline.operators.frames import keep_members, positives
 from sightline.operators.ordering import (
-    exact_quantiles, first_n, running_weight, token_ranked, with_constants)
+    exact_quantiles, first_n, running_weight, salted_join, token_ranked, with_constants)
 
 # Fixed value: lowest weight of a negative, so that none is lost for good.
 HARDNESS_FLOOR = 1e-3
-# Equal slices of the cumulative weight in which draws meet their rows.
-WEIGHT_SLICES = 4096
+# Unit of a weight: 2**-30.  A sum of 8e9 weights of one still fits a bigint.
+WEIGHT_UNITS = 1 << 30
+# Rows and draws per slice of the cumulative weight in which they meet.
+SLICE_ROWS = 65_536
 
 
 def two_stage_sample(
@@ -80,6 +82,11 @@ def sample_negatives(records: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return records.filter(F.col("label_x").isNull()).orderBy(tok, "image_id").limit(k)
 
 
+def fixed_weight(weight: Column) -> Column:
+    """Weight as an integer number of 2**-30; sums do not depend on their order."""
+    return F.rint(weight * F.lit(float(WEIGHT_UNITS))).cast("long")
+
+
 def draw_by_weight(
     draws: DataFrame,
     rows: DataFrame,
@@ -87,49 +94,54 @@ def draw_by_weight(
     weight: str,
     u: str,
     seed: object = 0,
-    slices: int = WEIGHT_SLICES,
+    slices: int | None = None,
 ) -> DataFrame:
     """For each draw the row whose cumulative-weight interval holds ``u`` times the total.
 
-    Both sides are cut into equal slices of the cumulative weight.  A row that
-    spans several slices enters each of them, so one row with a third of all
-    weight is no hot spot.  Inside a slice, rows and draws are merged in one
-    sort and every draw takes the last row start before it: no pairs are formed.
-    The total weight is read by a job of its own.
+    Weights become integers (:func:`fixed_weight`), so cumulative weights are exact and
+    independent of the partitioning.  Both sides are cut into equal slices of the
+    cumulative weight, by default about as many as there are SLICE_ROWS rows and
+    draws.  A row that spans several slices enters each of them, so one row
+    with a third of all weight is no hot spot, and every slice begins with a row.
+    Inside a slice, rows and draws are merged in one sort and every draw takes
+    the last row start before it: no pairs are formed.  The totals are read by
+    a job of its own.
     """
-    totals = rows.agg(F.sum(weight).alias("weight_total"))
-    placed = with_constants(
-        running_weight(rows.select(row_id, weight), weight, token(seed, row_id), [row_id]), totals)
-    total = F.col("weight_total")
+    units = rows.select(row_id, fixed_weight(F.col(weight)).alias("_w")).filter(F.col("_w") > 0)
+    facts = units.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("weight_total"), F.count(F.lit(1)).alias("_rows"))
+    n_draws = draws.agg(F.count(F.lit(1)).alias("_draws"))
+
+    def known(df: DataFrame) -> DataFrame:
+        return with_constants(with_constants(df, facts), n_draws)
 
-    def slice_of(position: Column) -> Column:
-        raw = F.floor(position / total * F.lit(float(slices))).cast("long")
-        return F.greatest(F.lit(0), F.least(raw, F.lit(slices - 1)))
+    placed = known(running_weight(units, "_w", token(seed, row_id), [row_id]))
+    # Width of a slice in weight units: integer arithmetic on both sides.
+    count = F.lit(slices) if slices else F.floor((F.col("_rows") + F.col("_draws")) / F.lit(SLICE_ROWS)) + 1
+    width = F.greatest(F.lit(1), F.ceil(F.col("weight_total") / count)).cast("long")
 
     spans = (
-        placed.filter(F.col(weight) > 0)
-        .withColumn("_slice", F.explode(F.sequence(
-            slice_of(F.col("weight_before")), slice_of(F.col("weight_before") + F.col(weight)))))
+        placed.withColumn("_width", width)
+        .withColumn("_slice", F.explode(F.expr(
+            "sequence(weight_before div _width, (weight_before + _w - 1) div _width)")))
         .select(
             "_slice", F.col("weight_before").alias("_at"), F.lit(0).alias("_kind"),
             F.col(row_id).alias("_row"), *[F.lit(None).cast(t).alias(c) for c, t in draws.dtypes])
     )
     wanted = (
-        with_constants(draws, totals)
+        known(draws)
         .filter(F.col("weight_total") > 0)
-        .withColumn("_at", F.col(u) * total)
+        .withColumn("_at", F.least(
+            F.floor(F.col(u) * F.col("weight_total")), F.col("weight_total") - 1).cast("long"))
+        .withColumn("_width", width)
         .select(
-            slice_of(F.col("_at")).alias("_slice"), "_at", F.lit(1).alias("_kind"),
+            F.expr("_at div _width").alias("_slice"), "_at", F.lit(1).alias("_kind"),
             F.lit(None).cast(dict(rows.dtypes)[row_id]).alias("_row"), *draws.columns)
     )
-    merged = Window.partitionBy("_slice").orderBy("_at", "_kind", "_row")
-    upto = merged.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Only a rounding step at a slice border can leave a draw before every row.
-    after = merged.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    upto = Window.partitionBy("_slice").orderBy("_at", "_kind", "_row").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     return (
         spans.unionByName(wanted)
-        .withColumn("_last", F.last("_row", ignorenulls=True).over(upto))
-        .withColumn(row_id, F.coalesce("_last", F.first("_row", ignorenulls=True).over(after)))
+        .withColumn(row_id, F.last("_row", ignorenulls=True).over(upto))
         .filter(F.col("_kind") == 1)
         .select(*draws.columns, row_id)
     )
@@ -159,12 +171,21 @@ def balanced_epoch(
     draws = with_constants(order.select("r", "n"), n_neg)
 
     if balance_colours:
-        # Pooled weight one per colour; a missing tag is a group of its own.
-        sizes = pos.groupBy("wavelength").agg(F.count(F.lit(1)).alias("_size"))
-        weights = pos.join(sizes, pos["wavelength"].eqNullSafe(sizes["wavelength"])).select(
-            "image_id", (F.lit(1.0) / F.col("_size")).alias("w"))
-        drawn_pos = draw_by_weight(
-            draws.select("r", uniform(f"{base}/pu", "r").alias("u")), weights, "image_id", "w", "u", f"{base}/pw")
+        # A colour with equal chances first, then a rank inside the colour; a missing tag is a colour of its own.
+        ranks = token_ranked(
+            pos.withColumn("_colour", F.coalesce(F.concat(F.lit("="), F.col("wavelength")), F.lit(""))),
+            ["_colour"], token(f"{base}/pw", "image_id"), ["image_id"], "_i", "_size")
+        sizes = ranks.groupBy("_colour").agg(F.max("_size").alias("_size"))
+        # One row per colour, so this window is small.
+        colours = sizes.withColumn("_c", F.row_number().over(Window.orderBy("_colour")) - 1)
+        n_colours = sizes.agg(F.count(F.lit(1)).alias("_n_colours"))
+        wanted = with_constants(draws.select("r"), n_colours).withColumn(
+            "_u", uniform(f"{base}/pu", "r") * F.col("_n_colours")).withColumn(
+            "_c", F.least(F.floor("_u").cast("int"), (F.col("_n_colours") - 1).cast("int")))
+        drawn_pos = salted_join(wanted, colours, ["_c"], ["r"]).select(
+            "r", "_colour",
+            F.least(F.floor((F.col("_u") - F.col("_c")) * F.col("_size")).cast("long"), F.col("_size") - 1).alias("_i"),
+        ).join(ranks.select("_colour", "_i", "image_id"), ["_colour", "_i"]).select("r", "image_id")
     else:
         index = F.when(
             F.col("n_neg") > 0,

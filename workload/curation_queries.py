@@ -357,7 +357,27 @@ def sharded_epoch(spark, sf):
     return sm.shard(draws, 4, seed=5).select("shard", "position", "kind", "image_id")
 
 
-@query("colour_balanced_epoch")
+_UNIFORM = "CAST(CAST('0x' || substr(md5('1/0/{}:' || r), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496"
+
+
+@query("colour_balanced_epoch", f"""
+SELECT * FROM (
+WITH p AS (
+  SELECT image_id, coalesce('=' || wavelength, '') AS colour FROM frames LEFT JOIN tags USING (dive_id) WHERE is_positive),
+k AS (
+  SELECT image_id, colour, row_number() OVER (PARTITION BY colour ORDER BY md5('1/0/pw:' || image_id), image_id) - 1 AS i,
+    count(*) OVER (PARTITION BY colour) AS size FROM p),
+c AS (SELECT *, row_number() OVER (ORDER BY colour) - 1 AS ci, count(*) OVER () AS nc FROM (SELECT DISTINCT colour, size FROM k)),
+q AS (
+  SELECT image_id, row_number() OVER (ORDER BY md5('1/0/nw:' || image_id), image_id) - 1 AS i, count(*) OVER () AS n
+  FROM frames WHERE NOT is_positive),
+d AS (SELECT range AS r FROM range((SELECT count(*) FROM p))),
+u AS (SELECT r, nc, {_UNIFORM.format('pu')} * nc AS up, {_UNIFORM.format('nu')} AS un FROM d, (SELECT DISTINCT nc FROM c)),
+w AS (SELECT *, least(CAST(floor(up) AS BIGINT), nc - 1) AS ci FROM u)
+SELECT w.r AS draw, 'positive' AS kind, k.image_id FROM w JOIN c USING (ci)
+JOIN k ON k.colour = c.colour AND k.i = least(CAST(floor((w.up - w.ci) * c.size) AS BIGINT), c.size - 1)
+UNION ALL SELECT u.r, 'negative', q.image_id FROM u JOIN q ON q.i = CAST(floor(u.un * q.n) AS BIGINT))
+""", ("frames", "tags"))
 def colour_balanced_epoch(spark, sf):
     return sm.balanced_epoch(_records(spark, sf), None, seed=1, epoch=0, balance_colours=True)
 
