@@ -20,8 +20,8 @@ WINDOW = 10
 PASS_WORDS = 1_000_000
 
 _HITS = T.StructType([
-    T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.LongType())),
-    T.StructField("items", T.ArrayType(T.StringType()))])
+    T.StructField("_n_words", T.LongType()), T.StructField("_hit_spans", T.ArrayType(T.LongType())),
+    T.StructField("_items", T.ArrayType(T.StringType()))])
 
 
 def _normal(words: Words, first: int, size: int) -> bytes:
@@ -106,7 +106,14 @@ def find_contamination(
     The benchmark goes through the driver in passes of at most PASS_WORDS words (one job counts them);
     each pass is one scan of the documents.
     """
-    found = documents.drop("n_words", "hit_spans", "items")
+    public = [n.removeprefix("_") for n in _HITS.names]
+    found = _scanned(documents.drop(*public), benchmark, text, item, item_text)
+    return found.withColumnsRenamed(dict(zip(_HITS.names, public)))
+
+
+def _scanned(documents: DataFrame, benchmark: DataFrame, text: str, item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``documents`` with the three columns under names of our own."""
+    found = documents
     passes = _passes(benchmark, item, item_text)
     spark = documents.sparkSession
     own = found.schema
@@ -118,12 +125,12 @@ def find_contamination(
             for batch in batches:
                 n_words, spans, names = windows.scan(batch.column(text))
                 if later:
-                    spans = [_union(a, b) for a, b in zip(batch.column("hit_spans").to_pylist(), spans)]
-                    names = [sorted({*a, *b}) for a, b in zip(batch.column("items").to_pylist(), names)]
-                    batch = batch.drop_columns(["n_words", "hit_spans", "items"])
+                    spans = [_union(a, b) for a, b in zip(batch.column("_hit_spans").to_pylist(), spans)]
+                    names = [sorted({*a, *b}) for a, b in zip(batch.column("_items").to_pylist(), names)]
+                    batch = batch.drop_columns(_HITS.names)
                 columns = [*batch.columns, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())),
                            pa.array(names, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "n_words", "hit_spans", "items"])
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *_HITS.names])
 
         found = found.mapInArrow(scan, T.StructType([*own.fields, *_HITS.fields]))
     return found
@@ -172,14 +179,14 @@ def decontaminate(
     """
     if mode not in ("document", "span"):
         raise ValueError(f"unknown mode {mode!r}")
-    found = find_contamination(documents, benchmark, text)
+    found = _scanned(documents, benchmark, text)
     names = documents.columns
     if mode == "document":
-        return found.where(F.size("hit_spans") == 0).select(*names)
+        return found.where(F.size("_hit_spans") == 0).select(*names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [without_spans(t, s) for t, s in zip(batch.column(text).to_pylist(), batch.column("hit_spans").to_pylist())]
+            texts = [without_spans(t, s) for t, s in zip(batch.column(text).to_pylist(), batch.column("_hit_spans").to_pylist())]
             at = names.index(text)
             kept = batch.select(names)
             yield kept.set_column(at, text, pa.array(texts, kept.schema.field(text).type))
