@@ -39,7 +39,7 @@ def _stage(body: Stage) -> Stage:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts; trained on ``labels`` of the documents at hand."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model).where("kept").select(*docs.columns)
+    return quality_classifier.score(docs, model, prefix="_own_").where("_own_kept").select(*docs.columns)
 
 
 @_stage
@@ -51,11 +51,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @_stage
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages; a document that consists of nothing else goes."""
-    cut = substring_dedup.remove_repeated(docs)
-    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long"))
+    cut = substring_dedup.remove_repeated(docs, prefix="_own_")
+    length = F.when(F.col("_own_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long"))
     kind = docs.schema["n_chars"].dataType
     return (
-        cut.where("n_removed = 0 OR n_removed < n_words").withColumn("n_chars", length.cast(kind)).select(*docs.columns))
+        cut.where("_own_n_removed = 0 OR _own_n_removed < _own_n_words").withColumn("n_chars", length.cast(kind)).select(*docs.columns))
 
 
 @_stage
