@@ -168,10 +168,17 @@ def value_ranked(
     rank: str = "rank",
     total: str | None = None,
 ) -> DataFrame:
-    """Position by a mostly distinct numeric column (ids, sequence numbers)."""
+    """Position by a mostly distinct numeric column (ids, sequence numbers).
+
+    Buckets count from the middle of the column's range, so ids that all begin far
+    from zero spread as well.  The range is read by a job of its own.
+    """
+    both = df.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
+    low, high = both if both else (None, None)
+    middle = F.lit(0 if low is None else low + (high - low) / 2 if isinstance(low, float) else (low + high) // 2)
     return ranked(
         df, keys, [F.col(value), *[F.col(t) for t in ties]],
-        value_bucket(F.col(value).cast("double")), rank, total)
+        value_bucket((F.col(value) - middle).cast("double")), rank, total)
 
 
 def running_weight(

@@ -13,7 +13,7 @@ from sightline.functions.labels import (
 from sightline.operators.frames import positives
 from sightline.operators.metrics import MIN_FOR_QUARTILES, with_quartile
 from sightline.operators.ordering import (
-    attach_scalars, exact_quantiles, value_ranked, with_constants, with_medians)
+    attach_scalars, exact_quantiles, salted_join, value_ranked, with_constants, with_medians)
 from sightline.session import cut_lineage
 
 TOP_K = (1, 5, 10, 20, 50)
@@ -43,8 +43,9 @@ def summarize_axis(pos: DataFrame, by: Sequence[str]) -> DataFrame:
     by = list(by)
     grouped = with_medians(pos.groupBy(*by).agg(*_summary()), pos, by, {"median_err": "err"})
     # Every positive is in one group, so the groups add up to all failures.
-    fails = F.greatest(F.sum("n_fail").over(Window.partitionBy()), F.lit(1))
-    return grouped.withColumn("_fails", fails).select(
+    # Their number may be large (dives), so the total is a scalar of its own.
+    total = pos.agg(F.greatest(F.count_if(F.col("fail")), F.lit(1)).alias("_fails"))
+    return attach_scalars(grouped, total).select(
         *by, "n", "n_fail", "hit_rate_n3", "median_err", "mean_err",
         (F.col("n_fail") / F.col("n")).alias("failure_rate"),
         (F.col("n_fail") / F.col("_fails")).alias("share_of_failures"))
@@ -209,18 +210,18 @@ def concentration(per_dive: DataFrame, ks: Sequence[int] = TOP_K) -> DataFrame:
 
 def cumulative_failures(per_dive: DataFrame) -> DataFrame:
     """Rank of each dive by failures and the running total: the Pareto curve."""
-    ordered = per_dive.withColumn("_down", -F.col("n_fail"))
-    ranked = value_ranked(ordered, [], "_down", ["dive_id"], "_r")
+    # Most dives share a few levels, so each level is ranked by dive id in slices of its own.
+    ranked = value_ranked(per_dive, ["n_fail"], "dive_id", [], "_level_rank")
     levels = per_dive.groupBy("n_fail").agg(F.count(F.lit(1)).alias("dives"))
-    down = Window.orderBy(F.col("n_fail").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = (
-        levels.withColumn("_to", F.sum("dives").over(down))
-        .withColumn("_fails", F.sum(F.col("n_fail") * F.col("dives")).over(down))
-        .select("n_fail", "_to", "_fails")
-    )
-    return ranked.join(offsets, "n_fail").select(
-        (F.col("_r") + 1).alias("dive_rank"), "dive_id", "n_fail",
-        (F.col("_fails") - (F.col("_to") - F.col("_r") - 1) * F.col("n_fail")).alias("cum_fail"))
+    higher = Window.orderBy(F.col("n_fail").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = levels.select(
+        "n_fail",
+        F.coalesce(F.sum("dives").over(higher), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum(F.col("n_fail") * F.col("dives")).over(higher), F.lit(0)).alias("_fails"))
+    place = F.col("_level_rank") + 1
+    return salted_join(ranked, offsets, ["n_fail"], ["dive_id"]).select(
+        (F.col("_before") + place).alias("dive_rank"), "dive_id", "n_fail",
+        (F.col("_fails") + place * F.col("n_fail")).alias("cum_fail"))
 
 
 def with_residual(df: DataFrame) -> DataFrame:

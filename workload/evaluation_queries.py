@@ -338,11 +338,24 @@ def embedding_by_label(spark, sf):
     return st.compare_groups(e, "val", F.col("label") < 5)
 
 
-@query("confidence_test_p")
+# Normal tail by the midpoint rule over the bell between 0 and |z|.
+_P_VALUE = """SELECT t.*, 1 - 2 / sqrt(pi()) * (SELECT sum(exp(-power(x * (range + 0.5) / 20000, 2)) * x / 20000)
+    FROM range(20000), (SELECT abs(t.z) / sqrt(CAST(2 AS DOUBLE)) AS x)) AS p_value FROM ({test}) t"""
+
+
+@query("confidence_test_p", _P_VALUE.replace("{test}", GROUP_TEST.replace(
+    "{source}", "SELECT fail AS a, pred_confidence AS val FROM pos")), ("pos",), TEST_DOUBLES + " p_value")
 def confidence_test_p(spark, sf):
     return st.with_p_value(st.compare_groups(v.positives(spark, sf), "pred_confidence", F.col("fail")))
 
 
+@query("embedding_test_p", _P_VALUE.replace("{test}", GROUP_TEST.replace(
+    "{source}", "SELECT label < 5 AS a, CAST(embedding[2] AS DOUBLE) AS val FROM embeddings")), (), TEST_DOUBLES + " p_value")
+def embedding_test_p(spark, sf):
+    e = v.table(spark, sf, "embeddings").select(F.col("embedding")[1].cast("double").alias("val"), "label")
+    return st.with_p_value(st.compare_groups(e, "val", F.col("label") < 5))
+
+
 def _deltas(spark, sf) -> DataFrame:
     return st.paired_deltas(v.positives(spark, sf).filter(F.col("fail")), "pred_y", "label_y")
 
@@ -355,18 +368,26 @@ def paired_deltas(spark, sf):
     return st.paired_summary(_deltas(spark, sf))
 
 
-@query("signed_rank", """
+SIGNED_RANK = """
 SELECT n, w AS w_stat, (w - nd * (nd + 1) / 4) / sqrt((nd * (nd + 1) * (2 * nd + 1) - ties / 2) / 24) AS z FROM (
   SELECT count(*) AS n, CAST(count(*) AS DOUBLE) AS nd, least(sum(r) FILTER (WHERE d > 0), sum(r) FILTER (WHERE d < 0)) AS w,
     sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM (
     SELECT *, rank() OVER (ORDER BY abs(d)) + CAST(t - 1 AS DOUBLE) / 2 AS r FROM (
       SELECT d, count(*) OVER (PARTITION BY abs(d)) AS t FROM (
         SELECT pred_y - label_y AS d FROM pos WHERE fail) WHERE d <> 0)))
-""", ("pos",), "w_stat z")
+"""
+
+
+@query("signed_rank", SIGNED_RANK, ("pos",), "w_stat z")
 def signed_rank(spark, sf):
     return st.signed_rank(_deltas(spark, sf))
 
 
+@query("signed_rank_p", _P_VALUE.replace("{test}", SIGNED_RANK), ("pos",), "w_stat z p_value")
+def signed_rank_p(spark, sf):
+    return st.with_p_value(st.signed_rank(_deltas(spark, sf)))
+
+
 # Calibration ----------------------------------------------------------------------------
 
 FOUND = "(SELECT *, pred_x - label_x AS dx, pred_y - label_y AS dy FROM per_frame WHERE is_positive AND pred_x IS NOT NULL AND pred_y IS NOT NULL)"
