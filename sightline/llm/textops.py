@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts are taken in groups of about so many bytes; a longer text is a group of its own.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)  # odd, and base - 1 is divisible by 4 only
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
