@@ -31,11 +31,11 @@ def split_failed(sources: DataFrame, failures: DataFrame, key: str) -> tuple[Dat
     return good, counts
 
 
-def latest_images(images: DataFrame, order: str | None = None) -> DataFrame:
-    """One row per (dive, image): the last one by ``order`` wins."""
+def latest_images(images: DataFrame, order: str) -> DataFrame:
+    """One row per (dive, image): the last one by ``order`` wins, then the largest path."""
     keep = [c for c in ("image_path", "image_checksum") if c in images.columns]
     body = F.struct(*keep)
-    chosen = F.max_by(body, F.col(order)) if order else F.max(body)
+    chosen = F.max_by(body, F.struct(F.col(order).alias("order"), body.alias("body")))
     return (
         images.filter(F.col("image_id").isNotNull())
         .groupBy("dive_id", "image_id").agg(chosen.alias("_image"))
@@ -44,7 +44,7 @@ def latest_images(images: DataFrame, order: str | None = None) -> DataFrame:
 
 
 def build_frames(
-    dives: DataFrame, images: DataFrame, labels: DataFrame, image_order: str | None = None
+    dives: DataFrame, images: DataFrame, labels: DataFrame, image_order: str
 ) -> DataFrame:
     """One row per label that has an image in its own dive.
 

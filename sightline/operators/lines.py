@@ -234,15 +234,22 @@ def flag_outliers(
     )
 
 
-def cold_start(
-    frames: DataFrame, predictions: DataFrame, min_confidence: float, **fit: object
-) -> DataFrame:
-    """Line fit from confident predictions, for dives without labels yet."""
+def pseudo_positives(frames: DataFrame, predictions: DataFrame, min_confidence: float) -> DataFrame:
+    """Confident predictions as positive labels (dive_id, image_id, label_x, label_y)."""
     sure = predictions.filter(
         (F.col("pred_confidence") >= min_confidence)
         & F.col("pred_x").isNotNull() & F.col("pred_y").isNotNull())
-    pseudo = frames.select("dive_id", "image_id").join(sure, "image_id").select(
+    return frames.select("dive_id", "image_id").join(sure, "image_id").select(
         "dive_id", "image_id",
         F.col("pred_x").alias("label_x"), F.col("pred_y").alias("label_y"),
         F.lit(True).alias("is_positive"))
-    return fit_lines(pseudo, **fit)
+
+
+def cold_start(
+    frames: DataFrame, predictions: DataFrame, min_confidence: float, **fit: object
+) -> DataFrame:
+    """Line fit from confident predictions, for dives without labels yet.
+
+    Their colours come from :func:`sightline.operators.tags.cold_start_tags`.
+    """
+    return fit_lines(pseudo_positives(frames, predictions, min_confidence), **fit)

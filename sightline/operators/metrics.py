@@ -134,7 +134,8 @@ def evaluate_joined(
 
     Line quartiles are taken over all joined frames and need four known values.
     The five columns the metrics use are written to the checkpoint folder once,
-    so the joins behind them run once and not per metric (runs two jobs).
+    so the joins behind them run once and not per metric (runs two jobs).  Without
+    any frame the result is the one row overall, n_frames, 0.
     """
     rows = cut_lineage(scored_rows(per_frame, ["wavelength", "line_confidence"]))
     binned = with_quartile(
@@ -142,7 +143,10 @@ def evaluate_joined(
     sliced = binned.select(
         F.explode(slice_names(F.col("wavelength"), F.col("_q"))).alias("slice"),
         "is_positive", "_conf", "_err")
-    return as_long(metrics_of_rows(sliced, ["slice"], presence_threshold, tolerances_px), ["slice"])
+    nothing = rows.agg(F.count(F.lit(1)).alias("value")).filter("value = 0").select(
+        F.lit("overall").alias("slice"), F.lit("n_frames").alias("metric"), F.col("value").cast("double").alias("value"))
+    return as_long(
+        metrics_of_rows(sliced, ["slice"], presence_threshold, tolerances_px), ["slice"]).unionByName(nothing)
 
 
 def evaluate(

@@ -21,13 +21,15 @@ def sigmoid(z: Column) -> Column:
 def line_gate(records: DataFrame, use_line: bool = True) -> DataFrame:
     """Line parameters as inference sees them: only if asked for and confident.
 
-    Corridor and snap share this gate.
+    Corridor and snap share this gate.  ``records`` may hold an image several times
+    (one row per label); its dive, and so its line, is the same.
     """
     usable = F.lit(use_line) & F.coalesce("is_line_confident", F.lit(False)) & F.col("line_a").isNotNull()
     return records.select(
         "image_id", "width", "height",
         *[F.when(usable, F.col(c)).alias(c) for c in ("line_a", "line_b", "line_c")],
-        F.when(usable, F.col("line_confidence")).otherwise(F.lit(0.0)).alias("line_confidence"))
+        F.when(usable, F.col("line_confidence")).otherwise(F.lit(0.0)).alias("line_confidence"),
+    ).dropDuplicates(["image_id"])
 
 
 def masked_value(prior: RigPrior | None, corridor_px: float | None) -> Column:

@@ -143,26 +143,27 @@ def classical_predictions(
 def blob_under_label(points: DataFrame, pixels: DataFrame, half: int = PATCH_HALF) -> DataFrame:
     """Blob of the audit mask that holds the labelled pixel, within a patch.
 
-    ``points`` has (dive_id, image_id, label_x, label_y), one per image.  Off-blob
-    labels and blobs above a quarter of the patch are dropped.
+    ``points`` has (dive_id, image_id, label_x, label_y), any number per image; each
+    label is measured in the patch of its own rounded centre.  Off-blob labels and
+    blobs above a quarter of the patch are dropped.
     """
-    centre = points.select(
+    labelled = points.select(
         "dive_id", "image_id",
         F.rint("label_x").cast("long").alias("cx"), F.rint("label_y").cast("long").alias("cy"))
-    patch = centre.join(pixels, "image_id").filter(
+    keys = ["image_id", "cx", "cy"]
+    patch = labelled.select(*keys).distinct().join(pixels, "image_id").filter(
         F.col("x").between(F.col("cx") - half, F.col("cx") + half)
         & F.col("y").between(F.col("cy") - half, F.col("cy") + half))
-    size = patch.groupBy("image_id").agg(F.count(F.lit(1)).alias("patch_size"))
+    size = patch.groupBy(*keys).agg(F.count(F.lit(1)).alias("patch_size"))
     mask = patch.filter(audit_mask(F.col("b"), F.col("g"), F.col("r"))).select(
-        "image_id", "x", "y", F.lit(0).alias("val"))
-    runs = labelled_runs(mask, ["image_id"])
-    under = runs.join(centre.select("image_id", "cx", "cy"), "image_id").filter(
-        (F.col("y") == F.col("cy")) & F.col("cx").between(F.col("x0"), F.col("x1"))
-    ).select("image_id", "label")
-    area = runs.join(under, ["image_id", "label"], "left_semi").groupBy("image_id").agg(
+        *keys, "x", "y", F.lit(0).alias("val"))
+    runs = labelled_runs(mask, keys)
+    under = runs.filter(
+        (F.col("y") == F.col("cy")) & F.col("cx").between(F.col("x0"), F.col("x1"))).select(*keys, "label")
+    area = runs.join(under, [*keys, "label"], "left_semi").groupBy(*keys).agg(
         F.sum("area").alias("blob_pixels"))
     return (
-        centre.select("dive_id", "image_id").join(area, "image_id").join(size, "image_id")
+        labelled.join(area, keys).join(size, keys)
         .filter(F.col("blob_pixels") <= F.lit(MAX_PATCH_FRACTION) * F.col("patch_size"))
         .select(
             "dive_id", "image_id",

@@ -260,6 +260,12 @@ def audit_picks(audit: DataFrame, top: int = 15, colours: Sequence[str] = ("red"
     return largest.unionByName(spread)
 
 
+def picks_with_frames(picks: DataFrame, frames: DataFrame) -> DataFrame:
+    """Audit picks with path, checksum and label of their image; one row per label, null without a frame."""
+    facts = ["image_path", "image_checksum", "label_x", "label_y"]
+    return picks.join(frames.select("image_id", *facts), "image_id", "left").select(*picks.columns, *facts)
+
+
 def size_distribution(audit: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """min, p10, median, p90, max of the blob diameter."""
     d = "blob_diameter_px"

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.functions.pixels import hsv
 from sightline.operators.frames import positives
+from sightline.operators.lines import pseudo_positives
 from sightline.operators.ordering import DEFAULT_SALTS, first_n
+from sightline.session import cut_lineage
 
 # Recognised colour words and sampling limits.
 COLOUR_WORDS = ("red", "green", "blue")
@@ -43,21 +45,24 @@ def brightest_in_patch(points: DataFrame, pixels: DataFrame, half: int = PATCH_H
     ``points`` has (dive_id, image_id, label_x, label_y).  Centres outside the
     raster yield no row.  The pixel table meets the few sampled points on
     image_id and is filtered to their patches before anything is aggregated.
+    Several labels of one image count one by one, also where their centres agree.
     """
     centre = points.select(
         "dive_id", "image_id",
-        F.rint("label_x").cast("long").alias("cx"), F.rint("label_y").cast("long").alias("cy"))
+        F.rint("label_x").cast("long").alias("cx"), F.rint("label_y").cast("long").alias("cy"),
+    ).groupBy("dive_id", "image_id", "cx", "cy").agg(F.count(F.lit(1)).alias("_labels"))
     near = centre.join(pixels, "image_id").filter(
         F.col("x").between(F.col("cx") - half, F.col("cx") + half)
         & F.col("y").between(F.col("cy") - half, F.col("cy") + half))
     value = hsv(F.col("b"), F.col("g"), F.col("r")).val
     return (
-        near.groupBy("dive_id", "image_id", "cx", "cy")
+        near.groupBy("dive_id", "image_id", "cx", "cy", "_labels")
         .agg(
             F.max_by(F.struct("b", "g", "r"), F.struct(
                 value.alias("v"), (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))).alias("_c"),
             F.count_if((F.col("x") == F.col("cx")) & (F.col("y") == F.col("cy"))).alias("_centre"))
         .filter(F.col("_centre") > 0)
+        .withColumn("_label", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_labels"))))
         .select("dive_id", "image_id", *[F.col(f"_c.{k}").cast("double").alias(k) for k in "bgr"])
     )
 
@@ -136,3 +141,16 @@ def infer_tags(frames: DataFrame, pixels: DataFrame | None = None) -> DataFrame:
         return resolve_tags(frames)
     colours = dive_colours(frames, pixels)
     return resolve_tags(frames, colours, cluster_tags(colours))
+
+
+def cold_start_tags(
+    frames: DataFrame, predictions: DataFrame, pixels: DataFrame, min_confidence: float
+) -> DataFrame | None:
+    """Clustered colour per dive from confident predictions, for dives without labels yet.
+
+    (dive_id, dive_color_b, dive_color_g, dive_color_r, cluster); None below two dives.
+    """
+    points = pseudo_positives(frames, predictions, min_confidence)
+    colours = cut_lineage(dive_colours(points, pixels))
+    clusters = cluster_tags(colours)
+    return None if clusters is None else colours.join(clusters, "dive_id")

@@ -17,6 +17,8 @@ from sightline.sources.tables import read_or_compute
 
 @dataclass(frozen=True)
 class CurationSettings:
+    # Column of the images whose largest value marks the image that counts, where an id comes twice.
+    image_order: str = "image_order"
     canonical_only: bool = True
     max_dives: int | None = None
     seed: int = 0
@@ -47,7 +49,7 @@ def curate(
         return read_or_compute(spark, f"{out}/{name}.parquet", compute, schema, settings.force)
 
     chosen = choose_dives(dives, settings.canonical_only, settings.max_dives)
-    frames = step("frames", lambda: build_frames(chosen, images, labels), schemas.FRAMES)
+    frames = step("frames", lambda: build_frames(chosen, images, labels, settings.image_order), schemas.FRAMES)
     lines = step("dive_lines", lambda: fit_lines(frames, settings.seed), schemas.LINES)
     flagged = step("frames_flagged", lambda: flag_outliers(frames, lines), schemas.FRAMES_FLAGGED)
     tags = step("dive_wavelengths", lambda: infer_tags(frames, pixels), schemas.WAVELENGTHS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,14 @@ def scan_images(spark: SparkSession, root: str) -> DataFrame:
     """Decoded images under ``root`` with their relative ``image_path`` (BGR bytes)."""
     raw = spark.read.format("image").option("dropInvalid", True).option(
         "recursiveFileLookup", True).load(root)
-    relative = F.regexp_replace(F.col("image.origin"), r"^[a-z]+:/*", "/")
-    clean = root.rstrip("/") + "/"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") or "/")
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    # ``file:/a`` and ``file:///a`` name the same folder; an authority stays.
+    base = re.sub(r"^file:/+", "file:/", full).rstrip("/") + "/"
+    origin = F.regexp_replace(F.col("image.origin"), r"^file:/+", "file:/")
+    outside = F.raise_error(F.concat(F.lit(f"not below {base}: "), F.col("image.origin")))
     return raw.select(
-        F.substring(relative, len(clean) + 1, 1 << 16).alias("image_path"),
+        F.when(origin.startswith(base), F.substring(origin, len(base) + 1, 1 << 16)).otherwise(outside).alias("image_path"),
         F.col("image.height").alias("height"), F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("n_channels"), F.col("image.data").alias("data"))
 

@@ -236,3 +236,35 @@ def test_first_n_and_ranks_with_one_hot_group(spark):
     assert [r["id"] for r in top.filter("k = 0").orderBy("id").collect()] == [0, 1, 2]
     ranks = token_ranked(df, ["k"], F.md5(F.col("id").cast("string")), ["id"], "r", "n").filter("k = 0")
     assert ranks.agg(F.count_distinct("r"), F.max("r"), F.max("n")).first()[:] == (4500, 4499, 4500)
+
+
+def test_draws_do_not_depend_on_partitions_and_are_linear(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("row"), (F.rand(3) * 5).alias("w")).toPandas()
+    rows = spark.createDataFrame(rows)
+    draws = spark.range(20_000).select(F.col("id").alias("d"), (F.rand(4)).alias("u")).toPandas()
+    draws = spark.createDataFrame(draws)
+    got = [
+        {r["d"]: r["row"] for r in sm.draw_by_weight(draws.repartition(n), rows.repartition(n), "row", "w", "u", 1, slices).collect()}
+        for n, slices in ((3, None), (11, 1), (5, 300))]
+    assert len(got[0]) == 20_000 and got[0] == got[1] == got[2]
+
+
+def test_far_ids_spread_over_buckets(spark):
+    from sightline.operators import ordering
+
+    first = 1_700_000_000_000_000
+    ids = spark.range(first, first + 20_000).withColumnRenamed("id", "v")
+    seen = {}
+    original = ordering.ranked
+
+    def spy(df, keys, order, bucket, *rest):
+        seen["buckets"] = df.select(bucket.alias("b")).distinct().count()
+        return original(df, keys, order, bucket, *rest)
+
+    ordering.ranked = spy
+    try:
+        ranks = ordering.value_ranked(ids, [], "v", [], "r")
+        assert ranks.filter(F.col("r") != F.col("v") - F.lit(first)).isEmpty()
+    finally:
+        ordering.ranked = original
+    assert seen["buckets"] > 5_000

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from sightline import schemas
 from sightline.operators import raster as ra
+from sightline.operators import peaks as pk
+from sightline.operators import tags as tg
 from sightline.plans.breakdown import breakdown
 from sightline.plans.curate import CurationSettings, curate
 from sightline.plans.predict import Recipe, evaluate_classical, postprocess
@@ -124,6 +126,21 @@ def test_blob_under_label(spark):
     assert [r["image_id"] for r in got] == [1] and got[0]["blob_pixels"] == 29
 
 
+def test_several_labels_of_one_image(spark):
+    pixels = pixel_rows(spark, {1: canvas(dots=[(30, 20, 3, RED)])})
+    schema = "dive_id bigint, image_id bigint, label_x double, label_y double, is_positive boolean"
+    points = spark.createDataFrame([(1, 1, 30.4, 20.0, True), (1, 1, 29.0, 21.0, True), (1, 1, 30.1, 20.2, True)], schema)
+    got = ra.blob_under_label(points, pixels).collect()
+    assert [(r["image_id"], r["blob_pixels"]) for r in got] == [(1, 29)] * 3
+    tags = tg.brightest_in_patch(points, pixels)
+    assert tags.count() == 3
+    gate = pk.line_gate(v.records(spark, SF).unionByName(v.records(spark, SF)))
+    assert gate.count() == gate.select("image_id").distinct().count()
+    records = v.records(spark, SF)
+    twice = records.unionByName(records.filter("image_id % 9 = 0"))
+    assert postprocess(v.candidates(spark, SF), twice).count() == twice.count()
+
+
 def test_image_scan_store_and_pixels(spark, tmp_path):
     root, store, orc = tmp_path / "img", str(tmp_path / "store"), str(tmp_path / "orc")
     root.mkdir()
@@ -134,6 +151,8 @@ def test_image_scan_store_and_pixels(spark, tmp_path):
         [(i, f"{i}.png", f"{i}abc") for i in range(3)] + [(7, "broken.png", "7abc"), (8, "gone.png", "8abc")],
         "image_id bigint, image_path string, image_checksum string")
     loaded = im.attach_images(frames, im.scan_images(spark, str(root)))
+    for spelled in (f"file:{root}", f"file://{root}/"):
+        assert {r[0] for r in im.scan_images(spark, spelled).select("image_path").collect()} == {"0.png", "1.png", "2.png"}
     assert loaded.count() == 5 and loaded.filter("data is null").count() == 2
     pixels = im.pixel_table(loaded)
     assert pixels.count() == 3 * 30
@@ -177,12 +196,13 @@ def test_cell_features(spark):
 
 def test_curation_job(spark, tmp_path):
     out = str(tmp_path / "curated")
-    tables = curate(spark, v.dives(spark, SF), v.images(spark, SF), v.labels(spark, SF), out, CurationSettings())
+    tables = curate(spark, v.dives(spark, SF), v.images(spark, SF), v.labels(spark, SF), out, CurationSettings(image_order="seq"))
+    assert tables["frames"].filter("image_path LIKE 'old/%'").isEmpty()
     assert tables["frames"].schema == schemas.FRAMES
     n = tables["frames"].select("dive_id").distinct().count()
     assert tables["splits"].count() == n == tables["tags"].count()
     assert tables["flagged"].count() == tables["frames"].count()
-    again = curate(spark, v.dives(spark, SF).limit(0), v.images(spark, SF), v.labels(spark, SF), out)
+    again = curate(spark, v.dives(spark, SF).limit(0), v.images(spark, SF), v.labels(spark, SF), out, CurationSettings(image_order="seq"))
     assert again["splits"].count() == n
     with pytest.raises(ValueError):
         CurationSettings(train_frac=0.95)

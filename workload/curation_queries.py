@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sightline.functions.hashing import token
@@ -13,6 +15,8 @@ from sightline.operators import tags as tg
 from sightline.operators import tiles as tl
 from sightline.operators.metrics import core_metrics
 from sightline.operators.ordering import first_n, value_ranked
+from sightline.plans.curate import CurationSettings, curate
+from sightline.session import ensure_checkpoint_dir
 from sightline.sources.tables import flips_by_checksum
 from workload import views as v
 from workload.registry import query
@@ -23,7 +27,7 @@ FRAME_COLUMNS = (
     "label_studio_task_id, label_studio_project_id, superseded, completed")
 
 
-@query("frame_table", """
+FRAME_TABLE = """
 SELECT dive_id, image_id, rig_id, image_path, image_checksum, label_x, label_y,
   label_x IS NOT NULL AND label_y IS NOT NULL AND NOT coalesce(superseded, false) AS is_positive,
   label_string, label_studio_task_id, label_studio_project_id, superseded, completed
@@ -33,12 +37,23 @@ FROM (
   SELECT * REPLACE (label_x + 2 AS label_x, label_y - 1 AS label_y, label_studio_task_id + 5000000 AS label_studio_task_id)
   FROM frames WHERE image_id % 53 <> 0 AND image_id % 9 = 0)
 WHERE dive_id % 11 <> 3
-""", ("frames",), "label_x label_y")
+"""
+
+
+@query("frame_table", FRAME_TABLE, ("frames",), "label_x label_y")
 def frame_table(spark, sf):
     return fr.build_frames(
         fr.choose_dives(v.dives(spark, sf)), v.images(spark, sf), v.labels(spark, sf), "seq")
 
 
+@query("curated_frames", FRAME_TABLE, ("frames",), "label_x label_y")
+def curated_frames(spark, sf):
+    """The frame table that the curation job writes."""
+    out = f"{ensure_checkpoint_dir(spark)}/curated-{uuid.uuid4().hex}"
+    settings = CurationSettings(image_order="seq")
+    return curate(spark, v.dives(spark, sf), v.images(spark, sf), v.labels(spark, sf), out, settings)["frames"]
+
+
 @query("chosen_dives", """
 SELECT DISTINCT user_id AS dive_id FROM events WHERE user_id % 11 <> 3 ORDER BY dive_id LIMIT 40
 """)
