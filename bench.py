@@ -18,6 +18,7 @@ HEADLINE = (
     "evaluate_all_dives", "evaluate_val", "fitted_lines", "label_outliers", "failure_axes",
     "per_dive_metrics", "residual_stats", "balanced_epoch", "merged_predictions", "prior_sweep",
     "training_records", "dive_splits", "tile_grid", "leave_one_out_median", "confidence_by_outcome",
+    "blobs", "classical_predictions", "size_audit", "clustered_tags",
 )
 
 

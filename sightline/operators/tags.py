@@ -136,10 +136,13 @@ def resolve_tags(
 
 
 def infer_tags(frames: DataFrame, pixels: DataFrame | None = None) -> DataFrame:
-    """Full inference; without a pixel table only the label text is used."""
+    """Full inference; without a pixel table only the label text is used.
+
+    The colours, one row per dive, are written once: the pixels are scanned once.
+    """
     if pixels is None:
         return resolve_tags(frames)
-    colours = dive_colours(frames, pixels)
+    colours = cut_lineage(dive_colours(frames, pixels))
     return resolve_tags(frames, colours, cluster_tags(colours))
 
 

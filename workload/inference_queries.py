@@ -333,7 +333,14 @@ def dive_colours(spark, sf):
     return tg.dive_colours(v.pixel_frames(spark, sf), v.pixels(spark, sf))
 
 
-@query("clustered_tags")
+# The dots of the derived rasters are red or green, so the cheapest two groups are told apart by r > g.
+@query("clustered_tags", f"""
+SELECT d.dive_id, coalesce(m.wavelength, CASE WHEN c.r > c.g THEN 'red' WHEN c.r <= c.g THEN 'green' END) AS wavelength,
+  CASE WHEN m.wavelength IS NOT NULL THEN 'label_string' WHEN c.r IS NOT NULL THEN 'color_cluster' END AS wavelength_source,
+  c.b AS dive_color_b, c.g AS dive_color_g, c.r AS dive_color_r
+FROM (SELECT DISTINCT dive_id FROM frames) d LEFT JOIN majority m USING (dive_id)
+LEFT JOIN (SELECT dive_id, avg(b) AS b, avg(g) AS g, avg(r) AS r FROM ({PATCH_SQL}) GROUP BY dive_id) c USING (dive_id)
+""", ("frames", "hsv", "majority"), "dive_color_b dive_color_g dive_color_r")
 def clustered_tags(spark, sf):
     return tg.infer_tags(v.pixel_frames(spark, sf), v.pixels(spark, sf))
 
@@ -423,18 +430,29 @@ def size_distribution(spark, sf):
     return sm.size_distribution(_audit(spark, sf))
 
 
-@query("audit_picks", f"""
+AUDIT_PICKS = f"""
 SELECT image_id, pick FROM (
   (SELECT image_id, 'largest' AS pick FROM ({SAMPLED_AUDIT}) ORDER BY blob_diameter_px DESC, image_id LIMIT 15)
   UNION ALL
   SELECT image_id, 'spread' FROM (
     SELECT *, row_number() OVER (PARTITION BY wavelength ORDER BY blob_diameter_px, image_id) - 1 AS i, count(*) OVER (PARTITION BY wavelength) AS n
     FROM ({SAMPLED_AUDIT}) WHERE wavelength IN ('red', 'green')) WHERE i IN (0, n // 4, n // 2, 3 * n // 4, n - 1))
-""", ("hsv", "frames", "tags"))
+"""
+
+
+@query("audit_picks", AUDIT_PICKS, ("hsv", "frames", "tags"))
 def audit_picks(spark, sf):
     return sm.audit_picks(_audit(spark, sf)).select("image_id", "pick")
 
 
+@query("audit_picks_with_frames", f"""
+SELECT p.image_id, pick, image_path, image_checksum, label_x, label_y FROM ({AUDIT_PICKS}) p LEFT JOIN frames f USING (image_id)
+""", ("hsv", "frames", "tags"), "label_x label_y")
+def audit_picks_with_frames(spark, sf):
+    picks = sm.audit_picks(_audit(spark, sf)).select("image_id", "pick")
+    return sm.picks_with_frames(picks, v.frames(spark, sf))
+
+
 CELLS = """
 SELECT image_id, x // 2 AS cell_x, y // 2 AS cell_y, greatest(g - greatest(rr, bb), 0) AS g_excess, greatest(rr - greatest(g, bb), 0) AS r_excess, g1 - g2 AS g_diff FROM (
   SELECT image_id, x, y, (g1 + g2) // 2 AS g, rr, bb, g1, g2 FROM (
