@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.functions.geometry import inverse_rotation
 from sightline.functions.labels import is_positive
+from sightline.operators.ordering import salted_join
 
 
 def choose_dives(
@@ -183,7 +184,7 @@ def join_predictions(
     context = dive_context(
         wavelengths, lines.select("dive_id", "line_confidence"), splits, split)
     pred = unique_predictions(predictions) if dedupe_predictions else predictions
-    return frames.join(context, "dive_id").join(
+    return salted_join(frames, context, ["dive_id"], ["image_id"]).join(
         pred.select("image_id", "pred_x", "pred_y", "pred_confidence"), "image_id", "left")
 
 
@@ -204,7 +205,7 @@ def build_records(
     context = wavelengths.select("dive_id", "wavelength")
     if lines is not None:
         context = dive_context(wavelengths, lines)
-    joined = base.join(context, "dive_id", "left")
+    joined = salted_join(base, context, ["dive_id"], ["image_id"], "left")
     flip: Column = F.lit(None).cast("int")
     if orf_flip is not None:
         joined = joined.join(orf_flip.select("image_checksum", "flip"), "image_checksum", "left")

@@ -102,8 +102,8 @@ def rig_priors(pos: DataFrame) -> DataFrame:
 
 def with_prior_distance(pos: DataFrame, priors: DataFrame) -> DataFrame:
     """Label distance from the rig prior; a null rig or colour matches no prior."""
-    joined = pos.join(
-        priors.select("rig_id", "wavelength", "prior_x", "prior_y"), ["rig_id", "wavelength"], "left")
+    joined = salted_join(
+        pos, priors.select("rig_id", "wavelength", "prior_x", "prior_y"), ["rig_id", "wavelength"], ["image_id"], "left")
     return joined.withColumn("dist_from_prior", distance(
         F.col("label_x"), F.col("label_y"), F.col("prior_x"), F.col("prior_y")))
 

@@ -17,7 +17,7 @@ from sightline.operators.metrics import core_metrics
 from sightline.operators.ordering import first_n, value_ranked
 from sightline.plans.curate import CurationSettings, curate
 from sightline.session import ensure_checkpoint_dir
-from sightline.sources.tables import flips_by_checksum
+from sightline.sources.tables import flips_by_checksum, read_or_compute
 from workload import views as v
 from workload.registry import query
 from workload.views_sql import with_ctes
@@ -61,6 +61,20 @@ def chosen_dives(spark, sf):
     return fr.choose_dives(v.dives(spark, sf), True, 40).select("dive_id")
 
 
+@query("all_chosen_dives", "SELECT DISTINCT user_id AS dive_id FROM events WHERE user_id % 11 <> 3")
+def all_chosen_dives(spark, sf):
+    return fr.choose_dives(v.dives(spark, sf)).select("dive_id")
+
+
+@query("stored_frames", "SELECT image_id, dive_id, image_path, label_x, label_y, is_positive FROM frames", ("frames",), "label_x label_y")
+def stored_frames(spark, sf):
+    """Frames written by the sink, read back, and found finished the second time."""
+    path = f"{ensure_checkpoint_dir(spark)}/frames-{uuid.uuid4().hex}"
+    for _ in range(2):
+        stored = read_or_compute(spark, path, lambda: v.frames(spark, sf))
+    return stored.select("image_id", "dive_id", "image_path", "label_x", "label_y", "is_positive")
+
+
 def _failures(spark, sf):
     return v.table(spark, sf, "events").filter(F.col("props").contains('"k": 1')).filter(
         F.col("user_id") % 13 == 5).select(F.col("user_id").alias("dive_id"))
@@ -453,6 +467,16 @@ def split_records(spark, sf):
         v.flips(spark, sf), max_dives=60).select("image_id", "label_x", "label_y", "is_line_confident")
 
 
+@query("all_split_records", f"""
+SELECT image_id, label_x, label_y, is_line_confident FROM ({RECORD_SQL}) WHERE dive_id IN (
+  SELECT dive_id FROM splits WHERE split = 'train')
+""", ("frames", "tags", "lines", "flips", "splits"), "label_x label_y", 5)
+def all_split_records(spark, sf):
+    return fr.split_records(
+        v.frames(spark, sf), v.splits(spark, sf), "train", v.tags(spark, sf), v.lines(spark, sf),
+        v.flips(spark, sf)).select("image_id", "label_x", "label_y", "is_line_confident")
+
+
 @query("error_bucket_sample", """
 SELECT bucket, image_id FROM (
   SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('42:' || image_id), image_id) AS p FROM (
