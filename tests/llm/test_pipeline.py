@@ -7,7 +7,7 @@ import collections
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from test_operators import brute_classes, brute_contamination, brute_substrings
+from test_operators import brute_classes, brute_contamination, brute_substrings, documents, edge_rows  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +59,16 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 0 and corpus_pipeline._WRITTEN == []
+
+
+def test_stages_on_edge_rows(spark, edge_rows, tmp_path):
+    docs = documents(spark, edge_rows)
+    for rows in (docs, docs.limit(0)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, rows, SF)
+            if name != "packing":
+                assert out.columns == docs.columns
+            path = str(tmp_path / f"{name}-{rows is docs}")
+            out.write.parquet(path)
+            n = spark.read.parquet(path).count()
+            assert n <= 2 * len(edge_rows) + 200 and (rows is docs or n == 0)
