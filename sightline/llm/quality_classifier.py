@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -89,15 +88,21 @@ def _classes(column: pa.Array, n: int) -> np.ndarray:
     return np.array([zlib.crc32(("=" + x).encode()) % n if x is not None else 0 for x in column.to_pylist()], dtype=np.int64)
 
 
-def metadata_vectors(n_chars: pa.Array, lang: pa.Array, source: pa.Array) -> np.ndarray:
-    """One-hot length class, language and source, and the length's logarithm."""
-    length = np.array([max(x or 0, 0) for x in n_chars.to_pylist()], dtype=np.float64)
-    out = np.zeros((len(length), 1 + LENGTH_CLASSES + LANGUAGE_CLASSES + SOURCE_CLASSES))
-    out[:, 0] = np.log1p(length)
-    row = np.arange(len(length))
-    out[row, 1 + np.minimum(np.log2(length + 1).astype(int), LENGTH_CLASSES - 1)] = 1
-    out[row, 1 + LENGTH_CLASSES + _classes(lang, LANGUAGE_CLASSES)] = 1
-    out[row, 1 + LENGTH_CLASSES + LANGUAGE_CLASSES + _classes(source, SOURCE_CLASSES)] = 1
+def metadata_classes(n_chars: pa.Array, lang: pa.Array, source: pa.Array) -> np.ndarray:
+    """Length, length class, language class and source class of each document, as integers."""
+    length = np.array([max(x or 0, 0) for x in n_chars.to_pylist()], dtype=np.int64)
+    classes = np.minimum(np.log2(length + 1.0).astype(np.int64), LENGTH_CLASSES - 1)
+    return np.column_stack([length, classes, _classes(lang, LANGUAGE_CLASSES), _classes(source, SOURCE_CLASSES)])
+
+
+def metadata_vectors(classes: np.ndarray) -> np.ndarray:
+    """The length's logarithm, and one-hot length class, language and source."""
+    out = np.zeros((len(classes), 1 + LENGTH_CLASSES + LANGUAGE_CLASSES + SOURCE_CLASSES))
+    out[:, 0] = np.log1p(classes[:, 0])
+    row = np.arange(len(classes))
+    out[row, 1 + classes[:, 1]] = 1
+    out[row, 1 + LENGTH_CLASSES + classes[:, 2]] = 1
+    out[row, 1 + LENGTH_CLASSES + LANGUAGE_CLASSES + classes[:, 3]] = 1
     return out
 
 
@@ -204,23 +209,22 @@ def co_train(text: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool_text: n
     return QualityModel(models[0], models[1], both, tuple(np.array([w[1], w[0]]) for w in one), float(y.mean()))
 
 
+# Vectors travel as bytes: a row is about 150 of them, in the driver too.
 _FEATURES = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("text_view", T.ArrayType(T.DoubleType())),
-    T.StructField("metadata_view", T.ArrayType(T.DoubleType()))])
+    T.StructField("doc_id", T.LongType()), T.StructField("text_view", T.BinaryType()), T.StructField("metadata_view", T.BinaryType())])
 
 
 def _views(batch: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray]:
     text = [text_vectors(w) for w in word_groups(batch.column(first))]
-    metadata = metadata_vectors(batch.column(first + 1), batch.column(first + 2), batch.column(first + 3))
-    return np.vstack(text) if text else np.zeros((0, len(TEXT_MEASURES))), metadata
+    classes = metadata_classes(batch.column(first + 1), batch.column(first + 2), batch.column(first + 3))
+    return np.vstack(text) if text else np.zeros((0, len(TEXT_MEASURES))), classes
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text, metadata = _views(batch, 1)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(list(text), pa.list_(pa.float64())), pa.array(list(metadata), pa.list_(pa.float64()))],
-            _FEATURES.names)
+        text, classes = _views(batch, 1)
+        columns = [pa.array([row.tobytes() for row in x], pa.binary()) for x in (text, classes)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], _FEATURES.names)
 
 
 def _inputs(documents: DataFrame) -> list:
@@ -228,8 +232,11 @@ def _inputs(documents: DataFrame) -> list:
             F.col("source").cast("string").alias("source")]
 
 
-def _matrix(rows: pd.DataFrame, name: str, width: int) -> np.ndarray:
-    return np.vstack(rows[name].to_list()) if len(rows) else np.zeros((0, width))
+def _matrices(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    text, classes = (b"".join(rows.column(c).to_pylist()) for c in ("text_view", "metadata_view"))
+    return (
+        np.frombuffer(text, dtype=np.float64).reshape(-1, len(TEXT_MEASURES)),
+        metadata_vectors(np.frombuffer(classes, dtype=np.int64).reshape(-1, 4)))
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> QualityModel:
@@ -249,32 +256,30 @@ def fit(documents: DataFrame, labels: DataFrame) -> QualityModel:
     columns = ["text_view", "metadata_view", "quality"]
     # Equal hashes only come from repeated ids; the vectors settle their order.
     order = ["_order", "doc_id", "text_view", "metadata_view"]
-    sample = both.where("quality IS NOT NULL").orderBy(*order).limit(LABELLED_ROWS).select(*columns).toPandas()
-    pool = both.where("quality IS NULL").orderBy(*order).limit(POOL_ROWS).select(*columns).toPandas()
-    widths = (len(TEXT_MEASURES), 1 + LENGTH_CLASSES + LANGUAGE_CLASSES + SOURCE_CLASSES)
-    return co_train(
-        _matrix(sample, "text_view", widths[0]), _matrix(sample, "metadata_view", widths[1]),
-        sample["quality"].to_numpy(dtype=np.float64),
-        _matrix(pool, "text_view", widths[0]), _matrix(pool, "metadata_view", widths[1]))
+    sample = both.where("quality IS NOT NULL").orderBy(*order).limit(LABELLED_ROWS).select(*columns).toArrow()
+    pool = both.where("quality IS NULL").orderBy(*order).limit(POOL_ROWS).select("text_view", "metadata_view").toArrow()
+    y = sample.column("quality").to_numpy().astype(np.float64)
+    return co_train(*_matrices(sample), y, *_matrices(pool))
 
 
-def score(documents: DataFrame, model: QualityModel) -> DataFrame:
+def score(documents: DataFrame, model: QualityModel, prefix: str = "") -> DataFrame:
     """``documents`` with ``p_text``, ``p_metadata``, ``score`` and ``kept`` (score of at least 0.5).
 
     Null texts have no words, null metadata are classes of their own, repeated rows are judged alike;
-    columns of those four names are replaced.
+    columns of those four names, each after ``prefix``, are replaced.
     """
+    names = [prefix + n for n in ("p_text", "p_metadata", "score", "kept")]
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    given = documents.drop("p_text", "p_metadata", "score", "kept")
+    given = documents.drop(*names)
     out = T.StructType([
-        *given.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("p_text", "p_metadata", "score")],
-        T.StructField("kept", T.BooleanType())])
+        *given.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names[:3]],
+        T.StructField(names[3], T.BooleanType())])
     width = len(given.columns)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, metadata = _views(batch, width)
-            found = shared.value.scores(text, metadata)
+            text, classes = _views(batch, width)
+            found = shared.value.scores(text, metadata_vectors(classes))
             columns = [*batch.columns[:width], *[pa.array(x, pa.float64()) for x in found], pa.array(found[2] >= THRESHOLD)]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in out])
 
