@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sightline.operators.ordering import salted_join
-from sightline.session import cut_lineage
+from sightline.session import cut_lineage, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,12 +18,15 @@ def components(links: DataFrame) -> DataFrame:
     labels = cut_lineage(
         both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        seen = salted_join(both, labels.withColumnRenamed("node", "b"), ["b"], ["a"]).select(F.col("a").alias("node"), "label")
-        nearest = seen.union(labels).groupBy("node").agg(F.min("label").alias("near"))
+        seen = salted_join(both, labels.withColumnRenamed("node", "b"), ["b"], ["a"]).select(
+            F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        nearest = seen.union(own).groupBy("node").agg(F.min("label").alias("near"), F.max("old").alias("old"))
         jump = labels.select(F.col("node").alias("near"), F.col("label").alias("next"))
-        new = salted_join(nearest, jump, ["near"], ["node"]).select("node", F.least("near", "next").alias("label"))
-        new = cut_lineage(new)
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        labels = new
-        if not changed:
+        moved = cut_lineage(
+            salted_join(nearest, jump, ["near"], ["node"]).select("node", F.least("near", "next").alias("label"), "old"))
+        release(labels)
+        labels = moved.select("node", "label")
+        if moved.where("label <> old").isEmpty():
+            release(both)
             return labels

@@ -1,11 +1,14 @@
 """MinHash near-dedup: BagMinHash signatures of five-word shingles, banding, verified multiset overlap.
 
 1. One pass makes a signature per document; exact copies fall together by digest before anything else.
-2. Every band of a signature is a bucket key.  Each member of a bucket is paired with the bucket's
-   least member only, the pairs are verified, and verified links are joined to components.
-3. Buckets that still hold several components are compared member by member across components, in
-   blocks of bounded size, on the signatures; only pairs that agree well enough leave the block and are
-   verified.  So no pair of a bucket is left out, and no group is expanded into all pairs.
+2. Every band of a signature is a bucket key.  The members of a bucket are tied to its least member, and
+   the connected ties are families: all pairs that share a bucket lie in one family.
+3. Families are cut by size class (similar multisets differ in size by a quarter at most) and into blocks
+   of bounded size.  Inside a block the overlaps of all multisets are counted exactly by a product of
+   membership matrices; one link per member leaves it, to the least member of its component there.
+4. The classes are the connected components of the links.
+
+So every pair that shares a band is verified, while rows grow with the documents and not with the pairs.
 """
 
 from __future__ import annotations
@@ -28,15 +31,17 @@ SIMILARITY_TENTHS = 8
 # 32 bands of 4 registers: a pair of similarity 0.8 shares no band with probability 5e-8.
 BANDS, BAND_REGISTERS = 32, 4
 REGISTERS = BANDS * BAND_REGISTERS
-# Registers that two signatures must agree in to be verified: seven standard deviations below 0.8.
-AGREE = 70
-# Members of a block of one bucket, and pairs that one copy of a hub's shingles serves.
-BLOCK = 1_024
-HUB_PAIRS = 512
+# Most members of a block, rows and columns of a piece of its overlap matrix, and members per task of small families.
+BLOCK = 4_096
+STRIP, COLUMNS = 256, 2_048
+TASK_MEMBERS = 2_000
+# Shingles that are signed at once (about 100 bytes each).
+ELEMENTS_AT_ONCE = 600_000
 
 _SIGNED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("signature", T.BinaryType())])
-_SHINGLES = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType())])
+_SHINGLES = T.StructType([
+    T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType())])
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -65,14 +70,29 @@ def counted(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures of many documents at once: a step costs the same for few elements as for some thousands."""
     for batch in batches:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        first_row = n_rows = elements = 0
+
+        def flush() -> pa.RecordBatch:
+            rows, hashes, counts = (np.concatenate(x) for x in zip(*held))
+            found = signatures(rows, hashes, counts, n_rows, REGISTERS).astype(np.uint32)
+            has = np.bincount(rows, minlength=n_rows) > 0
+            own = [s.tobytes() if h else None for s, h in zip(found, has)]
+            part = batch.slice(first_row, n_rows)
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.binary())], _SIGNED.names)
+
         for words in word_groups(batch.column(2), ALPHANUMERIC, LOWER_ASCII):
             rows, hashes, first, counts = counted(*shingles_of(words))
-            found = signatures(rows[first], hashes[first], counts, words.n_rows, REGISTERS)
-            has = np.diff(words.row_bounds) > 0
-            own = [s.tobytes() if h else None for s, h in zip(found.astype(np.uint32), has)]
-            part = batch.slice(words.first_row, words.n_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.binary())], _SIGNED.names)
+            held.append((rows[first] + n_rows, hashes[first], counts))
+            n_rows += words.n_rows
+            elements += len(first)
+            if elements >= ELEMENTS_AT_ONCE:
+                yield flush()
+                held, first_row, n_rows, elements = [], first_row + n_rows, 0, 0
+        if held:
+            yield flush()
 
 
 def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,49 +119,102 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             bounds = np.searchsorted(rows, np.arange(words.n_rows + 1))
             sets = [np.sort(elements[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
             part = batch.slice(words.first_row, words.n_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], _SHINGLES.names)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(np.diff(bounds)), pa.array(sets, pa.binary())], _SHINGLES.names)
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("left"), batch.column("right")):
-            a, b = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-            common = 0
-            if 10 * min(len(a), len(b)) >= SIMILARITY_TENTHS * max(len(a), len(b)):
-                common = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(10 * common >= SIMILARITY_TENTHS * (len(a) + len(b) - common) and len(a) > 0)
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Row by row, how many elements each set of ``left`` shares with every set of ``right``.
+
+    Elements in one set only are left out; the others are columns of two 0/1 matrices, whose product is
+    taken in pieces of bounded size.
+    """
+    sets = left + right
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count >= 2
+    place = np.cumsum(shared) - 1
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    use = shared[column]
+    owner, column, width = owner[use], place[column[use]], int(shared.sum())
+    by = np.argsort(column, kind="stable")
+    owner, column = owner[by], column[by]
+    for first in range(0, len(left), STRIP):
+        n = min(STRIP, len(left) - first)
+        total = np.zeros((n, len(right)), dtype=np.float32)
+        for low in range(0, width, COLUMNS):
+            inside = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+            own, at = owner[inside], column[inside] - low
+            mine = (own >= first) & (own < first + n)
+            if mine.any():
+                a = np.zeros((n, COLUMNS), dtype=np.float32)
+                a[own[mine] - first, at[mine]] = 1
+                b = np.zeros((COLUMNS, len(right)), dtype=np.float32)
+                theirs = own >= len(left)
+                b[at[theirs], own[theirs] - len(left)] = 1
+                total += a @ b
+        for i in range(n):
+            yield first + i, total[i]
+
+
+def _compare(block: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links of one block: own members of part i against all members of part j, and the reverse if i < j.
+
+    (member, least member of its component inside the block), for all but the least ones.
+    """
+    i, j = int(block["i"].iloc[0]), int(block["j"].iloc[0])
+    node = block["node"].to_numpy()
+    size = block["n"].to_numpy()
+    label = np.arange(len(block))
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in block["shingles"]]
+    part, own = block["part"].to_numpy(), block["own"].to_numpy()
+    for x, y in {(i, j), (j, i)}:
+        rows, columns = np.flatnonzero((part == x) & own), np.flatnonzero(part == y)
+        if not len(rows) or not len(columns):
+            continue
+        for k, common in overlaps([sets[r] for r in rows], [sets[c] for c in columns]):
+            r = rows[k]
+            near = columns[(10 * common >= SIMILARITY_TENTHS * (size[r] + size[columns] - common)) & (columns != r)]
+            for other in np.unique(label[near]):
+                if other != label[r]:
+                    label[label == other] = label[r]
+    # Each component of the block becomes a star around its least node.
+    least = np.full(len(block), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, node)
+    root = least[label]
+    return [(int(a), int(b)) for a, b in zip(node, root) if a != b]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose multisets of shingles have a weighted Jaccard similarity of at least 0.8.
+def _compare_blocks(group: pd.DataFrame) -> pd.DataFrame:
+    links = [x for _, block in group.groupby(["family", "size_class", "i", "j"]) for x in _compare(block)]
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-    b may be a hub of very many pairs: its set is repeated for every HUB_PAIRS of them.
-    """
-    hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("copies"))
-    spread = salted_join(pairs, hubs, ["b"], ["a"]).withColumn("_copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
-    right = sets.join(hubs, sets["node"] == hubs["b"]).select(
-        "b", F.col("shingles").alias("right"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_copy"))
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    both = spread.join(right, ["b", "_copy"]).join(left, "a").select("a", "b", "left", "right")
-    return both.mapInArrow(_similar, _PAIR)
 
+def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) that join the members of each family (node, family) wherever they are similar enough.
 
-def _compare_block(block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs across components whose signatures agree; block i against block j of one bucket."""
-    i, j = int(block["i"].iloc[0]), int(block["j"].iloc[0])
-    left, right = block[block["own"] == i], block[block["own"] == j]
-    a, b = (np.frombuffer(b"".join(x["signature"]), dtype=np.uint32).reshape(-1, REGISTERS) for x in (left, right))
-    la, lb = left["label"].to_numpy(), right["label"].to_numpy()
-    na, nb = left["node"].to_numpy(), right["node"].to_numpy()
-    out = []
-    for k in range(len(a)):
-        others = np.flatnonzero((lb != la[k]) & ((na[k] < nb) | (i != j)))
-        if len(others):
-            good = others[(b[others] == a[k]).sum(axis=1) >= AGREE]
-            out += [(min(na[k], nb[g]), max(na[k], nb[g])) for g in good]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    A member of size n belongs to the class floor(log n / log 1.25) as its own and is also seen by the
+    class above, so that any two sets whose sizes differ by a quarter at most meet.
+    """
+    sizes = sets.select("node", "n")
+    level = F.floor(F.log("n") / F.log(F.lit(10.0 / SIMILARITY_TENTHS)) + F.lit(1e-9)).cast("int")
+    seen = F.explode(F.array(
+        F.struct(level.alias("size_class"), F.lit(True).alias("own")), F.struct((level + 1).alias("size_class"), F.lit(False).alias("own"))))
+    placed = members.join(sizes, "node").select("node", "n", "family", seen.alias("s")).select("node", "n", "family", "s.*")
+    # Groups with something to compare, and the number of parts of each.
+    groups = placed.groupBy("family", "size_class").agg(
+        F.count("*").alias("members"), F.count_if("own").alias("owners")).where("owners > 0 AND members > 1").select(
+        "family", "size_class", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts"))
+    dealt = cut_lineage(salted_join(placed, groups, ["family", "size_class"], ["node"]))
+    tasks = dealt.count() // TASK_MEMBERS + 1
+    parted = (
+        dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumns({"i": F.least("part", "_other"), "j": F.greatest("part", "_other")}))
+    group = F.when(F.col("parts") > 1, F.xxhash64("family", "size_class", "i", "j")).otherwise(
+        F.pmod(F.xxhash64("family", "size_class"), F.lit(tasks)))
+    return (
+        parted.withColumn("_group", group).join(sets.select("node", "shingles"), "node")
+        .groupBy("_group").applyInPandas(_compare_blocks, _PAIR))
 
 
 def near_duplicate_classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -168,30 +241,16 @@ def near_duplicate_classes(documents: DataFrame, text: str = "text", doc_id: str
 
     members = nodes.select("node", "signature").mapInArrow(_band_keys, "bucket long, node long")
     buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("b")).where("size > 1")
-    crowded = cut_lineage(members.join(buckets, "bucket").select("bucket", "size", F.col("node").alias("a"), "b"))
-    stars = crowded.where("a <> b").select("a", "b").distinct()
+    ties = members.join(buckets, "bucket").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
+    families = components(ties).select("node", F.col("label").alias("family"))
 
-    wanted = crowded.select(F.col("a").alias("node")).distinct().join(nodes.select("node", "digest"), "node")
+    # The text of a node comes from its first document alone, so copies do not meet in the join.
+    wanted = families.join(nodes, "node").select(F.col("digest").alias("_digest"), F.col("first.id").alias("_id"), "node")
+    one = (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     sets = cut_lineage(
-        given.select("digest", "text").join(wanted, "digest").select("node", "text").mapInArrow(_shingle_sets, _SHINGLES)
-        .groupBy("node").agg(F.first("shingles").alias("shingles")))
-    links = cut_lineage(_verified(stars, sets))
-    labels = components(links)
-
-    placed = crowded.select("bucket", "size", F.col("a").alias("node")).join(labels, "node", "left").withColumn(
-        "label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = (
-        placed.where("size > 2").join(mixed.select("bucket"), "bucket").join(nodes.select("node", "signature"), "node")
-        .withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("bucket", "node", "label", "signature", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
-    rest = members.groupBy("bucket", "i", "j").applyInPandas(_compare_block, _PAIR).distinct()
-    more = cut_lineage(_verified(rest.join(stars, ["a", "b"], "left_anti").join(
-        stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), sets))
-    if more.limit(1).count():
-        labels = components(links.union(more))
+        given.join(wanted, one).select("node", "text").mapInArrow(_shingle_sets, _SHINGLES)
+        .groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")))
+    labels = components(_links(families, sets))
 
     classed = nodes.select("node", "digest", "first", "n").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
