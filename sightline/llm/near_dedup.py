@@ -241,7 +241,12 @@ def near_duplicate_classes(documents: DataFrame, text: str = "text", doc_id: str
 
     members = nodes.select("node", "signature").mapInArrow(_band_keys, "bucket long, node long")
     buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("b")).where("size > 1")
-    ties = members.join(buckets, "bucket").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
+    # A node is tied to the least of its buckets' least members (BANDS at most), and those to each other, so that the
+    # ties of a large family are about as many as its members.
+    least = (
+        members.join(buckets, "bucket").where("node <> b").groupBy("node").agg(F.collect_set("b").alias("_all"))
+        .withColumn("b", F.array_min("_all")))
+    ties = least.select(F.explode(F.array_append("_all", F.col("node"))).alias("a"), "b").where("a <> b").distinct()
     families = components(ties).select("node", F.col("label").alias("family"))
 
     # The text of a node comes from its first document alone, so copies do not meet in the join.
