@@ -1,8 +1,9 @@
 """License scan: sparse TF-IDF cosine of lines to licence templates, then inheritance along directories.
 
 Every line of a file is compared with the templates; a line whose terms outside the templates' vocabulary
-carry too much weight cannot reach the threshold and is left out before the join (an exact bound).  A file
-that opens with a licence notice is a licence file and speaks for its directory; a file without a notice
+carry too much weight cannot reach the threshold and is left out before the join (an exact bound).  In a
+source tree a file that opens with a licence notice is a licence file and speaks for its directory; on a site,
+whose pages open with a title, every page with a notice votes for its directory.  A file without a notice
 of its own inherits from the nearest ancestor directory with one.  Built-in column functions only.
 """
 
@@ -54,13 +55,15 @@ def directory(path: Column) -> Column:
 
 
 def scan_licenses(
-    files: DataFrame, file_id: str, path: str, text: str, templates: Sequence[tuple[str, str]] = TEMPLATES
+    files: DataFrame, file_id: str, path: str, text: str, templates: Sequence[tuple[str, str]] = TEMPLATES,
+    votes: bool = False,
 ) -> DataFrame:
     """One row per row of ``files``: ``file_id``, path, ``own_license``, ``own_score``, ``license``, ``origin``.
 
     ``own_license`` is the template with the highest cosine (at least 0.75) over all lines of the whole text,
     ties by name.  ``origin`` is "own", the directory that the license is inherited from, or null if there
-    is none.  Terms count once per line and weigh log((1 + files) / (1 + files with the term)) + 1 over all
+    is none.  A directory has the best license of its files that open with a notice; with ``votes``, the license
+    that most of its files have of their own, ties by name.  Terms count once per line and weigh log((1 + files) / (1 + files with the term)) + 1 over all
     files; terms outside the templates count as in no file.  Null or empty texts have no notice, null paths inherit
     nothing, repeated rows come as often as they do, other columns are not read.
 
@@ -114,9 +117,13 @@ def scan_licenses(
             F.when(F.col("_best.score") >= THRESHOLD, F.col("_best")).alias("_best"),
             (opening(F.col("_head")) >= THRESHOLD).alias("_opening")))
 
-    speaking = (
-        matched.where(F.col("_best").isNotNull() & F.col("_opening") & F.col("_dir").isNotNull())
-        .groupBy("_dir").agg(F.max("_best").alias("_said")))
+    heard = matched.where(F.col("_best").isNotNull() & F.col("_dir").isNotNull())
+    if votes:
+        speaking = (
+            heard.groupBy("_dir", "_best.rank", "_best.name").agg(F.count("*").alias("votes"))
+            .groupBy("_dir").agg(F.max(F.struct("votes", "rank", "name")).alias("_said")))
+    else:
+        speaking = heard.where("_opening").groupBy("_dir").agg(F.max("_best").alias("_said"))
     steps = F.split("_dir", "/", -1)
     ancestors = (
         matched.where("_best IS NULL AND _dir IS NOT NULL").select("_dir").distinct()

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.llm import bag_minhash, chat_format, decontaminate, language_id, license_scan, near_dedup, packing
+from sightline.llm import bag_minhash, chat_format, decontaminate, language_id, license_queries, license_scan, near_dedup, packing
 from sightline.llm import quality_classifier, quality_rules, substring_dedup, textops, url_filter
 from sightline.llm.components import components
 
@@ -455,6 +455,36 @@ def test_license_inheritance(spark):
     assert license_scan.scan_licenses(found.limit(0).select("file_id", "path", F.lit("").alias("text")), "file_id", "path", "text").count() == 0
 
 
+def test_license_query_inherits_on_pages(spark, tmp_path):
+    rng = random.Random(5)
+    notices = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+               "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
+    rows, own, dirs = [], {}, {}
+    for k in range(240):
+        own[k] = rng.choice(sorted(notices)) if rng.random() < 0.12 else None
+        dirs[k] = f"h{k % 6}.example" + "".join(f"/{rng.choice('ab')}" for _ in range(rng.randrange(4)))
+        words = " ".join(rng.choice("alpha beta gamma delta of and the in".split()) for _ in range(30))
+        rows.append((k, f"http://{dirs[k]}/{k}", f"<html><head><title>{words[:30]}</title></head><body><p>{words}</p>"
+                     f"<p>{notices.get(own[k], words[:20])}</p><footer>{words[:12]}</footer></body></html>"))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    votes = {}
+    for k in own:
+        if own[k]:
+            votes.setdefault(dirs[k], collections.Counter())[own[k]] += 1
+    said = {d: min(v, key=lambda name: (-v[name], name)) for d, v in votes.items()}
+
+    def expected(k):
+        if own[k]:
+            return own[k], own[k], "own"
+        steps = dirs[k].split("/")
+        near = next((d for n in range(len(steps), 0, -1) if (d := "/".join(steps[:n])) in said), None)
+        return None, said.get(near), near
+
+    got = {r.page_id: (r.own_license, r.license, r.origin) for r in license_queries.op5(spark, str(tmp_path)).collect()}
+    assert got == {k: expected(k) for k in own}
+    assert sum(origin not in (None, "own") for _, _, origin in got.values()) > 20
+
+
 # Classifier --------------------------------------------------------------------
 
 def test_quality_classifier_accuracy(spark):
