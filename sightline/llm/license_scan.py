@@ -1,7 +1,8 @@
-"""License scan: sparse TF-IDF cosine of lines to licence templates, then inheritance along directories.
+"""License scan: sparse TF-IDF cosine of spans of words to licence templates, then inheritance along directories.
 
-Every line of a file is compared with the templates; a line whose terms outside the templates' vocabulary
-carry too much weight cannot reach the threshold and is left out before the join (an exact bound).  In a
+The spans run over the words of a whole file; a file that shares too little of a template's weight cannot reach
+the threshold and is left out before the spans are scored (an exact bound).  The weights are those of the
+files at hand, for every term, so a verdict does not depend on how many files there are.  In a
 source tree a file that opens with a licence notice is a licence file and speaks for its directory; on a site,
 whose pages open with a title, every page with a notice votes for its directory.  A file without a notice
 of its own inherits from the nearest ancestor directory with one.  Built-in column functions only.
@@ -9,6 +10,7 @@ of its own inherits from the nearest ancestor directory with one.  Built-in colu
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Sequence
@@ -36,7 +38,7 @@ TERM = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 
 
 def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), TERM, -1), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), TERM, -1), "")
 
 
 def html_lines(html: Column) -> Column:
@@ -45,8 +47,13 @@ def html_lines(html: Column) -> Column:
     return F.regexp_replace(bare, r"<[^>]*>", "\n")
 
 
-def _term_sets(templates: Sequence[tuple[str, str]]) -> dict[str, set[str]]:
-    return {name: {t for t in re.split("[^0-9a-z\x80-\U0010FFFF]+", text.lower()) if t} for name, text in templates}
+def _term_sets(templates: Sequence[tuple[str, str]]) -> list[set[str]]:
+    return [{t for t in re.split("[^0-9a-z\x80-\U0010FFFF]+", text.lower()) if t} for _, text in templates]
+
+
+def first_line(text: Column) -> Column:
+    """First line that has a term; empty if there is none."""
+    return F.coalesce(F.get(F.filter(F.split(text, "\n", -1), lambda x: F.size(terms(x)) > 0), F.lit(0)), F.lit(""))
 
 
 def directory(path: Column) -> Column:
@@ -60,62 +67,91 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per row of ``files``: ``file_id``, path, ``own_license``, ``own_score``, ``license``, ``origin``.
 
-    ``own_license`` is the template with the highest cosine (at least 0.75) over all lines of the whole text,
-    ties by name.  ``origin`` is "own", the directory that the license is inherited from, or null if there
-    is none.  A directory has the best license of its files that open with a notice; with ``votes``, the license
-    that most of its files have of their own, ties by name.  Terms count once per line and weigh log((1 + files) / (1 + files with the term)) + 1 over all
-    files; terms outside the templates count as in no file.  Null or empty texts have no notice, null paths inherit
-    nothing, repeated rows come as often as they do, other columns are not read.
-
-    Runs jobs: document frequencies of the templates' terms (their number is bounded by the templates) and
-    one written table of matched files.
+    ``own_license`` is the template with the highest cosine (at least 0.75) to any span of words of the whole
+    text, ties by name.  A span begins and ends with a term of the template, may run over line ends and has at
+    most three times the template's words and ten.  ``origin`` is "own", the directory that the license is
+    inherited from, or null if there is none.  A directory has the best license of its files whose best span
+    begins in the first non-empty line; with ``votes``, the license that most of its files have of their own,
+    ties by name.  Terms count once per span and weigh log((1 + files) / (1 + files with the term)) + 1 over
+    all files.  Null or empty texts have no notice, null paths inherit nothing, repeated rows come as often
+    as they do, other columns are not read.
+
+    Runs jobs: three written tables (file counts of all terms; files with the words of candidates; matched
+    files) and one row per term of the templates (their number is bounded by the templates).
     """
     sets = _term_sets(templates)
-    vocabulary = sorted(set().union(*sets.values()))
-    known = F.array(*[F.lit(t) for t in vocabulary])
+    vocabulary = sorted(set().union(*sets))
     given = files.select(
-        F.col(file_id).alias("file_id"), F.col(path).alias("path"),
-        F.filter(
-            F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: F.array_distinct(terms(x))),
-            lambda x: F.size(x) > 0).alias("_lines"))
-    present = F.array_append(F.array_intersect(F.flatten("_lines"), known), "")
-    df = {r["t"]: r["n"] for r in given.select(F.explode(present).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+        F.col(file_id).alias("file_id"), F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
+        terms(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
+    counts = cut_lineage(
+        given.select(F.explode(F.array_append(F.array_distinct("_words"), "")).alias("term"))
+        .groupBy("term").agg(F.count("*").alias("n")))
+    df = {r["term"]: r["n"] for r in counts.where(F.col("term").isin(["", *vocabulary])).collect()}
     total = df.pop("", 0)
-    weight = {t: math.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
-    unknown = (math.log(1 + total) + 1) ** 2
-
-    # Squared weights of a line's terms: those of the vocabulary one by one, the others all weigh the same.
-    squares = F.map_from_arrays(known, F.array(*[F.lit(weight[t] ** 2) for t in vocabulary]))
-    limit = THRESHOLD * THRESHOLD
-    parts = F.transform("_lines", lambda x: F.struct(F.array_intersect(x, known).alias("own"), F.size(x).alias("n")))
-    # No weight exceeds that of an unknown term, so the first filter is a bound that needs no weights.
-    likely = F.filter(parts, lambda x: F.size(x["own"]) * (1 - limit) >= (x["n"] - F.size(x["own"])) * limit)
-    weighed = F.transform(likely, lambda x: F.struct(
-        x["own"].alias("own"), F.aggregate(x["own"], F.lit(0.0), lambda acc, t: acc + squares[t]).alias("square"),
-        (x["n"] - F.size(x["own"])).alias("others")))
-
-    def cosine(x: Column, name: str) -> Column:
-        length = math.sqrt(sum(weight[t] ** 2 for t in sets[name]))
-        both = F.array_intersect(x["own"], F.array(*[F.lit(t) for t in sorted(sets[name])]))
-        dot = F.aggregate(both, F.lit(0.0), lambda acc, t: acc + squares[t])
-        return F.round(dot / (F.sqrt(x["square"] + x["others"] * unknown) * length), 6)
-
-    def best(lines: Column) -> Column:
-        return F.array_max(F.transform(lines, lambda x: F.array_max(F.array(*[
-            F.struct(cosine(x, name).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("name"))
-            for i, name in enumerate(sorted(sets))]))))
-
-    def opening(lines: Column) -> Column:
-        return F.coalesce(F.array_max(F.transform(lines, lambda x: F.array_max(F.array(*[cosine(x, n) for n in sorted(sets)])))), F.lit(0.0))
-
-    matched = cut_lineage(
-        given.withColumn("_likely", weighed)
-        .withColumn("_best", F.when(F.size("_likely") > 0, best(F.col("_likely"))))
-        .withColumn("_lines", F.slice("_lines", 1, 1)).withColumn("_head", weighed)
+    square = {t: (math.log((1 + total) / (1 + df.get(t, 0))) + 1) ** 2 for t in vocabulary}
+
+    ranks = {name: -i for i, name in enumerate(sorted({name for name, _ in templates}))}
+    known = F.from_json(F.lit(json.dumps([
+        {"name": name, "rank": ranks[name], "square": sum(square[t] for t in own), "span": 3 * len(text.split()) + 10,
+         "terms": [{"term": t, "square": square[t]} for t in sorted(own)]}
+        for (name, text), own in zip(templates, sets)])),
+        "array<struct<name string, rank int, square double, span int, terms array<struct<term string, square double>>>>")
+
+    # The cosine of a span is at most the length of what it shares with the template, over the template's length.
+    limit = THRESHOLD * THRESHOLD * (1 - 1e-9)
+    shared = F.array_intersect("_words", F.array(*[F.lit(t) for t in vocabulary]))
+    likely = F.filter(known, lambda x: F.aggregate(
+        x["terms"], F.lit(0.0), lambda acc, t: acc + F.when(F.array_contains(F.col("_shared"), t["term"]), t["square"]).otherwise(0.0)
+    ) >= x["square"] * limit)
+    read = cut_lineage(
+        given.withColumn("_shared", shared)
+        .withColumn("_likely", F.transform(likely, lambda x: x["name"]))
+        .withColumn("_is", F.size("_likely") > 0)
         .select(
-            "file_id", "path", directory(F.col("path")).alias("_dir"),
-            F.when(F.col("_best.score") >= THRESHOLD, F.col("_best")).alias("_best"),
-            (opening(F.col("_head")) >= THRESHOLD).alias("_opening")))
+            F.monotonically_increasing_id().alias("_row"), "file_id", "path", directory(F.col("path")).alias("_dir"),
+            F.when(F.col("_is"), F.col("_likely")).alias("_likely"), F.when(F.col("_is"), F.col("_words")).alias("_words"),
+            F.when(F.col("_is"), F.size(terms(first_line(F.col("_text"))))).alias("_first")))
+    candidates = read.where("_likely IS NOT NULL")
+
+    # Per candidate, its words in order with their weights and the place where each stood before.
+    places = (
+        candidates.select("_row", F.posexplode("_words").alias("pos", "term"))
+        .groupBy("_row", "term").agg(F.sort_array(F.collect_list("pos")).alias("at")))
+    frequent = counts.join(places.select("term").distinct(), "term", "left_semi")
+    weight = F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("n"))) + 1
+    texts = (
+        salted_join(places, frequent, ["term"], ["_row"])
+        .select("_row", "term", (weight * weight).alias("square"), F.explode(F.transform("at", lambda p, i: F.struct(
+            p.alias("pos"), F.coalesce(F.get("at", i - 1), F.lit(-1)).alias("before")))).alias("at"))
+        .groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at.pos", "at.before", "term", "square"))).alias("_text")))
+
+    def span_score(begin: Column, words: Column, template: Column) -> Column:
+        """Best cosine of the spans that begin at one word; a word counts where it stands first."""
+        def add(acc: Column, x: Column) -> Column:
+            fresh = F.when(x["before"] < begin["pos"], x["square"]).otherwise(0.0)
+            dot, norm = acc["dot"] + F.when(x["own"], fresh).otherwise(0.0), acc["norm"] + fresh
+            return F.struct(dot.alias("dot"), norm.alias("norm"), F.greatest(acc["best"], dot / F.sqrt(norm * template["square"])).alias("best"))
+
+        zero = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("norm"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.slice(words, begin["pos"] + 1, template["span"]), zero, add, lambda acc: F.round(acc["best"], 6))
+
+    template = F.col("_template")
+    own_terms = F.transform(template["terms"], lambda t: t["term"])
+    best = (
+        candidates.select("_row", F.explode(F.filter(known, lambda x: F.array_contains("_likely", x["name"]))).alias("_template"))
+        .join(texts, "_row")
+        .withColumn("_own", own_terms)
+        .withColumn("_text", F.transform("_text", lambda x: F.struct(
+            x["pos"].alias("pos"), x["before"].alias("before"), x["square"].alias("square"),
+            F.array_contains("_own", x["term"]).alias("own"))))
+        .withColumn("_found", F.array_max(F.transform(F.filter("_text", lambda x: x["own"]), lambda x: F.struct(
+            span_score(x, F.col("_text"), template).alias("score"), (-x["pos"]).alias("start")))))
+        .where(F.col("_found.score") >= THRESHOLD)
+        .groupBy("_row").agg(F.max(F.struct("_found.score", "_template.rank", "_found.start", "_template.name")).alias("_best")))
+    matched = cut_lineage(
+        read.select("_row", "file_id", "path", "_dir", "_first").join(best, "_row", "left")
+        .select("file_id", "path", "_dir", "_best", (-F.col("_best.start") < F.col("_first")).alias("_opening")))
 
     heard = matched.where(F.col("_best").isNotNull() & F.col("_dir").isNotNull())
     if votes:

@@ -485,6 +485,22 @@ def test_license_query_inherits_on_pages(spark, tmp_path):
     assert sum(origin not in (None, "own") for _, _, origin in got.values()) > 20
 
 
+def test_license_within_longer_lines(spark):
+    rng = random.Random(6)
+    notices = ["This page is licensed under CC BY 4.0.", "All content is licensed under CC BY 4.0",
+               "Copyright 2024 Acme. Licensed under the Apache License, Version 2.0.",
+               "Our code lives elsewhere. Everything here is released under the MIT License, unless it says otherwise somewhere else.",
+               "Released under\nthe MIT\nLicense"]
+    wanted = ["CC-BY-4.0", "CC-BY-4.0", "Apache-2.0", "MIT", "MIT"]
+    common = "this page is all content our code here it the of and in to what says else".split()
+    for n in (200, 6000):
+        rows = [(k, f"g/{k}/p", " ".join(rng.choice(common) + " " for _ in range(8)) + f"w{k}") for k in range(n)]
+        rows += [(n + k, f"h/{k}/p", "A title\n" + notice) for k, notice in enumerate(notices)]
+        found = license_scan.scan_licenses(spark.createDataFrame(rows, "page_id long, path string, text string"), "page_id", "path", "text")
+        got = {r.file_id: r.own_license for r in found.where("own_license IS NOT NULL").collect()}
+        assert got == {n + k: name for k, name in enumerate(wanted)}
+
+
 # Classifier --------------------------------------------------------------------
 
 def test_quality_classifier_accuracy(spark):
