@@ -501,6 +501,36 @@ def test_license_within_longer_lines(spark):
         assert got == {n + k: name for k, name in enumerate(wanted)}
 
 
+def test_license_headers_files_and_tags(spark, tmp_path):
+    mit = ("MIT License\n\nCopyright (c) 2024 Acme\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\n"
+           "of this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction")
+    bsd = next(t for n, t in license_scan.TEMPLATES if n == "BSD-2-Clause")
+    gpl = (" * This file is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+           " * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version.")
+    files = {
+        "a/LICENSE": mit, "a/x": "int main", "b/COPYING": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.",
+        "c/x.c": "/*\n" + gpl.format(3), "c/y.c": gpl.format(2), "d/x": "MIT License", "d/y": "int main", "e/x": "Apache License\nVersion 2.0, January 2004",
+        "f/LICENSE": "Copyright (c) 2024, Acme\n" + bsd, "f/LICENSE3": "Copyright (c) 2024, Acme\n" + bsd + " 3. Neither the name of Acme nor the names of its"
+        " contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "g/x": "a word on the MIT License in a sentence", "g/y": "MIT"}
+    rows = [(p, p, t) for p, t in files.items()] + [(f"z/{k}", f"z/{k}", f"some other words of the file w{k}") for k in range(300)]
+    found = license_scan.scan_licenses(spark.createDataFrame(rows, "id string, path string, text string"), "id", "path", "text")
+    got = {r.file_id: (r.own_license, r.license) for r in found.collect()}
+    own = {"a/LICENSE": "MIT", "b/COPYING": "GPL-3.0", "c/x.c": "GPL-3.0", "c/y.c": "GPL-2.0", "d/x": "MIT", "e/x": "Apache-2.0",
+           "f/LICENSE": "BSD-2-Clause", "f/LICENSE3": "BSD-3-Clause"}
+    assert {k: o for k, (o, _) in got.items() if o} == own
+    assert got["a/x"] == (None, "MIT") and got["d/y"] == (None, "MIT") and got["g/x"] == got["z/1"] == (None, None)
+
+    pages = [(1, "Licensed under the <a href='/x'>Apache License</a>, <b>Version</b> 2.0", "Apache-2.0"),
+             (2, "Released under<!-- > --> the <em>MIT</em> License", "MIT"), (3, "Nothing here", None)]
+    spark.createDataFrame([(k, f"http://h{k}.example/p", f"<title>T</title><p>{t}</p><p>end</p>") for k, t, _ in pages]
+                          + [(k, f"http://g.example/{k}", f"<p>some other words here w{k}</p>") for k in range(100, 200)],
+                          "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.own_license for r in license_queries.op5(spark, str(tmp_path)).collect()}
+    assert {k: got[k] for k, _, _ in pages} == {k: name for k, _, name in pages} and sum(v is not None for v in got.values()) == 2
+    assert spark.range(1).select(license_scan.html_lines(F.lit("<p>a <i>b</i>c<br/>d<pre>e</pre>"))).first()[0] == "\na bc\nd\ne\n"
+
+
 # Classifier --------------------------------------------------------------------
 
 def test_quality_classifier_accuracy(spark):
