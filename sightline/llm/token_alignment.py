@@ -36,8 +36,8 @@ BROADCAST_PAIRS = 2_000_000
 
 END_A, END_B, END_BOTH = 1, 2, 3
 
-# A place where both tokenizers end a token: between a letter and one space that a letter follows.
-_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+# A place where both tokenizers end a token: before one space that is followed by a letter.
+_CUT = re.compile(r"(?<=[!-~]) (?=[A-Za-z])")
 _WORD = re.compile(" +[^ ]*")
 
 
@@ -95,7 +95,8 @@ class Pieces:
 
     def _encode(self, word: str) -> bytes | None:
         """Ids of a word that starts with a space, or None if they do not spell it."""
-        ids = self.model.encode(word[1:])
+        # The model adds no space to an empty text; a last space is a word of its own.
+        ids = self.model.encode(word[1:]) if len(word) > 1 else [self.model.piece_to_id("▁")]
         if b"".join([self.pieces[i] for i in ids]) != word.encode():
             return None
         return array(self.code, ids).tobytes()

@@ -29,7 +29,7 @@ def test_registry():
 
     names = set(entry.queries())
     assert {"pipeline"} <= names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert all(isinstance(q, LlmQuery) for q in LLM_QUERIES.values())
     assert [n for n, _ in corpus_pipeline.STAGES] == [
