@@ -11,6 +11,7 @@ is joined with the counts of just the pairs it holds.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -23,13 +24,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from sightline.llm.packing import Encoder, vocabulary_file
+from sightline.llm.packing import vocabulary_file
 from sightline.session import cut_lineage, release
 
 # Text bytes that are aligned at a time; a longer text is aligned in parts of about this size.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 # Entries of a worker process's memory of encoded words, and of a task's pairs before it hands them on.
-MEMORY = 500_000
+MEMORY = 200_000
 TASK_PAIRS = 1 << 20
 # Pairs that are broadcast at most (20 bytes each); beyond, blocks are joined with their pairs' counts.
 BROADCAST_PAIRS = 2_000_000
@@ -39,6 +40,8 @@ END_A, END_B, END_BOTH = 1, 2, 3
 # A place where both tokenizers end a token: before one space that is followed by a letter.
 _CUT = re.compile(r"(?<=[!-~]) (?=[A-Za-z])")
 _WORD = re.compile(" +[^ ]*")
+# Characters outside these, white space but these, and control characters go to the tokenizer's own library.
+UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡§«»¿-ſ‐-‧]")
 
 
 def _bytes_of_byte_level() -> dict[str, int]:
@@ -52,20 +55,45 @@ def _bytes_of_byte_level() -> dict[str, int]:
 
 
 class ByteLevel:
-    """Tokenizer A: ids of a text, and the bytes that each id stands for."""
+    """Tokenizer A: ids of a text, and the bytes that each id stands for.
+
+    If ids rank the merges, texts of usual characters go to a second implementation of the same tokenizer that
+    is several times as fast; texts on whose character classes the two might differ do not.
+    """
 
     def __init__(self, path: str) -> None:
-        self.encoder = Encoder(path)
-        size = self.encoder.tokenizer.get_vocab_size()
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        size = self.tokenizer.get_vocab_size()
+        self.kind, self.code = (np.dtype("<u2"), "H") if size <= 1 << 16 else (np.dtype("<u4"), "I")
         letters = _bytes_of_byte_level()
-        special = {i for i, t in self.encoder.tokenizer.get_added_tokens_decoder().items() if t.special}
-        names = [self.encoder.tokenizer.id_to_token(i) or "" for i in range(size)]
+        special = {i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         # A special token never comes out of a text; its bytes are not asked for.
-        self.pieces = [b"" if i in special else bytes(letters[c] for c in name) for i, name in enumerate(names)]
+        self.pieces = [
+            b"" if i in special else bytes(letters[c] for c in self.tokenizer.id_to_token(i) or "") for i in range(size)]
         self.lengths = np.array([len(p) for p in self.pieces], dtype=np.int64)
+        self.fast = self._ranked(path, special)
+
+    def _ranked(self, path: str, special: set[int]):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            merges = json.load(file)["model"]["merges"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        if any(self.tokenizer.token_to_id("".join(pair)) != 256 + i for i, pair in enumerate(pairs)):
+            return None
+        ranks = {p: i for i, p in enumerate(self.pieces) if i not in special}
+        return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.encoder.encode(text), dtype=self.encoder.kind)
+        if self.fast is not None and not UNUSUAL.search(text):
+            ids = self.fast.encode_ordinary(text)
+        else:
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.frombuffer(array(self.code, ids), dtype=self.kind)
 
     def spells(self, ids: np.ndarray, text: bytes) -> bool:
         """Byte-level ids spell their text unless the vocabulary normalises; lengths rule that out cheaply."""
@@ -83,48 +111,45 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = self.model.get_piece_size()
-        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.code = "H" if size <= 1 << 16 else "I"
+        self.kind, self.code = (np.dtype("<u2"), "H") if size <= 1 << 16 else (np.dtype("<u4"), "I")
         names = [self.model.id_to_piece(i) for i in range(size)]
         self.by_words = not any(re.search("[^▁]▁", n) for n in names)
         self.pieces = [
             bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) or self.model.is_unknown(i)
             else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+        self.spelling = pa.array(self.pieces, pa.large_binary())
         self.lengths = np.array([len(p) for p in self.pieces], dtype=np.int64)
+        self.space = self.model.piece_to_id("▁")
         self.known: dict[str, bytes | None] = {}
 
-    def _encode(self, word: str) -> bytes | None:
-        """Ids of a word that starts with a space, or None if they do not spell it."""
-        # The model adds no space to an empty text; a last space is a word of its own.
-        ids = self.model.encode(word[1:]) if len(word) > 1 else [self.model.piece_to_id("▁")]
-        if b"".join([self.pieces[i] for i in ids]) != word.encode():
-            return None
-        return array(self.code, ids).tobytes()
-
-    def encode(self, spaced: str) -> np.ndarray | None:
-        """Ids of a text that starts with a space (the one that the model adds), or None if they do not spell it."""
-        if not self.by_words:
-            words = [spaced]
-        elif spaced.count(" ") == 1:
-            words = [spaced]
-        else:
-            words = _WORD.findall(spaced)
-        try:
-            found = list(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > MEMORY:
-                self.known = {}
-            # Long "words" (texts without spaces) are not worth remembering.
-            found = []
-            for w in words:
-                if w in self.known:
-                    found.append(self.known[w])
-                else:
-                    ids = self._encode(w)
-                    found.append(ids)
-                    if len(w) < 64:
-                        self.known[w] = ids
-        return None if None in found else np.frombuffer(b"".join(found), dtype=self.kind)
+    def _encode(self, words: list[str]) -> list[bytes | None]:
+        """Ids of words that start with a space, None for those that their pieces do not spell."""
+        # The model puts a space before a text, but not before an empty one: a last space is a word of its own.
+        ids = [found or [self.space] for found in self.model.encode([w[1:] for w in words], num_threads=1)]
+        coded = [array(self.code, x).tobytes() for x in ids]
+        flat = np.frombuffer(b"".join(coded), dtype=self.kind)
+        spelt = pc.take(self.spelling, pa.array(flat)).buffers()[2].to_pybytes()
+        texts = [w.encode() for w in words]
+        sizes = np.add.reduceat(self.lengths[flat], np.cumsum([0, *map(len, ids[:-1])]))
+        if spelt == b"".join(texts) and np.array_equal(sizes, [len(t) for t in texts]):
+            return coded
+        return [c if b"".join([self.pieces[i] for i in x]) == t else None for c, x, t in zip(coded, ids, texts)]
+
+    def encode(self, spaced: list[str]) -> list[np.ndarray | None]:
+        """Ids of texts that start with a space (the one that the model adds), None for those that they do not spell."""
+        words = [_WORD.findall(text) if self.by_words else [text] for text in spaced]
+        distinct = set().union(*words)
+        new = list(distinct.difference(self.known))
+        if len(self.known) + len(new) > MEMORY:
+            self.known = {w: self.known[w] for w in distinct.intersection(self.known)}
+        if new:
+            self.known.update(zip(new, self._encode(new)))
+        found = [list(map(self.known.__getitem__, w)) for w in words]
+        # A text without spaces is one long word, not worth remembering.
+        for w in new:
+            if len(w) > 64:
+                del self.known[w]
+        return [None if None in x else np.frombuffer(b"".join(x), dtype=self.kind) for x in found]
 
 
 @lru_cache(maxsize=1)
@@ -199,21 +224,18 @@ def aligned_documents(documents: DataFrame, path_a: str, path_b: str) -> DataFra
                 block, start = block + 1, stop
 
     def block_of(batch: pa.RecordBatch, first: ByteLevel, second: Pieces, block: int) -> pa.RecordBatch:
+        parts = [text_parts(" " + text) if text else [] for text in batch.column(1).to_pylist()]
+        found = iter(second.encode([p for row in parts for p in row]))
         owner: list[int] = []
         ids_a: list[np.ndarray] = []
         ids_b: list[np.ndarray] = []
-        for row, text in enumerate(batch.column(1).to_pylist()):
-            found = []
-            for part in text_parts(" " + text) if text else ():
-                a, b = first.encode(part), second.encode(part)
-                if b is None or not first.spells(a, part.encode()):
-                    found = []
-                    break
-                found.append((a, b))
-            for a, b in found:
-                owner.append(row)
-                ids_a.append(a)
-                ids_b.append(b)
+        for row, held in enumerate(parts):
+            b = [next(found) for _ in held]
+            a = [first.encode(part) for part in held] if not any(x is None for x in b) else []
+            if a and all(first.spells(x, part.encode()) for x, part in zip(a, held)):
+                owner += [row] * len(held)
+                ids_a += a
+                ids_b += b
         steps = align_parts(ids_a, ids_b, first.lengths, second.lengths) if owner else []
         n, rows = len(batch), {}
         for at, row in enumerate(owner):
@@ -224,7 +246,7 @@ def aligned_documents(documents: DataFrame, path_a: str, path_b: str) -> DataFra
             out_b[row] = b"".join(ids_b[p].tobytes() for p in parts)
             out_s[row] = b"".join(steps[p] for p in parts)
         numbers = [
-            [len(x) // first.encoder.kind.itemsize for x in out_a], [len(x) // second.kind.itemsize for x in out_b],
+            [len(x) // first.kind.itemsize for x in out_a], [len(x) // second.kind.itemsize for x in out_b],
             [x.count(END_BOTH) for x in out_s], [len(x) for x in out_s]]
         return pa.RecordBatch.from_arrays(
             [batch.column(0).cast(pa.int64()), *[pa.array(x, pa.int64()) for x in numbers],
