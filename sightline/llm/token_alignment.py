@@ -15,7 +15,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +37,8 @@ BROADCAST_PAIRS = 2_000_000
 
 END_A, END_B, END_BOTH = 1, 2, 3
 
+Finish = Callable[[pa.RecordBatch], pa.RecordBatch]
+
 # A place where both tokenizers end a token: before one space that is followed by a letter.
 _CUT = re.compile(r"(?<=[!-~]) (?=[A-Za-z])")
 _WORD = re.compile(" +[^ ]*")
@@ -347,19 +349,19 @@ def _with_sums(batch: pa.RecordBatch, size_b: int, pairs: np.ndarray, n: np.ndar
         [*[batch.column(f.name) for f in _ALIGNED.fields[:-1]], *[pa.array(s) for s in sums]], _RESULT.names)
 
 
-def _sums_by_broadcast(aligned: DataFrame, counts: DataFrame, size_b: int) -> DataFrame:
+def _sums_by_broadcast(aligned: DataFrame, counts: DataFrame, size_b: int, finish: Finish, schema: T.StructType) -> DataFrame:
     table = counts.sort("pair").toArrow()
     shared = aligned.sparkSession.sparkContext.broadcast(
         tuple(table[c].to_numpy().astype(t) for c, t in (("pair", np.int64), ("n", np.int64), ("best", bool))))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small_batches(batches):
-            yield _with_sums(batch, size_b, *shared.value)
+            yield finish(_with_sums(batch, size_b, *shared.value))
 
-    return aligned.mapInArrow(add, _RESULT)
+    return aligned.mapInArrow(add, schema)
 
 
-def _sums_by_blocks(aligned: DataFrame, counts: DataFrame, size_b: int) -> DataFrame:
+def _sums_by_blocks(aligned: DataFrame, counts: DataFrame, size_b: int, finish: Finish, schema: T.StructType) -> DataFrame:
     """As :func:`_sums_by_broadcast` for any number of pairs; a block's pairs are at most its links."""
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,10 +376,9 @@ def _sums_by_blocks(aligned: DataFrame, counts: DataFrame, size_b: int) -> DataF
         pairs = pairs.sort_by("pair")
         lists = [pairs[c].to_numpy() for c in ("pair", "n", "best")]
         rows = documents.combine_chunks().to_batches()
-        return pa.Table.from_batches([_with_sums(b, size_b, *lists) for b in rows]) if rows else pa.Table.from_pylist(
-            [], schema=pa.schema([(f.name, pa.binary() if f.dataType == T.BinaryType() else pa.int64()) for f in _RESULT]))
+        return pa.Table.from_batches([finish(_with_sums(b, size_b, *lists)) for b in rows])
 
-    return aligned.groupBy("block").cogroup(lookups.groupBy("block")).applyInArrow(add, _RESULT)
+    return aligned.groupBy("block").cogroup(lookups.groupBy("block")).applyInArrow(add, schema)
 
 
 def _by_block(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -389,7 +390,8 @@ def _by_block(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def align_tokenizers(
-    documents: DataFrame, path_a: str | None = None, path_b: str | None = None, broadcast_pairs: int = BROADCAST_PAIRS
+    documents: DataFrame, path_a: str | None = None, path_b: str | None = None, broadcast_pairs: int = BROADCAST_PAIRS,
+    finish: Finish | None = None, schema: T.StructType = _RESULT,
 ) -> DataFrame:
     """One row per document: the ids of both tokenizers, how they align, and how usual their pairs are.
 
@@ -403,6 +405,9 @@ def align_tokenizers(
     have no tokens: zeros and empty bytes.  Repeated rows count and are returned as often as they come; null
     ids stay null; an empty table gives no rows.  Only doc_id and text are read.
 
+    ``finish`` turns batches of these rows into batches of ``schema`` in the same pass, so that ids which are
+    only needed for a digest or a file never leave the worker.
+
     Runs jobs: aligned documents and pair counts are written to the checkpoint folder.  Up to
     ``broadcast_pairs`` pairs pass through the driver and are broadcast; beyond, nothing does.
     """
@@ -410,10 +415,10 @@ def align_tokenizers(
     size_b = len(tokenizers_of(path_a, path_b)[1].pieces)
     aligned = cut_lineage(aligned_documents(documents, path_a, path_b))
     counts = cut_lineage(pair_counts(aligned, size_b))
-    few = counts.count() <= broadcast_pairs
-    if not few:
-        return _sums_by_blocks(aligned, counts, size_b)
-    result = _sums_by_broadcast(aligned, counts, size_b)
+    finish = finish or (lambda batch: batch)
+    if counts.count() > broadcast_pairs:
+        return _sums_by_blocks(aligned, counts, size_b, finish, schema)
+    result = _sums_by_broadcast(aligned, counts, size_b, finish, schema)
     release(counts)
     return result
 

@@ -102,7 +102,7 @@ def _same_rows(got, expected):
 @pytest.mark.parametrize("broadcast_pairs", [10**6, 0])
 def test_alignment_matches_brute_force(spark, edge_rows, broadcast_pairs):
     df = documents(spark, edge_rows).repartition(3)
-    got = alignment_queries.group_digests(token_alignment.align_tokenizers(df, broadcast_pairs=broadcast_pairs))
+    got = alignment_queries.aligned_digests(df, broadcast_pairs=broadcast_pairs)
     _same_rows(got.collect(), _brute_alignment([(i, t) for i, t, *_ in edge_rows]))
 
 
