@@ -152,7 +152,7 @@ def inverse_rotation(x: Column, y: Column, flip: Column, height: int, width: int
         F.coalesce(sensor_x, x).alias("x"), F.coalesce(sensor_y, y).alias("y"))
 
 
-def forward_rotation(x: Column, y: Column, flip: Column, height: int, width: int) -> Column:
+def forward_rotation(x: Column, y: Column, flip: Column, height: int | Column, width: int | Column) -> Column:
     """Sensor pixel to world pixel; undoes :func:`inverse_rotation`."""
     last_x, last_y = F.lit(width - 1), F.lit(height - 1)
     world_x = F.when(flip == 3, last_x - x).when(flip == 5, y).when(flip == 6, last_y - y)

@@ -1,7 +1,9 @@
-"""Pixel-table operators: blobs, the classical detector, size audit, cell features.
+"""Raster operators: blobs, the classical detector, size audit, cell features.
 
-Pixels are rows (image_id, x, y, b, g, r).  Blobs are found on horizontal runs
-instead of pixels: runs touch through an equi-join on the pixel below, and
+A raster argument is a table of images (image_id, height, width, n_channels,
+data) or of pixels (image_id, x, y, b, g, r).  Images are labelled inside one
+Arrow pass (``image_blocks``).  Pixel tables, which may be sparse, are labelled
+on horizontal runs: runs touch through an equi-join on the pixel below, and
 labels spread by rounds of neighbour minimum and pointer jumping.  Each round
 is written to the checkpoint folder, so a lost executor costs one round.
 """
@@ -18,12 +20,11 @@ from sightline.functions.pixels import (
 from sightline.functions.geometry import perpendicular_distance
 from sightline.functions.hashing import all_of
 from sightline.operators.frames import classical_context, keep_members
+from sightline.operators.image_blocks import ROW_STEP, blob_parts, blobs_at_centres, has_images, linked_parts
 from sightline.operators.sampling import two_stage_sample
 from sightline.session import cut_lineage, release
 
 PATCH_HALF = 31
-# A run is named by its row and first column, both 32-bit in every image format that is read.
-ROW_STEP = 1 << 31
 
 
 def pixel_runs(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -105,7 +106,37 @@ def blobs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
         (F.sum("sum_val") / area).alias("mean_val"))
 
 
-def detect(frames: DataFrame, pixels: DataFrame, context: DataFrame) -> DataFrame:
+def image_blobs(images: DataFrame) -> DataFrame:
+    """Blobs (image_id, tag, label, area, cx, cy, mean_val) of the detector masks of every image.
+
+    Whole images take one pass without a shuffle.  Strips of an image (rows with ``top``) are merged on their
+    outer rows, in rounds over these alone.
+    """
+    keys = ["image_id", "tag"]
+    area = F.sum("area")
+    if "top" in images.columns:
+        parts = linked_parts(cut_lineage(blob_parts(images)), keys, touching_runs, component_labels)
+        return parts.groupBy(*keys, "label").agg(
+            area.alias("area"), (F.sum("sum_x") / area).alias("cx"), (F.sum("sum_y") / area).alias("cy"),
+            (F.sum("sum_val") / area).alias("mean_val"))
+    return blob_parts(images).select(
+        *keys, F.col("node").alias("label"), "area", (F.col("sum_x") / F.col("area")).alias("cx"),
+        (F.col("sum_y") / F.col("area")).alias("cy"), (F.col("sum_val") / F.col("area")).alias("mean_val"))
+
+
+def tagged_blobs(raster: DataFrame, tagged: DataFrame) -> DataFrame:
+    """Blobs (image_id, label, area, cx, cy, mean_val) of each image's own mask; ``tagged`` has (image_id, wavelength)."""
+    if has_images(raster):
+        own = tagged.select("image_id", F.when(
+            F.col("wavelength").isin("red", "green"), F.col("wavelength")).otherwise(F.lit("")).alias("tag"))
+        return image_blobs(raster).join(own, ["image_id", "tag"]).drop("tag")
+    bgr = (F.col("b"), F.col("g"), F.col("r"))
+    mask = raster.join(tagged.select("image_id", "wavelength"), "image_id").filter(
+        colour_mask(*bgr, F.col("wavelength"))).select("image_id", "x", "y", hsv(*bgr).val.alias("val"))
+    return blobs(labelled_runs(mask, ["image_id"]), ["image_id"])
+
+
+def detect(frames: DataFrame, raster: DataFrame, context: DataFrame) -> DataFrame:
     """Best blob per image: colour mask, area gate, brightness times line closeness.
 
     Only images with an accepted blob have a row.  Equal scores go to the blob
@@ -114,11 +145,7 @@ def detect(frames: DataFrame, pixels: DataFrame, context: DataFrame) -> DataFram
     known = frames.select("image_id", "dive_id").distinct().join(context, "dive_id", "left")
     facts = known.select(
         "image_id", "wavelength", "line_a", "line_b", "line_c", "is_line_confident")
-    inside = pixels.join(facts.select("image_id", "wavelength"), "image_id").filter(
-        colour_mask(F.col("b"), F.col("g"), F.col("r"), F.col("wavelength")))
-    mask = inside.select(
-        "image_id", "x", "y", hsv(F.col("b"), F.col("g"), F.col("r")).val.alias("val"))
-    found = blobs(labelled_runs(mask, ["image_id"]), ["image_id"]).filter(area_plausible(F.col("area")))
+    found = tagged_blobs(raster, facts).filter(area_plausible(F.col("area")))
     line_distance = perpendicular_distance(
         F.col("cx"), F.col("cy"), F.col("line_a"), F.col("line_b"), F.col("line_c"))
     scored = found.join(facts, "image_id").withColumn(
@@ -132,26 +159,17 @@ def detect(frames: DataFrame, pixels: DataFrame, context: DataFrame) -> DataFram
 
 
 def classical_predictions(
-    frames: DataFrame, pixels: DataFrame, wavelengths: DataFrame, lines: DataFrame
+    frames: DataFrame, raster: DataFrame, wavelengths: DataFrame, lines: DataFrame
 ) -> DataFrame:
     """PREDICTIONS, one row per frame; no blob or no image gives null and 0."""
-    found = detect(frames, pixels, classical_context(wavelengths, lines))
+    found = detect(frames, raster, classical_context(wavelengths, lines))
     return frames.select("image_id").join(found, "image_id", "left").withColumn(
         "pred_confidence", F.coalesce("pred_confidence", F.lit(0.0)))
 
 
-def blob_under_label(points: DataFrame, pixels: DataFrame, half: int = PATCH_HALF) -> DataFrame:
-    """Blob of the audit mask that holds the labelled pixel, within a patch.
-
-    ``points`` has (dive_id, image_id, label_x, label_y), any number per image; each
-    label is measured in the patch of its own rounded centre.  Off-blob labels and
-    blobs above a quarter of the patch are dropped.
-    """
-    labelled = points.select(
-        "dive_id", "image_id",
-        F.rint("label_x").cast("long").alias("cx"), F.rint("label_y").cast("long").alias("cy"))
+def _areas_in_pixels(centres: DataFrame, pixels: DataFrame, half: int) -> DataFrame:
     keys = ["image_id", "cx", "cy"]
-    patch = labelled.select(*keys).distinct().join(pixels, "image_id").filter(
+    patch = centres.join(pixels, "image_id").filter(
         F.col("x").between(F.col("cx") - half, F.col("cx") + half)
         & F.col("y").between(F.col("cy") - half, F.col("cy") + half))
     size = patch.groupBy(*keys).agg(F.count(F.lit(1)).alias("patch_size"))
@@ -162,23 +180,36 @@ def blob_under_label(points: DataFrame, pixels: DataFrame, half: int = PATCH_HAL
         (F.col("y") == F.col("cy")) & F.col("cx").between(F.col("x0"), F.col("x1"))).select(*keys, "label")
     area = runs.join(under, [*keys, "label"], "left_semi").groupBy(*keys).agg(
         F.sum("area").alias("blob_pixels"))
-    return (
-        labelled.join(area, keys).join(size, keys)
-        .filter(F.col("blob_pixels") <= F.lit(MAX_PATCH_FRACTION) * F.col("patch_size"))
-        .select(
-            "dive_id", "image_id",
-            equivalent_diameter(F.col("blob_pixels")).alias("blob_diameter_px"), "blob_pixels")
-    )
+    return area.join(size, keys)
+
+
+def blob_under_label(points: DataFrame, raster: DataFrame, half: int = PATCH_HALF) -> DataFrame:
+    """Blob of the audit mask that holds the labelled pixel, within a patch.
+
+    ``points`` has (dive_id, image_id, label_x, label_y), any number per image; each
+    label is measured in the patch of its own rounded centre.  Off-blob labels and
+    blobs above a quarter of the patch are dropped.
+    """
+    labelled = points.select(
+        "dive_id", "image_id",
+        F.rint("label_x").cast("long").alias("cx"), F.rint("label_y").cast("long").alias("cy"))
+    keys = ["image_id", "cx", "cy"]
+    centres = labelled.select(*keys).distinct()
+    measured = blobs_at_centres(centres, raster, half) if has_images(raster) else _areas_in_pixels(centres, raster, half)
+    return labelled.join(
+        measured.filter(F.col("blob_pixels") <= F.lit(MAX_PATCH_FRACTION) * F.col("patch_size")), keys
+    ).select(
+        "dive_id", "image_id", equivalent_diameter(F.col("blob_pixels")).alias("blob_diameter_px"), "blob_pixels")
 
 
 def size_audit(
-    frames: DataFrame, wavelengths: DataFrame, pixels: DataFrame,
+    frames: DataFrame, wavelengths: DataFrame, raster: DataFrame,
     max_dives: int = 30, per_dive: int = 5, seed: int = 0,
 ) -> DataFrame:
     """AUDIT table over a two-stage sample of positives."""
     sample = two_stage_sample(frames, max_dives, per_dive, seed)
-    # Only the sampled images' pixels are read on.
-    chosen = keep_members(pixels, sample, "image_id")
+    # Only the sampled images are read on.
+    chosen = keep_members(raster, sample, "image_id")
     return blob_under_label(sample, chosen).join(
         wavelengths.select("dive_id", "wavelength"), "dive_id", "left"
     ).select("dive_id", "image_id", "wavelength", "blob_diameter_px", "blob_pixels")

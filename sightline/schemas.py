@@ -44,6 +44,12 @@ CANDIDATES = _schema(
 )
 PIXELS = _schema(
     ("image_id", _L), ("x", _L), ("y", _L), ("b", _L), ("g", _L), ("r", _L))
+STORED = _schema(
+    ("image_checksum", _S), ("height", T.IntegerType()), ("width", T.IntegerType()), ("n_channels", T.IntegerType()),
+    ("data", T.BinaryType()))
+MANIFEST = _schema(
+    ("image_checksum", _S), ("image_path", _S), ("status", _S), ("height", T.IntegerType()), ("width", T.IntegerType()),
+    ("n_channels", T.IntegerType()), ("run", _S))
 ORF_FLIP = _schema(("image_checksum", _S), ("flip", T.IntegerType()))
 RIG_INTRINSICS = _schema(
     ("rig_id", _L), ("fx", _D), ("fy", _D), ("cx", _D), ("cy", _D),

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sightline.operators.frames import keep_members
-from sightline.schemas import PIXELS
+from sightline.operators.ordering import attach_scalars
+from sightline.schemas import MANIFEST, PIXELS, STORED
 from sightline.session import cut_lineage
-from sightline.sources.tables import path_exists, read_table, write_table
+from sightline.sources.loaded import Loader, load_images
+from sightline.sources.tables import path_exists
 
 # Rows of one image turned into pixel rows at a time; bounds a task's memory.
 ROWS_PER_BLOCK = 256
@@ -53,65 +57,129 @@ def _checked(frames: DataFrame) -> DataFrame:
     ).otherwise(F.col("image_checksum")))
 
 
-def warm_store(frames_with_images: DataFrame, path: str) -> DataFrame:
-    """Add missing images to the decoded store and report per frame.
+@dataclass(frozen=True)
+class ImageStore:
+    """Decoded images under ``path``, with a manifest that says what is there.
 
-    The store is keyed by checksum and partitioned by its first two characters.
-    Returns (image_checksum, status) with status warm, decoded or failed; a
-    second run decodes nothing.  Runs jobs.
+    ``images`` has (image_checksum, height, width, n_channels, data) in folders by run and first two characters
+    of the checksum; ``manifest`` has a row per tried image of each run that ended (checksum, path, status,
+    size).  A run that died left images without manifest rows: they are not read, and the next run decodes
+    them again.  ``fmt`` is the format of the images.
     """
-    spark = frames_with_images.sparkSession
-    wanted = _checked(frames_with_images)
-    # Equal checksums mean equal images; any decoded copy will do.
-    one_each = wanted.groupBy("image_checksum").agg(
-        F.max_by(F.struct("height", "width", "n_channels", "data"), F.length("data")).alias("_i"))
-    if path_exists(spark, path):
-        stored = spark.read.parquet(path).select("image_checksum").distinct()
-    else:
-        stored = spark.createDataFrame([], "image_checksum string")
-    missing = one_each.join(stored, "image_checksum", "left_anti")
-    status = (
-        one_each.select("image_checksum", F.col("_i.data").isNotNull().alias("_ok"))
-        .join(stored.withColumn("_warm", F.lit(True)), "image_checksum", "left")
-        .select("image_checksum", F.when(F.col("_warm"), F.lit("warm")).when(
-            F.col("_ok"), F.lit("decoded")).otherwise(F.lit("failed")).alias("status"))
-    )
-    # The report must see the store as it was before the append.
-    status = cut_lineage(status)
-    fresh = missing.filter(F.col("_i.data").isNotNull()).select(
-        "image_checksum", "_i.*", F.substring("image_checksum", 1, 2).alias("prefix"))
-    write_table(fresh, path, ("prefix",), "append")
-    return status
+
+    spark: SparkSession
+    path: str
+    fmt: str = "parquet"
+
+    def manifest(self) -> DataFrame:
+        where = f"{self.path}/manifest"
+        if not path_exists(self.spark, where):
+            return self.spark.createDataFrame([], MANIFEST)
+        return self.spark.read.schema(MANIFEST).parquet(where)
+
+    def present(self) -> DataFrame:
+        """Checksums that are stored, with the run that stored them (one each)."""
+        return self.manifest().filter(F.col("status") == "decoded").groupBy("image_checksum").agg(F.min("run").alias("run"))
+
+    def images(self, checksums: DataFrame | None = None) -> DataFrame:
+        """The stored images, or those of ``checksums``: folders of runs that did not end are pruned."""
+        present = self.present()
+        if checksums is not None:
+            present = present.join(checksums.select("image_checksum").distinct(), "image_checksum", "left_semi")
+        if not path_exists(self.spark, f"{self.path}/images"):
+            return self.spark.createDataFrame([], STORED)
+        stored = self.spark.read.format(self.fmt).schema(
+            "image_checksum string, height int, width int, n_channels int, data binary, run string, prefix string"
+        ).load(f"{self.path}/images")
+        return stored.join(present, ["image_checksum", "run"]).select(*[f.name for f in STORED.fields])
+
+    def add(self, images: DataFrame, run: str) -> DataFrame:
+        """Write the images of one run and then its manifest rows, which are returned (runs two jobs).
+
+        ``images`` has (image_path, image_checksum, height, width, n_channels, data); of several rows of one
+        checksum that were read, the first by path counts.  Writing the same run again replaces it.
+        """
+        rows = images.select(*STORED.fieldNames(), "image_path", F.substring("image_checksum", 1, 2).alias("prefix"))
+        staged = f"{self.path}/images/run={run}"
+        rows.write.mode("overwrite").partitionBy("prefix").format(self.fmt).save(staged)
+        # Sizes and states come from the written table's narrow columns; no image is read again.
+        tried = self.spark.read.format(self.fmt).schema(
+            "image_checksum string, height int, width int, n_channels int, image_path string").load(staged)
+        noted = tried.select(
+            "image_checksum", "image_path", F.when(F.col("height").isNotNull(), "decoded").otherwise("failed").alias("status"),
+            "height", "width", "n_channels", F.lit(run).alias("run"))
+        noted.write.mode("overwrite").parquet(f"{self.path}/manifest/part={run}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/part={run}")
+
+
+def warm_store(frames: DataFrame, store: ImageStore, load: Loader, run: str | None = None, retry_failed: bool = True) -> DataFrame:
+    """Decode what the store lacks and report per wanted image: (image_checksum, status, attempts).
+
+    ``status`` is warm, decoded or failed; ``attempts`` counts calls of the loader in this run.  What is there
+    already is known from the manifest before any byte is read, so a second run calls the loader for failed
+    images only, or not at all without ``retry_failed``.  Of several paths of one checksum the first is loaded,
+    the others only if it fails.  Runs jobs; the report is read from the manifest's columns.
+    """
+    run = run or uuid.uuid4().hex
+    wanted = cut_lineage(_checked(frames).groupBy("image_checksum").agg(
+        F.array_sort(F.collect_set("image_path")).alias("paths")))
+    present = store.present().select("image_checksum", F.lit(True).alias("_warm"))
+    known = wanted.join(present, "image_checksum", "left")
+    todo = known.filter(F.col("_warm").isNull()).select("image_checksum", "paths")
+    if not retry_failed:
+        failed = store.manifest().filter(F.col("status") == "failed").select("image_checksum").distinct()
+        todo = todo.join(failed, "image_checksum", "left_anti")
+    todo = cut_lineage(todo)
+    # The state before this run decides what was warm.
+    warm = cut_lineage(known.filter(F.col("_warm")).select("image_checksum"))
+    attempt = 0
+    left = todo.filter(F.size("paths") > 0)
+    while not left.isEmpty():
+        here = left.select("image_checksum", F.get("paths", F.lit(attempt)).alias("image_path"))
+        store.add(load_images(here, load), f"{run}-{attempt}")
+        attempt += 1
+        left = todo.filter(F.size("paths") > attempt).join(store.present(), "image_checksum", "left_anti")
+    tried = store.manifest().filter(F.col("run").startswith(f"{run}-")).groupBy("image_checksum").agg(
+        F.max((F.col("status") == "decoded").cast("int")).alias("_ok"), F.count(F.lit(1)).alias("_n"))
+    return wanted.select("image_checksum").join(
+        warm.withColumn("_warm", F.lit(True)), "image_checksum", "left").join(tried, "image_checksum", "left").select(
+        "image_checksum",
+        F.when(F.col("_warm"), "warm").when(F.col("_ok") == 1, "decoded").otherwise("failed").alias("status"),
+        F.coalesce("_n", F.lit(0)).cast("long").alias("attempts"))
 
 
 def warm_report(status: DataFrame) -> DataFrame:
-    return status.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return status.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("attempts").alias("attempts"))
 
 
-def warm_split(frames: DataFrame, images: DataFrame, splits: DataFrame, split: str, path: str) -> DataFrame:
+def warm_split(
+    frames: DataFrame, splits: DataFrame, split: str, store: ImageStore, load: Loader, retry_failed: bool = True
+) -> DataFrame:
     """Warm the store for one split's frames and count the outcomes."""
     chosen = keep_members(frames, splits.filter(F.col("split") == split), "dive_id")
-    return warm_report(warm_store(attach_images(chosen, images), path))
+    return warm_report(warm_store(chosen, store, load, retry_failed=retry_failed))
 
 
-def reencode_store(spark: SparkSession, source: str, target: str, fmt: str = "orc") -> DataFrame:
-    """Rewrite a decoded store in another format, skipping what is there.
+def reencode_store(source: ImageStore, target: ImageStore, run: str | None = None) -> DataFrame:
+    """Rewrite a decoded store in the format of ``target``, skipping what that has.
 
-    One row: done, skipped and failed (rows whose bytes do not fit their size).
+    One row: done, skipped and failed (rows whose bytes do not fit their size).  The bytes of the images to
+    do are read once, and only theirs; the counts come from manifests.
     """
-    rows = read_table(spark, source)
-    if path_exists(spark, target):
-        present = spark.read.format(fmt).load(target).select("image_checksum").distinct()
-    else:
-        present = spark.createDataFrame([], "image_checksum string")
-    valid = F.length("data") == F.col("height") * F.col("width") * F.col("n_channels")
-    todo = rows.join(present, "image_checksum", "left_anti")
-    counts = cut_lineage(rows.join(present.withColumn("_there", F.lit(True)), "image_checksum", "left").agg(
-        F.count_if(F.col("_there").isNull() & valid).alias("done"),
-        F.count_if(F.col("_there")).alias("skipped"),
-        F.count_if(F.col("_there").isNull() & ~F.coalesce(valid, F.lit(False))).alias("failed")))
-    todo.filter(valid).write.mode("append").partitionBy("prefix").format(fmt).save(target)
-    return counts
+    run = run or uuid.uuid4().hex
+    there = target.present().select("image_checksum")
+    # Counted before the target grows.
+    counts = cut_lineage(source.present().select("image_checksum").join(
+        there.withColumn("_there", F.lit(True)), "image_checksum", "left").agg(F.count_if(F.col("_there")).alias("skipped")))
+    todo = cut_lineage(source.present().select("image_checksum").join(there, "image_checksum", "left_anti"))
+    fits = F.length("data") == F.col("height") * F.col("width") * F.col("n_channels")
+    rows = source.images(todo).select(
+        F.lit(None).cast("string").alias("image_path"), "image_checksum",
+        *[F.when(fits, F.col(c)).alias(c) for c in ("height", "width", "n_channels", "data")])
+    noted = target.add(rows, run)
+    done = noted.agg(
+        F.count_if(F.col("status") == "decoded").alias("done"), F.count_if(F.col("status") == "failed").alias("failed"))
+    return attach_scalars(done, counts).select("done", "skipped", "failed")
 
 
 def pixel_table(images: DataFrame) -> DataFrame:

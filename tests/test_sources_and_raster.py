@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline import schemas
+from sightline.functions import pixel_arrays as pa_
+from sightline.functions import pixels as px
 from sightline.operators import raster as ra
 from sightline.operators import peaks as pk
 from sightline.operators import tags as tg
@@ -18,6 +20,7 @@ from sightline.plans.curate import CurationSettings, curate
 from sightline.plans.predict import Recipe, evaluate_classical, postprocess
 from sightline.sources import images as im
 from sightline.sources import tables as tb
+from sightline.sources.loaded import load_images
 from sightline.sources.scoring import score_tiles
 from workload import views as v
 from conftest import SF
@@ -120,10 +123,12 @@ def test_components_join_diagonals_and_spirals(spark):
 
 def test_blob_under_label(spark):
     images = {1: canvas(dots=[(30, 20, 3, RED)]), 2: canvas(dots=[(30, 20, 3, RED)]), 3: canvas(dots=[(30, 20, 40, RED)])}
+    rows = spark.createDataFrame([(i, *g.shape, g.tobytes()) for i, g in images.items()], "image_id long, height int, width int, n_channels int, data binary")
     points = spark.createDataFrame(
         [(1, 1, 30.4, 20.0), (1, 2, 50.0, 50.0), (1, 3, 30.0, 20.0)], "dive_id bigint, image_id bigint, label_x double, label_y double")
-    got = ra.blob_under_label(points, pixel_rows(spark, images)).collect()
-    assert [r["image_id"] for r in got] == [1] and got[0]["blob_pixels"] == 29
+    for raster in (pixel_rows(spark, images), rows):
+        got = ra.blob_under_label(points, raster).collect()
+        assert [r["image_id"] for r in got] == [1] and got[0]["blob_pixels"] == 29
 
 
 def test_several_labels_of_one_image(spark):
@@ -157,16 +162,96 @@ def test_image_scan_store_and_pixels(spark, tmp_path):
     pixels = im.pixel_table(loaded)
     assert pixels.count() == 3 * 30
     assert pixels.filter("image_id = 1 and x = 2 and y = 2").first()[3:] == RED
-    first = {r["status"]: r["n"] for r in im.warm_report(im.warm_store(loaded, store)).collect()}
-    second = {r["status"]: r["n"] for r in im.warm_report(im.warm_store(loaded, store)).collect()}
-    assert first == {"decoded": 3, "failed": 2} and second == {"warm": 3, "failed": 2}
-    assert tuple(im.reencode_store(spark, store, orc).first()) == (3, 0, 0)
-    assert tuple(im.reencode_store(spark, store, orc).first()) == (0, 3, 0)
-    with pytest.raises(Exception):
-        im.warm_store(loaded.withColumn("image_checksum", F.lit("")), store).count()
     assert im.null_images(frames).filter("data is null").count() == 5
 
 
+def test_store_decodes_once(spark, tmp_path):
+    """A second run calls no loader; a run that died is done again; other paths are tried if the first fails."""
+    calls, dot = tmp_path / "calls", canvas(6, 5, [(2, 2, 1, RED)])
+    calls.mkdir()
+
+    def load(path, checksum):
+        (calls / f"{checksum}-{path.replace('/', '_')}-{np.random.default_rng().integers(1 << 60)}").touch()
+        if path.startswith("bad"):
+            raise OSError("gone")
+        return None if path.startswith("none") else dot
+
+    rows = [(i, f"p{i}", f"{i:02d}abc") for i in range(20)]
+    rows += [(20, "p0", "00abc"), (21, "zz", "01abc"), (30, "bad", "90abc"), (31, "none", "91abc"), (32, "bad2", "92abc"), (33, "p9", "92abc")]
+    frames = spark.createDataFrame(rows, "image_id bigint, image_path string, image_checksum string")
+    store = im.ImageStore(spark, str(tmp_path / "store"))
+
+    def report(**options):
+        seen = len(list(calls.iterdir()))
+        got = {r["status"]: (r["n"], r["attempts"]) for r in im.warm_report(im.warm_store(frames, store, load, **options)).collect()}
+        return got, len(list(calls.iterdir())) - seen
+
+    assert report(run="a") == ({"decoded": (21, 22), "failed": (2, 2)}, 24)
+    assert report() == ({"warm": (21, 0), "failed": (2, 2)}, 2)
+    assert report(retry_failed=False) == ({"warm": (21, 0), "failed": (2, 0)}, 0)
+    assert store.images().count() == 21
+    # Images whose run has no manifest rows are as if not there.
+    import shutil
+    for attempt in (0, 1):
+        shutil.rmtree(tmp_path / "store" / "manifest" / f"part=a-{attempt}")
+    assert store.images().count() == 0
+    assert report(run="a")[0] == {"decoded": (21, 22), "failed": (2, 2)}
+    assert store.images().count() == 21 == store.images().select("image_checksum").distinct().count()
+    orc = im.ImageStore(spark, str(tmp_path / "orc"), "orc")
+    assert tuple(im.reencode_store(store, orc).first()) == (21, 0, 0)
+    assert tuple(im.reencode_store(store, orc).first()) == (0, 21, 0)
+    same = store.images().join(orc.images().withColumnRenamed("data", "other"), "image_checksum")
+    assert same.filter("data = other").count() == 21
+    with pytest.raises(Exception):
+        im.warm_store(frames.withColumn("image_checksum", F.lit("")), store, load).count()
+    assert im.warm_store(frames.limit(0), store, load).count() == 0
+
+
+def test_loader_keeps_missing_images(spark):
+    wanted = v.frames(spark, SF).select("image_path", "image_checksum").unionByName(
+        spark.createDataFrame([(None, "x")], "image_path string, image_checksum string"))
+    got = load_images(wanted, v.render, 3)
+    assert got.rdd.getNumPartitions() == 3
+    n = v.frames(spark, SF).select("image_path").distinct().count()
+    missing = v.frames(spark, SF).filter("image_id % 37 = 5").count()
+    assert got.count() == n and got.filter("data is null").count() == missing > 0
+    assert load_images(wanted.limit(0), v.render).count() == 0
+    back = v.frames(spark, SF).join(got, ["image_path", "image_checksum"], "left")
+    same = back.filter("data is not null").join(v.rasters(spark, SF).withColumnRenamed("data", "other"), "image_id")
+    assert same.filter("data <> other").count() == 0
+
+
+def test_pixel_arrays_match_expressions(spark):
+    """The Arrow pass and the column expressions agree on every pixel."""
+    rng = np.random.default_rng(6)
+    bgr = np.concatenate([rng.integers(0, 256, (6_000, 3)), [[0, 0, 0], [255, 255, 255], [9, 9, 9]]]).astype(np.uint8)
+    rows = [(i, *map(int, c)) for i, c in enumerate(bgr)]
+    cols = (F.col("b"), F.col("g"), F.col("r"))
+    parts = px.hsv(*cols)
+    got = spark.createDataFrame(rows, "i long, b long, g long, r long").select(
+        "i", parts.hue.cast("long"), parts.sat.cast("long"), parts.val, px.audit_mask(*cols),
+        *[px.colour_mask(*cols, F.lit(t)) for t in ("red", "green", "")]).orderBy("i").collect()
+    hue, sat, val = pa_.hsv_arrays(bgr)
+    masks, _ = pa_.tag_masks(bgr)
+    audit = pa_.audit_mask_array(bgr)
+    for i, r in enumerate(got):
+        assert tuple(r)[1:] == (hue[i], sat[i], val[i], audit[i], masks["red"][i], masks["green"][i], masks[""][i])
+
+
+def test_labelled_runs_of_masks(spark):
+    """Array labels against the pixel-row operator, on noise, blanks and full masks."""
+    rng = np.random.default_rng(7)
+    masks = np.stack([rng.random((13, 17)) < p for p in (0.0, 0.2, 0.4, 0.5, 0.7, 1.0)])
+    runs = pa_.labelled_runs_of(masks)
+    got = sorted(zip(runs.image.tolist(), np.bincount(runs.label, runs.length, len(runs))[runs.label].astype(int).tolist()))
+    rows = [(int(i), int(x), int(y), 1) for i, y, x in zip(*np.nonzero(masks))]
+    df = ra.labelled_runs(spark.createDataFrame(rows, "image_id bigint, x bigint, y bigint, val int"), ["image_id"])
+    area = df.groupBy("image_id", "label").agg(F.sum("area").alias("n"))
+    expected = df.join(area, ["image_id", "label"]).select("image_id", "n").collect()
+    assert got == sorted(map(tuple, expected))
+    assert len(pa_.labelled_runs_of(np.zeros((0, 3, 3), bool))) == 0
+
+
 def test_tables_and_logs(spark, tmp_path):
     path, calls = str(tmp_path / "t"), []
 

@@ -91,12 +91,14 @@ def sensor_labels(spark, sf):
 
 
 @query("rotated_pixels", """
-SELECT image_id, CAST(sum(g * CASE image_id % 4 WHEN 1 THEN 8 - x WHEN 2 THEN y WHEN 3 THEN 8 - y ELSE x END) AS BIGINT) AS moment_x,
-  CAST(sum(g * CASE image_id % 4 WHEN 1 THEN 8 - y WHEN 2 THEN 8 - x WHEN 3 THEN x ELSE y END) AS BIGINT) AS moment_y FROM pixels GROUP BY image_id
+SELECT image_id, CAST(sum(g * CASE image_id % 4 WHEN 1 THEN w - 1 - x WHEN 2 THEN y WHEN 3 THEN h - 1 - y ELSE x END) AS BIGINT) AS moment_x,
+  CAST(sum(g * CASE image_id % 4 WHEN 1 THEN h - 1 - y WHEN 2 THEN w - 1 - x WHEN 3 THEN x ELSE y END) AS BIGINT) AS moment_y
+FROM pixels JOIN rasters USING (image_id) GROUP BY image_id
 """, ("pixels",))
 def rotated_pixels(spark, sf):
     code = F.element_at(F.array(*[F.lit(c) for c in (0, 3, 5, 6)]), (F.col("image_id") % 4 + 1).cast("int"))
-    point = geo.forward_rotation(F.col("x"), F.col("y"), code, v.PATCH, v.PATCH)
+    width, height = v.raster_size(F.col("image_id"))
+    point = geo.forward_rotation(F.col("x"), F.col("y"), code, height, width)
     return v.pixels(spark, sf).withColumn("_p", point).groupBy("image_id").agg(
         F.sum(F.col("g") * F.col("_p.x")).alias("moment_x"), F.sum(F.col("g") * F.col("_p.y")).alias("moment_y"))
 
@@ -320,8 +322,8 @@ def labels_in_raster(spark, sf):
 
 PATCH_SQL = """
 SELECT p.dive_id, p.image_id, x.b, x.g, x.r FROM (
-  SELECT dive_id, image_id, image_id % 9 AS cx, (image_id * 5) % 9 AS cy, row_number() OVER (PARTITION BY dive_id ORDER BY image_id) AS k
-  FROM frames WHERE is_positive) p
+  SELECT f.dive_id, image_id, cx, cy, row_number() OVER (PARTITION BY f.dive_id ORDER BY image_id) AS k
+  FROM frames f JOIN rasters USING (image_id) WHERE is_positive) p
 JOIN hsv x ON x.image_id = p.image_id AND x.x BETWEEN cx - 5 AND cx + 5 AND x.y BETWEEN cy - 5 AND cy + 5 WHERE p.k <= 10
 QUALIFY row_number() OVER (PARTITION BY p.image_id ORDER BY x.v DESC, x.y, x.x) = 1
 """
@@ -330,7 +332,7 @@ QUALIFY row_number() OVER (PARTITION BY p.image_id ORDER BY x.v DESC, x.y, x.x)
 @query("dive_colours", f"SELECT dive_id, avg(b) AS dive_color_b, avg(g) AS dive_color_g, avg(r) AS dive_color_r FROM ({PATCH_SQL}) GROUP BY dive_id",
        ("frames", "hsv"), "dive_color_b dive_color_g dive_color_r")
 def dive_colours(spark, sf):
-    return tg.dive_colours(v.pixel_frames(spark, sf), v.pixels(spark, sf))
+    return tg.dive_colours(v.pixel_frames(spark, sf), v.rasters(spark, sf))
 
 
 # The dots of the derived rasters are red or green, so the cheapest two groups are told apart by r > g.
@@ -342,19 +344,19 @@ FROM (SELECT DISTINCT dive_id FROM frames) d LEFT JOIN majority m USING (dive_id
 LEFT JOIN (SELECT dive_id, avg(b) AS b, avg(g) AS g, avg(r) AS r FROM ({PATCH_SQL}) GROUP BY dive_id) c USING (dive_id)
 """, ("frames", "hsv", "majority"), "dive_color_b dive_color_g dive_color_r")
 def clustered_tags(spark, sf):
-    return tg.infer_tags(v.pixel_frames(spark, sf), v.pixels(spark, sf))
+    return tg.infer_tags(v.pixel_frames(spark, sf), v.rasters(spark, sf))
 
 
 def components_sql(mask: str, name: str) -> str:
     """Recursive reach of each mask pixel; the least reachable pixel names the blob."""
-    return f"""{name}_px AS (SELECT image_id, x, y, y * 9 + x AS n, v FROM ({mask})),
+    return f"""{name}_px AS (SELECT image_id, x, y, y * 1000 + x AS n, v FROM ({mask})),
 {name}_reach(image_id, n, x, y) AS (
   SELECT image_id, n, x, y FROM {name}_px
   UNION SELECT r.image_id, r.n, p.x, p.y FROM {name}_reach r JOIN {name}_px p
     ON p.image_id = r.image_id AND p.x BETWEEN r.x - 1 AND r.x + 1 AND p.y BETWEEN r.y - 1 AND r.y + 1),
 {name} AS (
   SELECT p.image_id, p.x, p.y, p.v, q.label FROM {name}_px p JOIN (
-    SELECT image_id, n, min(y * 9 + x) AS label FROM {name}_reach GROUP BY image_id, n) q ON p.image_id = q.image_id AND p.n = q.n)"""
+    SELECT image_id, n, min(y * 1000 + x) AS label FROM {name}_reach GROUP BY image_id, n) q ON p.image_id = q.image_id AND p.n = q.n)"""
 
 
 DETECT_MASK = """SELECT h.image_id, h.x, h.y, h.v FROM hsv h JOIN frames f USING (image_id) LEFT JOIN tags t USING (dive_id)
@@ -362,17 +364,33 @@ DETECT_MASK = """SELECT h.image_id, h.x, h.y, h.v FROM hsv h JOIN frames f USING
     ELSE hue <= 15 OR hue >= 160 OR hue BETWEEN 35 AND 95 END"""
 
 
-@query("blobs", f"""
+BLOBS_SQL = f"""
 SELECT * FROM (WITH RECURSIVE {components_sql(DETECT_MASK, 'blob')}
 SELECT image_id, count(*) AS area, avg(x) AS cx, avg(y) AS cy, avg(v) AS mean_val FROM blob GROUP BY image_id, label)
-""", ("hsv", "frames", "tags"), "cx cy mean_val")
+"""
+
+
+@query("blobs", BLOBS_SQL, ("hsv", "frames", "tags"), "cx cy mean_val")
 def blobs(spark, sf):
-    known = v.frames(spark, sf).select("image_id", "dive_id").join(
+    return _blobs_of(v.rasters(spark, sf), spark, sf)
+
+
+def _blobs_of(raster: DataFrame, spark, sf) -> DataFrame:
+    tagged = v.frames(spark, sf).select("image_id", "dive_id").join(
         v.tags(spark, sf).select("dive_id", "wavelength"), "dive_id", "left")
-    bgr = (F.col("b"), F.col("g"), F.col("r"))
-    mask = v.pixels(spark, sf).join(known, "image_id").filter(
-        px.colour_mask(*bgr, F.col("wavelength"))).select("image_id", "x", "y", px.hsv(*bgr).val.alias("val"))
-    return ra.blobs(ra.labelled_runs(mask, ["image_id"]), ["image_id"]).drop("label")
+    return ra.tagged_blobs(raster, tagged).select("image_id", "area", "cx", "cy", "mean_val")
+
+
+@query("blobs_across_strips", BLOBS_SQL, ("hsv", "frames", "tags"), "cx cy mean_val")
+def blobs_across_strips(spark, sf):
+    """The blobs of images that come in strips of five rows."""
+    return _blobs_of(v.raster_strips(spark, sf), spark, sf)
+
+
+@query("blobs_of_pixel_rows", BLOBS_SQL, ("hsv", "frames", "tags"), "cx cy mean_val")
+def blobs_of_pixel_rows(spark, sf):
+    """The blobs of images that are tables of pixels."""
+    return _blobs_of(v.pixels(spark, sf), spark, sf)
 
 
 @query("classical_predictions", f"""
@@ -386,22 +404,30 @@ SELECT f.image_id, cx AS pred_x, cy AS pred_y, CASE WHEN score IS NULL THEN 0 EL
 """, ("hsv", "frames", "tags"), "pred_x pred_y pred_confidence")
 def classical_predictions(spark, sf):
     return ra.classical_predictions(
-        v.frames(spark, sf), v.pixels(spark, sf), v.tags(spark, sf), v.pixel_lines(spark, sf))
-
-
-AUDIT_SQL = f"""
-WITH RECURSIVE {components_sql("SELECT image_id, x, y, v FROM hsv WHERE sat > 60 AND v > 200", 'spot')}
-SELECT dive_id, image_id, wavelength, 2 * sqrt(n / pi()) AS blob_diameter_px, n AS blob_pixels FROM (
-  SELECT f.dive_id, f.image_id, t.wavelength, (SELECT count(*) FROM spot s WHERE s.image_id = f.image_id AND s.label = c.label) AS n
-  FROM frames f JOIN spot c ON c.image_id = f.image_id AND c.x = f.image_id % 9 AND c.y = (f.image_id * 5) % 9 LEFT JOIN tags t USING (dive_id)
-  WHERE f.is_positive) WHERE n <= 0.25 * 81
+        v.frames(spark, sf), v.rasters(spark, sf), v.tags(spark, sf), v.pixel_lines(spark, sf))
+
+
+# Reach of the labelled pixel over audit pixels inside its patch, and the patch's size inside the raster.
+AUDIT_SQL = """
+WITH RECURSIVE asked AS (
+  SELECT f.dive_id, f.image_id, t.wavelength, p.cx, p.cy,
+    (least(p.cx + 31, p.w - 1) - greatest(p.cx - 31, 0) + 1) * (least(p.cy + 31, p.h - 1) - greatest(p.cy - 31, 0) + 1) AS patch_size
+  FROM frames f JOIN rasters p USING (image_id) LEFT JOIN tags t ON t.dive_id = f.dive_id WHERE f.is_positive),
+spots AS (SELECT image_id, x, y FROM hsv WHERE sat > 60 AND v > 200),
+reach(image_id, cx, cy, x, y) AS (
+  SELECT a.image_id, a.cx, a.cy, s.x, s.y FROM asked a JOIN spots s ON s.image_id = a.image_id AND s.x = a.cx AND s.y = a.cy
+  UNION SELECT r.image_id, r.cx, r.cy, s.x, s.y FROM reach r JOIN spots s ON s.image_id = r.image_id
+    AND s.x BETWEEN r.x - 1 AND r.x + 1 AND s.y BETWEEN r.y - 1 AND r.y + 1
+    AND s.x BETWEEN r.cx - 31 AND r.cx + 31 AND s.y BETWEEN r.cy - 31 AND r.cy + 31)
+SELECT dive_id, image_id, wavelength, 2 * sqrt(n / pi()) AS blob_diameter_px, n AS blob_pixels FROM asked
+JOIN (SELECT image_id, count(*) AS n FROM reach GROUP BY image_id) USING (image_id) WHERE n <= 0.25 * patch_size
 """
 
 
 @query("blobs_under_labels", f"SELECT image_id, blob_diameter_px, blob_pixels FROM ({AUDIT_SQL})", ("hsv", "frames", "tags"), "blob_diameter_px")
 def blobs_under_labels(spark, sf):
     points = v.pixel_frames(spark, sf).filter(F.col("is_positive"))
-    return ra.blob_under_label(points, v.pixels(spark, sf)).select("image_id", "blob_diameter_px", "blob_pixels")
+    return ra.blob_under_label(points, v.rasters(spark, sf)).select("image_id", "blob_diameter_px", "blob_pixels")
 
 
 SAMPLED_AUDIT = f"""
@@ -414,7 +440,7 @@ SELECT * FROM ({AUDIT_SQL}) WHERE image_id IN (
 
 
 def _audit(spark, sf) -> DataFrame:
-    return ra.size_audit(v.pixel_frames(spark, sf), v.tags(spark, sf), v.pixels(spark, sf))
+    return ra.size_audit(v.pixel_frames(spark, sf), v.tags(spark, sf), v.rasters(spark, sf))
 
 
 @query("size_audit", SAMPLED_AUDIT, ("hsv", "frames", "tags"), "blob_diameter_px")

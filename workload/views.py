@@ -8,8 +8,11 @@ its whole table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sightline.operators.frames import join_predictions
@@ -18,6 +21,7 @@ from sightline.operators.splits import make_splits
 from sightline.operators.strata import enrich, failures
 from sightline.operators.tags import resolve_tags
 from sightline.session import cut_lineage
+from sightline.sources.images import pixel_table
 
 # Raster size of every derived image.
 WIDTH, HEIGHT = 4014, 3016
@@ -220,38 +224,89 @@ def intrinsics(spark: SparkSession) -> DataFrame:
         rows, "rig_id bigint, fx double, fy double, cx double, cy double, dist array<double>")
 
 
+# Side of the small rasters, and (width, height) of the large ones, which every hundredth image has.
 PATCH = 9
+LARGE = (88, 82)
 
 
-@cache
-def pixels(spark: SparkSession, sf: str) -> DataFrame:
-    """A small raster per image, written once: dark ground, bright cells decided by the id.
+def is_large(image_id: Column) -> Column:
+    return image_id % 100 == 7
+
+
+def raster_size(image_id: Column) -> tuple[Column, Column]:
+    return tuple(F.when(is_large(image_id), F.lit(side)).otherwise(F.lit(PATCH)).cast("long") for side in LARGE)
+
 
-    Cell (x, y) lights up where (7 id + 3 x y + 5 x + 2 y) mod 6 < 2; its colour
-    is that of the dive's dot.
+def raster_of(image_id: int, dive_id: int) -> np.ndarray:
+    """(height, width, 3) blue, green, red of an image: dark ground, bright cells decided by the id.
+
+    Cell (x, y) lights up where (7 id + 3 x y + 5 x + 2 y) mod 6 < 2; its colour is that of the dive's dot.
+    Large rasters light up in blocks only, and every third of them has a pale disc at its label, too pale for
+    the detector but not for the audit; every second disc is too large for a quarter of the patch.
     """
-    e = table(spark, sf, "events").select("event_id", "user_id")
-    side = F.sequence(F.lit(0).cast("long"), F.lit(PATCH - 1).cast("long"))
-    grid = e.withColumn("y", F.explode(side)).withColumn("x", F.explode(side))
-    x, y, i = F.col("x"), F.col("y"), F.col("event_id")
-    lit = (i * 7 + x * y * 3 + x * 5 + y * 2) % 6 < 2
-    tone = F.lit(205) + (i + x * 3 + y * 7) % 50
-    red = F.col("user_id") % 6 < 3
-    weak = F.lit(30) + (i + x + y) % 25
-    return cut_lineage(grid.select(
-        i.alias("image_id"), "x", "y",
-        F.when(lit, weak).otherwise(F.lit(40)).alias("b"),
-        F.when(lit & ~red, tone).when(lit, weak).otherwise(F.lit(30)).alias("g"),
-        F.when(lit & red, tone).when(lit, weak).otherwise(F.lit(20)).alias("r")))
+    w, h = LARGE if image_id % 100 == 7 else (PATCH, PATCH)
+    y, x = np.mgrid[0:h, 0:w]
+    lit = (image_id * 7 + x * y * 3 + x * 5 + y * 2) % 6 < 2
+    if image_id % 100 == 7:
+        lit &= (x % 8 < 6) & (y % 7 < 5) & ((x // 8 + y // 7 + image_id) % 4 == 0)
+    tone, weak = 205 + (image_id + x * 3 + y * 7) % 50, 30 + (image_id + x + y) % 25
+    red = dive_id % 6 < 3
+    planes = [
+        np.where(lit, weak, 40), np.where(lit, weak if red else tone, 30), np.where(lit, tone if red else weak, 20)]
+    if image_id % 300 == 7:
+        disc = (x - image_id % w) ** 2 + (y - image_id * 5 % h) ** 2 <= (400 if image_id % 600 == 7 else 144)
+        planes = [np.where(disc, pale, plane) for pale, plane in zip((150, 150, 220), planes)]
+    return np.stack(planes, axis=2).astype(np.uint8)
+
+
+def render(image_path: str, image_checksum: str) -> np.ndarray | None:
+    """The loader of the derived images: a path names dive and image; every 37th image is missing."""
+    dive_id, image_id = (int(p) for p in image_path[1:].removesuffix(".png").split("/"))
+    return None if image_id % 37 == 5 else raster_of(image_id, dive_id)
+
+
+@cache
+def rasters(spark: SparkSession, sf: str) -> DataFrame:
+    """The image of every event, written once."""
+    schema = "image_id long, height int, width int, n_channels int, data binary"
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, dives = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            grids = [raster_of(i, d) for i, d in zip(ids, dives)]
+            shape = [pa.array([g.shape[k] for g in grids], pa.int32()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), *shape, pa.array([g.tobytes() for g in grids], pa.binary())],
+                ["image_id", "height", "width", "n_channels", "data"])
+
+    return cut_lineage(table(spark, sf, "events").select("event_id", "user_id").mapInArrow(draw, schema))
+
+
+@cache
+def raster_strips(spark: SparkSession, sf: str) -> DataFrame:
+    """The same images cut into strips of five raster rows."""
+    rows = F.col("width") * F.col("n_channels")
+    cut = rasters(spark, sf).withColumn("top", F.explode(F.sequence(F.lit(0), F.col("height") - 1, F.lit(5))))
+    height = F.least(F.lit(5), F.col("height") - F.col("top"))
+    return cut.select(
+        "image_id", "top", height.alias("height"), "width", "n_channels",
+        F.substring("data", F.col("top") * rows + 1, height * rows).alias("data"))
+
+
+@cache
+def pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """All pixels of the rasters as rows, written once."""
+    return cut_lineage(pixel_table(rasters(spark, sf)))
 
 
 @cache
 def pixel_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames whose label lies inside the small raster."""
+    """Frames whose label lies inside their raster."""
     i = F.col("image_id")
+    width, height = raster_size(i)
     return frames(spark, sf).withColumn(
-        "label_x", F.when(F.col("is_positive"), (i % PATCH).cast("double"))
-    ).withColumn("label_y", F.when(F.col("is_positive"), ((i * 5) % PATCH).cast("double")))
+        "label_x", F.when(F.col("is_positive"), (i % width).cast("double"))
+    ).withColumn("label_y", F.when(F.col("is_positive"), ((i * 5) % height).cast("double")))
 
 
 @cache

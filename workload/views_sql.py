@@ -264,15 +264,21 @@ SELECT md5(CAST(event_id AS VARCHAR)) AS image_checksum,
   CASE WHEN event_id % 29 <> 0 THEN CAST(([0, 3, 5, 6])[CAST(event_id % 4 + 1 AS INTEGER)] AS INTEGER) END AS flip
 FROM events
 """)
-cte("pixels", (), """
-SELECT event_id AS image_id, x, y,
-  CASE WHEN lit THEN weak ELSE 40 END AS b,
-  CASE WHEN lit AND NOT red THEN tone WHEN lit THEN weak ELSE 30 END AS g,
-  CASE WHEN lit AND red THEN tone WHEN lit THEN weak ELSE 20 END AS r
+cte("rasters", (), """
+SELECT event_id AS image_id, user_id AS dive_id, event_id % 100 = 7 AS large, CASE WHEN event_id % 100 = 7 THEN 88 ELSE 9 END AS w,
+  CASE WHEN event_id % 100 = 7 THEN 82 ELSE 9 END AS h, event_id % CASE WHEN event_id % 100 = 7 THEN 88 ELSE 9 END AS cx,
+  (event_id * 5) % CASE WHEN event_id % 100 = 7 THEN 82 ELSE 9 END AS cy FROM events
+""")
+cte("pixels", ("rasters",), """
+SELECT image_id, x, y, CASE WHEN disc THEN 150 WHEN lit THEN weak ELSE 40 END AS b,
+  CASE WHEN disc THEN 150 WHEN lit AND NOT red THEN tone WHEN lit THEN weak ELSE 30 END AS g,
+  CASE WHEN disc THEN 220 WHEN lit AND red THEN tone WHEN lit THEN weak ELSE 20 END AS r
 FROM (
-  SELECT event_id, x, y, (event_id * 7 + x * y * 3 + x * 5 + y * 2) % 6 < 2 AS lit,
-    205 + (event_id + x * 3 + y * 7) % 50 AS tone, user_id % 6 < 3 AS red, 30 + (event_id + x + y) % 25 AS weak
-  FROM events, (SELECT range AS y FROM range(9)) ys, (SELECT range AS x FROM range(9)) xs)
+  SELECT image_id, x, y, (image_id * 7 + x * y * 3 + x * 5 + y * 2) % 6 < 2
+      AND (NOT large OR (x % 8 < 6 AND y % 7 < 5 AND (x // 8 + y // 7 + image_id) % 4 = 0)) AS lit,
+    image_id % 300 = 7 AND (x - cx) * (x - cx) + (y - cy) * (y - cy) <= CASE WHEN image_id % 600 = 7 THEN 400 ELSE 144 END AS disc,
+    205 + (image_id + x * 3 + y * 7) % 50 AS tone, dive_id % 6 < 3 AS red, 30 + (image_id + x + y) % 25 AS weak
+  FROM rasters, unnest(range(h)) ys(y), unnest(range(w)) xs(x))
 """)
 cte("hsv", ("pixels",), """
 SELECT *, CASE WHEN h0 < 0 THEN h0 + 180 ELSE h0 END AS hue FROM (
