@@ -12,13 +12,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from sightline.functions.pixel_arrays import (
     audit_mask_array, grid_of, labelled_runs_of, run_sums, tag_masks)
 
 # Pixels of equally large images that are labelled at a time.
 PIXELS_AT_ONCE = 1 << 21
+# Bytes of crops that leave the worker together.
+CROP_BYTES = 16 << 20
 # A run is named by its row and first column, both 32-bit in every image format that is read.
 ROW_STEP = 1 << 31
 
@@ -179,5 +181,39 @@ def linked_parts(parts: DataFrame, keys: Sequence[str], touching, labels_of) ->
     return parts.join(labels, [*keys, "node"], "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def mean_of(total: str, area: Column) -> Column:
-    return F.sum(total) / area
+def tile_crops(tiles: DataFrame, images: DataFrame, tile: int) -> DataFrame:
+    """Tile rows with ``crop``: tile x tile blue, green and red bytes from (crop_x, crop_y) of their image.
+
+    Images smaller than a tile are continued at the right and the bottom by reflection without repeating the
+    edge.  Tiles whose image is missing or unreadable are left out.  The crops of an image are cut while its
+    bytes are at hand, one pass over the images.
+    """
+    wanted = tiles.groupBy("image_id").agg(F.collect_list(F.struct(*tiles.columns)).alias("_tiles"))
+    usable = images.filter(F.col("data").isNotNull()).select("image_id", "height", "width", "n_channels", "data")
+    row = T.StructType(tiles.schema.fields)
+    schema = T.StructType([T.StructField("tile", row), T.StructField("crop", T.BinaryType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_tiles")
+            sizes = np.diff(lists.offsets.to_numpy())
+            origins = [lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("crop_x", "crop_y")]
+            at, crops, held, start = 0, [], 0, 0
+            for i, n in enumerate(sizes.tolist()):
+                shape = [batch.column(c)[i].as_py() for c in ("height", "width", "n_channels")]
+                grid = grid_of(batch.column("data")[i].as_py(), *shape)
+                pad = [(0, max(tile - side, 0)) for side in grid.shape[:2]]
+                if any(p[1] for p in pad):
+                    grid = np.pad(grid, (*pad, (0, 0)), mode="reflect" if min(grid.shape[:2]) > 1 else "edge")
+                for _ in range(n):
+                    x, y = int(origins[0][at]), int(origins[1][at])
+                    crops.append(grid[y:y + tile, x:x + tile].tobytes())
+                    held, at = held + len(crops[-1]), at + 1
+                    if held > CROP_BYTES:
+                        yield pa.RecordBatch.from_arrays(
+                            [lists.flatten().slice(start, at - start), pa.array(crops, pa.binary())], ["tile", "crop"])
+                        crops, held, start = [], 0, at
+            yield pa.RecordBatch.from_arrays(
+                [lists.flatten().slice(start, at - start), pa.array(crops, pa.binary())], ["tile", "crop"])
+
+    return usable.join(wanted, "image_id").mapInArrow(cut, schema).select("tile.*", "crop")

@@ -1,8 +1,8 @@
 """Exact order statistics, ranks and lookups that survive one huge group.
 
 A window or an exact percentile over a hot group puts that whole group into one
-task.  The operators here first put values into data-independent, order-keeping
-buckets, add up per bucket (map-side), and only then sort inside a bucket.  The
+task.  The operators here first put values into order-keeping buckets (of fixed
+width for errors and scores, between data-driven splitters for ids), add up per bucket (map-side), and only then sort inside a bucket.  The
 per-group window runs over bucket totals, whose number is bounded by the bucket
 resolution and not by the number of rows.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sightline.functions.hashing import all_of
 
@@ -21,6 +21,12 @@ BUCKETS_PER_E = 1 << 14
 LINEAR_BELOW = 1e-3
 _BUCKET_LIMIT = float(1 << 53)
 
+# Splitters of one column at most, the rows that a range between two of them is meant to hold, and the buckets
+# into which the ranges are cut together.
+MAX_SPLITTERS = 4095
+ROWS_PER_BUCKET = 1 << 17
+BUCKETS = 1 << 14
+
 # Two hex digits of a token give 256 equal slices, three give 4096.
 TOKEN_SLICE_DIGITS = 3
 # Ways in which a group is cut for joins and top-n; see salted_join.
@@ -160,6 +166,52 @@ def token_ranked(
     return out.drop("_token")
 
 
+def splitters(
+    df: DataFrame, value: str, rows_per_bucket: int = ROWS_PER_BUCKET, limit: int = MAX_SPLITTERS
+) -> list:
+    """The least value, values that cut ``df`` into ranges of about ``rows_per_bucket`` rows, and the greatest (runs a job).
+
+    The cuts are quantiles of a mergeable sketch, so they follow the data: outlying values or gaps do not empty
+    the other ranges.  At most ``limit`` values and the two ends reach the driver; a column without values has none.
+    """
+    kind = df.schema[value].dataType
+    known = F.when(~F.isnan(value), F.col(value)) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(value)
+    probabilities = [i / (limit + 1) for i in range(1, limit + 1)]
+    n, low, high, found = df.agg(
+        F.count(known), F.min(known), F.max(known), F.percentile_approx(known, F.lit(probabilities), F.lit(4 * limit))).first()
+    if not n:
+        return []
+    wanted = min(limit, n // rows_per_bucket)
+    inner = {found[(i + 1) * (limit + 1) // (wanted + 1) - 1] for i in range(wanted)} - {low, high}
+    return [low, *sorted(inner), high]
+
+
+def splitter_bucket(value: Column, bounds: Sequence) -> Column:
+    """Order-keeping bucket of a value: its range between :func:`splitters`, cut further into equal steps.
+
+    The range is found by binary search.  The number of buckets is about :data:`BUCKETS` or the number of
+    ranges, whichever is more; null is in the first, NaN in the last.
+    """
+    cuts = list(bounds[1:-1])
+    steps = max(1, BUCKETS // (len(cuts) + 1))
+    if not bounds:
+        return F.lit(0).cast("long")
+    held = F.array(*[F.lit(b) for b in bounds])
+    leaps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    place = F.aggregate(
+        F.array(*[F.lit(i) for i in leaps]), F.lit(0),
+        lambda at, leap: F.when((at + leap <= len(cuts)) & (F.get(held, at + leap) <= value), at + leap).otherwise(at),
+    ) if leaps else F.lit(0)
+    ends = [F.get(held, place + i).cast("double") for i in (0, 1)]
+    at = value.cast("double")
+    inside = F.floor((at - ends[0]) / (ends[1] - ends[0]) * F.lit(float(steps)))
+    # Ranges that reach infinity, or are one value, are not cut further.
+    finite = (F.abs(ends[0]) < F.lit(float("inf"))) & (F.abs(ends[1]) < F.lit(float("inf"))) & (ends[1] > ends[0])
+    step = F.when(value.isNull() | ~finite, F.lit(0)).when(F.isnan(at), F.lit(steps - 1)).otherwise(
+        F.greatest(F.lit(0), F.least(inside, F.lit(steps - 1))))
+    return place.cast("long") * F.lit(steps) + step
+
+
 def value_ranked(
     df: DataFrame,
     keys: Sequence[str],
@@ -167,18 +219,16 @@ def value_ranked(
     ties: Sequence[str] = (),
     rank: str = "rank",
     total: str | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Position by a mostly distinct numeric column (ids, sequence numbers).
 
-    Buckets count from the middle of the column's range, so ids that all begin far
-    from zero spread as well.  The range is read by a job of its own.
+    Rows are sorted inside buckets of :func:`splitters` of the whole column, counts of lower buckets are
+    added per group.  The splitters are read by a job of their own; the ranks do not depend on them.
     """
-    both = df.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
-    low, high = both if both else (None, None)
-    middle = F.lit(0 if low is None else low + (high - low) / 2 if isinstance(low, float) else (low + high) // 2)
+    bounds = splitters(df, value, rows_per_bucket)
     return ranked(
-        df, keys, [F.col(value), *[F.col(t) for t in ties]],
-        value_bucket((F.col(value) - middle).cast("double")), rank, total)
+        df, keys, [F.col(value), *[F.col(t) for t in ties]], splitter_bucket(F.col(value), bounds), rank, total)
 
 
 def running_weight(

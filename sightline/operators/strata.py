@@ -13,7 +13,7 @@ from sightline.functions.labels import (
 from sightline.operators.frames import positives
 from sightline.operators.metrics import MIN_FOR_QUARTILES, with_quartile
 from sightline.operators.ordering import (
-    attach_scalars, exact_quantiles, salted_join, value_ranked, with_constants, with_medians)
+    attach_scalars, exact_quantiles, join_null_safe, salted_join, value_bucket, value_ranked, with_constants, with_medians)
 from sightline.session import cut_lineage
 
 TOP_K = (1, 5, 10, 20, 50)
@@ -29,6 +29,10 @@ def failures(per_frame: DataFrame, tolerance: float = HIT_TOLERANCE_PX) -> DataF
     )
 
 
+# Error buckets are this much wider for the search of a stratum's middle than for ranks.
+BUCKETS_MERGED = 16
+
+
 def _summary() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("n"),
@@ -51,25 +55,70 @@ def summarize_axis(pos: DataFrame, by: Sequence[str]) -> DataFrame:
         (F.col("n_fail") / F.col("_fails")).alias("share_of_failures"))
 
 
+def _strata(axes: Mapping[str, Sequence[str]]) -> Column:
+    """Array of (axis, stratum) of a row's label columns."""
+    return F.array(*[
+        F.struct(
+            F.lit(name).alias("axis"),
+            F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]).alias("stratum"))
+        for name, columns in axes.items()])
+
+
+def _axis_medians(cells: DataFrame, labels: Sequence[str], axes: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Exact median error per (axis, stratum) from counted cells (labels, err, n).
+
+    Counts per (labels, error bucket) are few; only they are repeated per axis, to find the buckets that hold
+    each stratum's middle ranks.  Only the cells of these buckets are then looked at one by one.
+    """
+    known = cells.filter(F.col("err").isNotNull() & ~F.isnan("err")).withColumn(
+        "_b", F.floor(value_bucket(F.col("err")) / F.lit(BUCKETS_MERGED)))
+    per_bucket = known.groupBy(*labels, "_b").agg(F.sum("n").alias("n")).withColumn("_a", F.explode(_strata(axes)))
+    strata = per_bucket.groupBy("_a", "_b").agg(F.sum("n").alias("n"))
+    up = Window.partitionBy("_a").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("_a")
+    total = F.col("_total")
+    low, high = F.floor((total - 1) / 2), F.floor(total / 2)
+    middle = (
+        strata.withColumn("_past", F.sum("n").over(up)).withColumn("_total", F.sum("n").over(whole))
+        .withColumn("_before", F.col("_past") - F.col("n"))
+        .filter(((low >= F.col("_before")) & (low < F.col("_past"))) | ((high >= F.col("_before")) & (high < F.col("_past"))))
+        .select("_a", "_b", "_before", "_total"))
+    wanted = per_bucket.drop("n").join(middle, ["_a", "_b"])
+    values = join_null_safe(known, wanted, [*labels, "_b"], "inner").groupBy(
+        "_a", "_b", "_before", "_total", "err").agg(F.sum("n").alias("n"))
+    inside = Window.partitionBy("_a", "_b").orderBy("err").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = values.withColumn("_past", F.col("_before") + F.sum("n").over(inside)).withColumn(
+        "_first", F.col("_past") - F.col("n"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_first")) & (rank < F.col("_past")), F.col("err")))
+
+    return placed.groupBy("_a").agg(at(low).alias("_low"), at(high).alias("_high")).select(
+        "_a.axis", "_a.stratum",
+        F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(
+            F.col("_low") + (F.col("_high") - F.col("_low")) * F.lit(0.5)).alias("median_err"))
+
+
 def summarize_axes(pos: DataFrame, axes: Mapping[str, Sequence[str]]) -> DataFrame:
-    """All axes in one pass: (axis, stratum, n, ...).
+    """All axes from one cube: (axis, stratum, n, ...).
 
-    A row counts once per axis; ``stratum`` joins the axis values with ``/`` and
-    shows null as ``null``.
+    Positives are merged into counted cells (all label columns, error, failure) once, which are written to the
+    checkpoint folder; the axes are sums over the cells' few label combinations, so no row is copied per axis.
+    ``stratum`` joins the axis values with ``/`` and shows null as ``null``.
     """
-    entries = [
-        F.struct(
-            F.lit(name).alias("axis"),
-            F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns])
-            .alias("stratum"))
-        for name, columns in axes.items()]
-    rows = pos.select("err", "fail", F.explode(F.array(*entries)).alias("_a")).select(
-        "_a.axis", "_a.stratum", "err", "fail")
+    labels = sorted({c for columns in axes.values() for c in columns})
+    cells = cut_lineage(pos.groupBy(*labels, "err", "fail").agg(F.count(F.lit(1)).alias("n")))
+    known = F.when(F.col("err").isNotNull(), F.col("n"))
+    base = cells.groupBy(*labels).agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("fail"), F.col("n")).otherwise(F.lit(0))).alias("n_fail"),
+        F.sum(known).alias("_known"), F.sum(F.col("err") * F.col("n")).alias("_err"))
     keys = ["axis", "stratum"]
-    grouped = with_medians(rows.groupBy(*keys).agg(*_summary()), rows, keys, {"median_err": "err"})
+    sums = base.withColumn("_a", F.explode(_strata(axes))).groupBy("_a.axis", "_a.stratum").agg(
+        *[F.sum(c).alias(c) for c in ("n", "n_fail", "_known", "_err")])
     fails = F.greatest(F.sum("n_fail").over(Window.partitionBy("axis")), F.lit(1))
-    return grouped.withColumn("_fails", fails).select(
-        *keys, "n", "n_fail", "hit_rate_n3", "median_err", "mean_err",
+    return sums.withColumn("_fails", fails).join(_axis_medians(cells, labels, axes), keys, "left").select(
+        *keys, "n", "n_fail", (1 - F.col("n_fail") / F.col("n")).alias("hit_rate_n3"), "median_err",
+        F.when(F.col("_known") > 0, F.col("_err") / F.col("_known")).alias("mean_err"),
         (F.col("n_fail") / F.col("n")).alias("failure_rate"),
         (F.col("n_fail") / F.col("_fails")).alias("share_of_failures"))
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sightline.functions.pixel_arrays import grid_of
 from sightline.operators.frames import keep_members
 from sightline.operators.ordering import attach_scalars
 from sightline.schemas import MANIFEST, PIXELS, STORED
@@ -18,8 +20,8 @@ from sightline.session import cut_lineage
 from sightline.sources.loaded import Loader, load_images
 from sightline.sources.tables import path_exists
 
-# Rows of one image turned into pixel rows at a time; bounds a task's memory.
-ROWS_PER_BLOCK = 256
+# Pixels turned into rows at a time; bounds a task's memory.
+PIXELS_PER_BLOCK = 1 << 18
 
 
 def scan_images(spark: SparkSession, root: str) -> DataFrame:
@@ -185,24 +187,28 @@ def reencode_store(source: ImageStore, target: ImageStore, run: str | None = Non
 def pixel_table(images: DataFrame) -> DataFrame:
     """PIXELS rows of (image_id, height, width, n_channels, data); null images have none.
 
-    The only place where image bytes reach Python.  Frames are large: set
+    For sparse masks and small rasters; whole photographs stay images (``operators.image_blocks``).  Images of
+    one size are turned together, large ones in blocks of rows.  Frames are large: set
     ``spark.sql.execution.arrow.maxRecordsPerBatch`` to a few rows for 4K images.
     """
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                h, w, n = int(row.height), int(row.width), int(row.n_channels)
-                grid = np.frombuffer(row.data, dtype=np.uint8).reshape(h, w, n)
-                bgr = np.repeat(grid, 3, axis=2) if n == 1 else grid[:, :, :3]
-                for top in range(0, h, ROWS_PER_BLOCK):
-                    block = bgr[top : top + ROWS_PER_BLOCK]
-                    ys, xs = np.mgrid[top : top + block.shape[0], 0:w]
-                    flat = block.reshape(-1, 3).astype(np.int64)
-                    yield pd.DataFrame({
-                        "image_id": np.full(flat.shape[0], row.image_id, dtype=np.int64),
-                        "x": xs.ravel().astype(np.int64), "y": ys.ravel().astype(np.int64),
-                        "b": flat[:, 0], "g": flat[:, 1], "r": flat[:, 2]})
+            shapes = defaultdict(list)
+            for i, shape in enumerate(zip(*(batch.column(c).to_pylist() for c in ("height", "width", "n_channels")))):
+                shapes[shape].append(i)
+            ids = batch.column("image_id").to_numpy()
+            for (h, w, n), rows in shapes.items():
+                step = max(1, PIXELS_PER_BLOCK // max(1, h * w))
+                for at in range(0, len(rows), step):
+                    chosen = rows[at:at + step]
+                    grids = np.stack([grid_of(batch.column("data")[i].as_py(), h, w, n) for i in chosen])
+                    high = max(1, PIXELS_PER_BLOCK // max(1, w * len(chosen)))
+                    for top in range(0, h, high):
+                        block = grids[:, top:top + high]
+                        image, y, x = (a.ravel() for a in np.indices(block.shape[:3]))
+                        columns = (ids[chosen][image], x, y + top, *block.reshape(-1, 3).T.astype(np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], PIXELS.names)
 
     usable = images.filter(F.col("data").isNotNull()).select(
         "image_id", "height", "width", "n_channels", "data")
-    return usable.mapInPandas(expand, PIXELS)
+    return usable.mapInArrow(expand, PIXELS)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -66,19 +66,61 @@ def flips_by_checksum(headers: DataFrame) -> DataFrame:
     return headers.groupBy("image_checksum").agg(F.max("flip").cast("int").alias("flip"))
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: tuple[str, ...]) -> None:
+    """Write ``df`` in place of the partitions that it has rows for; all others stay.
+
+    A repeated job thus leaves one copy of its rows, and jobs of other partitions do not meet.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
 def log_metrics(
     metrics: DataFrame, path: str, run_id: str, step: int = 0
 ) -> None:
-    """Append (slice, metric, value) rows of one run and step to the METRICS table."""
+    """Put (slice, metric, value) rows of one run and step into the METRICS table, in place of earlier ones."""
     rows = metrics.select(
-        F.lit(run_id).alias("run_id"), F.lit(step).cast("long").alias("step"),
-        "slice", "metric", F.col("value").cast("double").alias("value"))
-    write_table(rows, path, ("run_id",), "append")
+        "slice", "metric", F.col("value").cast("double").alias("value"),
+        F.lit(run_id).alias("run_id"), F.lit(step).cast("long").alias("step"))
+    replace_partitions(rows, path, ("run_id", "step"))
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The METRICS table; a condition on run and step prunes its folders."""
+    return read_table(spark, path, schemas.METRICS).select(*schemas.METRICS.fieldNames())
 
 
 def log_run(spark: SparkSession, path: str, settings: Mapping[str, object], run_id: str | None = None) -> str:
-    """Append the settings and tags of a run to the RUNS table; returns its id."""
+    """Put the settings and tags of a run into the RUNS table, in place of earlier ones; returns its id."""
     run_id = run_id or uuid.uuid4().hex
     rows = [(run_id, str(k), str(v)) for k, v in settings.items()]
-    write_table(spark.createDataFrame(rows, schemas.RUNS), path, (), "append")
+    replace_partitions(spark.createDataFrame(rows, schemas.RUNS), path, ("run_id",))
     return run_id
+
+
+def parse_records(
+    raw: DataFrame, payload: str, fields: Mapping[str, str], required: Sequence[str] = ()
+) -> DataFrame:
+    """Columns of a JSON payload as declared types, and ``problem`` for records that do not fit.
+
+    Nothing fails: the payload is read permissively as text fields, which are cast with ``try_cast``.
+    ``problem`` is null for good records, else ``unreadable`` (no JSON object), ``missing:<field>`` for a
+    required field that is absent or null, or ``malformed:<field>`` for a value that its type cannot hold; of
+    several the first.  Other columns of ``raw`` are kept.
+    """
+    schema = T.StructType([*[T.StructField(name, T.StringType()) for name in fields], T.StructField("_bad", T.StringType())])
+    parsed = raw.withColumn("_p", F.from_json(payload, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    values = {name: F.col(f"_p.{name}").try_cast(kind) for name, kind in fields.items()}
+    problem = F.when(F.col("_p").isNull() | F.col("_p._bad").isNotNull(), "unreadable")
+    for name in fields:
+        given = F.col(f"_p.{name}").isNotNull()
+        if name in required:
+            problem = problem.when(~given, f"missing:{name}")
+        problem = problem.when(given & values[name].isNull(), f"malformed:{name}")
+    kept = [c for c in raw.columns if c != payload and c not in fields]
+    return parsed.select(*kept, *[v.alias(name) for name, v in values.items()], problem.alias("problem"))
+
+
+def failed_keys(records: DataFrame, key: str) -> DataFrame:
+    """Sources with a bad record: key, number of bad records and the least problem among them."""
+    return records.filter(F.col("problem").isNotNull()).groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_bad"), F.min("problem").alias("problem"))

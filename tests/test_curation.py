@@ -268,3 +268,38 @@ def test_far_ids_spread_over_buckets(spark):
     finally:
         ordering.ranked = original
     assert seen["buckets"] > 5_000
+
+
+def test_splitters_follow_the_data(spark):
+    """One outlying id does not put the others into one bucket; ties, nulls and NaN keep their order."""
+    from sightline.operators import ordering
+
+    ids = spark.range(60_000).select((F.col("id") + 1_700_000_000_000_000).alias("v")).unionByName(
+        spark.createDataFrame([(0,), (1 << 62,)], "v long"))
+    cuts = ordering.splitters(ids, "v", 1_000)
+    sizes = [r["count"] for r in ids.groupBy(ordering.splitter_bucket(F.col("v"), cuts).alias("b")).count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 2_000
+    ranks = ordering.value_ranked(ids, [], "v", [], "r", rows_per_bucket=1_000).orderBy("v").select("r")
+    assert [r["r"] for r in ranks.collect()] == list(range(60_002))
+    rows = [(float(i % 7), i) for i in range(200)] + [(None, 200), (float("nan"), 201), (float("inf"), 202), (float("-inf"), 203)]
+    mixed = spark.createDataFrame(rows, "v double, i long")
+    for kept in (mixed, mixed.filter("abs(v) < 10 or v is null"), mixed.filter("not abs(v) < 10")):
+        for rows_per_bucket in (20, 1_000):
+            got = ordering.value_ranked(kept, [], "v", ["i"], "r", rows_per_bucket=rows_per_bucket).orderBy("r").collect()
+            assert [r["i"] for r in got] == [r["i"] for r in kept.coalesce(1).orderBy("v", "i").collect()]
+    assert ordering.splitters(ids.limit(0), "v", 10) == []
+    assert ordering.value_ranked(ids.limit(0), [], "v").count() == 0
+
+
+def test_two_means_runs_all_starts_together(spark):
+    rows = [(i, 20.0 + i % 3, 30.0, 200.0 + i % 5) for i in range(40)] + [(i, 20.0, 210.0 - i % 4, 30.0) for i in range(40, 90)]
+    colours = spark.createDataFrame(rows, "dive_id long, dive_color_b double, dive_color_g double, dive_color_r double")
+    got = {r["dive_id"]: r["cluster"] for r in tg.cluster_tags(colours.repartition(5)).collect()}
+    assert got == {i: "red" if i < 40 else "green" for i in range(90)}
+    same = spark.createDataFrame([(i, 1.0, 2.0, 3.0) for i in range(5)], colours.schema)
+    assert {r["cluster"] for r in tg.cluster_tags(same).collect()} == {"red"}
+    frames = spark.createDataFrame([(1, 1)], "dive_id long, image_id long")
+    none = spark.createDataFrame([], "image_id long, pred_x double, pred_y double, pred_confidence double")
+    raster = spark.createDataFrame([], "image_id long, height int, width int, n_channels int, data binary")
+    cold = tg.cold_start_tags(frames, none, raster, 0.5)
+    assert cold.count() == 0 and "cluster" in cold.columns

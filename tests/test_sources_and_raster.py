@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sightline import schemas
 from sightline.functions import pixel_arrays as pa_
 from sightline.functions import pixels as px
+from sightline.operators import image_blocks as ib
 from sightline.operators import raster as ra
 from sightline.operators import peaks as pk
 from sightline.operators import tags as tg
@@ -265,9 +266,43 @@ def test_tables_and_logs(spark, tmp_path):
     assert tb.read_optional(spark, str(tmp_path / "none")) is None
     run = tb.log_run(spark, str(tmp_path / "runs"), {"lr": 0.1, "git": "x"})
     metrics = spark.createDataFrame([("overall", "hit_rate_n3", 0.5)], "slice string, metric string, value double")
-    for step in (0, 1):
+    for step in (0, 1, 0):
         tb.log_metrics(metrics, str(tmp_path / "metrics"), run, step)
-    assert spark.read.parquet(str(tmp_path / "metrics")).filter(F.col("run_id") == run).count() == 2
+    assert tb.read_metrics(spark, str(tmp_path / "metrics")).filter(F.col("run_id") == run).count() == 2
+    for value in (0.1, 0.2):
+        tb.log_run(spark, str(tmp_path / "runs"), {"lr": value, "git": "x"}, "again")
+    runs = spark.read.parquet(str(tmp_path / "runs"))
+    assert sorted(tuple(r) for r in runs.filter("run_id = 'again'").select("key", "value").collect()) == [("git", "x"), ("lr", "0.2")]
+    assert runs.filter(F.col("run_id") == run).count() == 2
+
+
+def test_parse_records(spark):
+    rows = [
+        (1, '{"k": 5, "x": 1.5}'), (2, '{"k": "7", "x": null}'), (3, '{"k": "many", "x": 1}'), (4, '{"x": 2}'), (5, '{"k": 1'),
+        (6, "plain"), (7, None), (8, '{"k": 99999999999999999999}'), (9, ""), (10, "[1]")]
+    raw = spark.createDataFrame([(i, i % 3, p, "kept") for i, p in rows], "id long, source long, payload string, k string")
+    got = tb.parse_records(raw, "payload", {"k": "bigint", "x": "double"}, ["k"])
+    assert got.columns == ["id", "source", "k", "x", "problem"]
+    problems = {r["id"]: (r["k"], r["x"], r["problem"]) for r in got.collect()}
+    assert problems[1] == (5, 1.5, None) and problems[2] == (7, None, None)
+    assert problems[3][2] == problems[8][2] == "malformed:k" and problems[4][2] == "missing:k"
+    assert all(problems[i][2] in ("unreadable", "missing:k") for i in (5, 6, 7, 9, 10)) and problems[5][2] == "unreadable"
+    bad = {r["source"]: r["n_bad"] for r in tb.failed_keys(got, "source").collect()}
+    assert bad == {0: 3, 1: 3, 2: 2}
+
+
+def test_tile_crops(spark):
+    """Crops against slices; an image smaller than the tile is reflected; missing images have no crop."""
+    rng = np.random.default_rng(3)
+    big, small, grey = rng.integers(0, 256, (20, 30, 3)), rng.integers(0, 256, (5, 4, 3)), rng.integers(0, 256, (20, 20, 1))
+    rows = [(i, *g.shape, g.astype(np.uint8).tobytes()) for i, g in ((1, big), (2, small), (3, grey))] + [(4, None, None, None, None)]
+    images = spark.createDataFrame(rows, "image_id long, height int, width int, n_channels int, data binary")
+    tiles = spark.createDataFrame([(1, 5, 2), (1, 22, 12), (2, 0, 0), (3, 12, 12), (4, 0, 0), (5, 0, 0)], "image_id long, crop_x long, crop_y long")
+    got = {(r["image_id"], r["crop_x"]): np.frombuffer(r["crop"], np.uint8).reshape(8, 8, 3) for r in ib.tile_crops(tiles, images, 8).collect()}
+    assert len(got) == 4
+    assert (got[1, 5] == big[2:10, 5:13]).all() and (got[1, 22] == big[12:20, 22:30]).all()
+    assert (got[2, 0] == small[[0, 1, 2, 3, 4, 3, 2, 1]][:, [0, 1, 2, 3, 2, 1, 0, 1]]).all()
+    assert (got[3, 12] == grey[12:20, 12:20]).all()
 
 
 def test_cell_features(spark):

@@ -17,7 +17,7 @@ from sightline.operators.metrics import core_metrics
 from sightline.operators.ordering import first_n, value_ranked
 from sightline.plans.curate import CurationSettings, curate
 from sightline.session import ensure_checkpoint_dir
-from sightline.sources.tables import flips_by_checksum, read_or_compute
+from sightline.sources.tables import failed_keys, flips_by_checksum, parse_records, read_or_compute
 from workload import views as v
 from workload.registry import query
 from workload.views_sql import with_ctes
@@ -75,23 +75,48 @@ def stored_frames(spark, sf):
     return stored.select("image_id", "dive_id", "image_path", "label_x", "label_y", "is_positive")
 
 
+# Records of a source as they arrive: every 211th is cut off, every 503rd has a word for a number, every 709th lacks it.
+RAW_SQL = """SELECT user_id AS dive_id, event_id AS image_id, CASE WHEN event_id % 211 = 3 THEN 'unreadable' WHEN event_id % 709 = 9 THEN 'missing:k'
+  WHEN event_id % 503 = 7 THEN 'malformed:k' END AS problem, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events"""
+
+
+def _arrived(spark, sf):
+    e = v.table(spark, sf, "events")
+    i, props = F.col("event_id"), F.col("props")
+    raw = F.when(i % 211 == 3, F.concat(F.lit("{"), props, F.lit(","))).when(
+        i % 709 == 9, F.lit('{"other": 1}')).when(i % 503 == 7, F.lit('{"k": "many"}')).otherwise(props)
+    rows = e.select(F.col("user_id").alias("dive_id"), i.alias("image_id"), raw.alias("payload"))
+    return parse_records(rows, "payload", {"k": "bigint"}, ["k"])
+
+
+@query("parsed_records", f"SELECT dive_id, image_id, CASE WHEN problem IS NULL THEN k END AS k, problem FROM ({RAW_SQL})")
+def parsed_records(spark, sf):
+    return _arrived(spark, sf)
+
+
+@query("failed_keys", f"SELECT dive_id, count(*) AS n_bad, min(problem) AS problem FROM ({RAW_SQL}) WHERE problem IS NOT NULL GROUP BY dive_id")
+def failed_keys_query(spark, sf):
+    return failed_keys(_arrived(spark, sf), "dive_id")
+
+
+# A source of this workload fails as a whole if one of its records is malformed.
+FAILED_SQL = f"SELECT dive_id FROM ({RAW_SQL}) GROUP BY dive_id HAVING count(*) FILTER (WHERE problem LIKE 'malformed%') > 0"
+
+
 def _failures(spark, sf):
-    return v.table(spark, sf, "events").filter(F.col("props").contains('"k": 1')).filter(
-        F.col("user_id") % 13 == 5).select(F.col("user_id").alias("dive_id"))
+    return failed_keys(_arrived(spark, sf).filter(F.col("problem").startswith("malformed")), "dive_id")
 
 
-@query("failed_sources", """
+@query("failed_sources", f"""
 SELECT count(*) FILTER (WHERE f.dive_id IS NULL) AS n_ok, count(*) FILTER (WHERE f.dive_id IS NOT NULL) AS n_failed
-FROM (SELECT DISTINCT user_id AS dive_id FROM events) d
-LEFT JOIN (SELECT DISTINCT user_id AS dive_id FROM events WHERE contains(props, '"k": 1') AND user_id % 13 = 5) f USING (dive_id)
+FROM (SELECT DISTINCT user_id AS dive_id FROM events) d LEFT JOIN ({FAILED_SQL}) f USING (dive_id)
 """)
 def failed_sources(spark, sf):
     return fr.split_failed(v.dives(spark, sf), _failures(spark, sf), "dive_id")[1]
 
 
-@query("frames_of_good_sources", """
-SELECT dive_id, count(*) AS n FROM frames WHERE dive_id NOT IN (
-  SELECT user_id FROM events WHERE contains(props, '"k": 1') AND user_id % 13 = 5) GROUP BY dive_id
+@query("frames_of_good_sources", f"""
+SELECT dive_id, count(*) AS n FROM frames WHERE dive_id NOT IN ({FAILED_SQL}) GROUP BY dive_id
 """, ("frames",))
 def frames_of_good_sources(spark, sf):
     good = fr.split_failed(v.dives(spark, sf), _failures(spark, sf), "dive_id")[0]
