@@ -464,19 +464,26 @@ def test_license_query_inherits_on_pages(spark, tmp_path):
         own[k] = rng.choice(sorted(notices)) if rng.random() < 0.12 else None
         dirs[k] = f"h{k % 6}.example" + "".join(f"/{rng.choice('ab')}" for _ in range(rng.randrange(4)))
         words = " ".join(rng.choice("alpha beta gamma delta of and the in".split()) for _ in range(30))
-        rows.append((k, f"http://{dirs[k]}/{k}", f"<html><head><title>{words[:30]}</title></head><body><p>{words}</p>"
+        # Every eighth page is its host alone, which counts as the host's directory; some have no host at all.
+        url = f"http://{dirs[k]}/{k}"
+        if k % 8 == 3:
+            dirs[k] = f"h{k % 6}.example"
+            url = f"https://{dirs[k].upper()}" + ("", "?q=1", "#top")[k % 3]
+        elif k % 8 == 5:
+            dirs[k], url = None, (None, "not a url", f"h1.example/{k}", "")[k // 8 % 4]
+        rows.append((k, url, f"<html><head><title>{words[:30]}</title></head><body><p>{words}</p>"
                      f"<p>{notices.get(own[k], words[:20])}</p><footer>{words[:12]}</footer></body></html>"))
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     votes = {}
     for k in own:
-        if own[k]:
+        if own[k] and dirs[k]:
             votes.setdefault(dirs[k], collections.Counter())[own[k]] += 1
     said = {d: min(v, key=lambda name: (-v[name], name)) for d, v in votes.items()}
 
     def expected(k):
         if own[k]:
             return own[k], own[k], "own"
-        steps = dirs[k].split("/")
+        steps = (dirs[k] or "").split("/")
         near = next((d for n in range(len(steps), 0, -1) if (d := "/".join(steps[:n])) in said), None)
         return None, said.get(near), near
 
