@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.operators.ordering import (
-    attach_scalars, average_ranks, exact_quantiles, rank_sums)
+    attach_scalars, average_ranks, exact_quantiles, join_null_safe, rank_sums)
 
 
 # Enough terms for double precision on both sides of the switch.
@@ -40,25 +41,29 @@ def rank_biserial(u: Column, n_a: Column, n_b: Column) -> Column:
     return F.lit(1.0) - F.lit(2.0) * u / (n_a.cast("double") * n_b.cast("double"))
 
 
-def compare_groups(df: DataFrame, value: str, in_a: Column) -> DataFrame:
-    """Mann-Whitney U, Cohen's d and rank-biserial of two groups, one row.
+def compare_groups(df: DataFrame, value: str, in_a: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """Mann-Whitney U, Cohen's d and rank-biserial of two groups: one row, or one per ``keys``.
 
     ``u_stat`` is that of the first group.  ``z`` is the tie-corrected normal
     approximation with continuity correction; Cohen's d pools sample variances
     and is 0 without spread.  Null and NaN values are left out.
     """
+    keys = list(keys)
     rows = df.select(
-        F.col(value).cast("double").alias("v"), in_a.alias("a")
+        *keys, F.col(value).cast("double").alias("v"), in_a.alias("a")
     ).filter(F.col("v").isNotNull() & ~F.isnan("v") & F.col("a").isNotNull())
     a = F.col("a")
-    moments = rows.agg(
+    moments = rows.groupBy(*keys).agg(
         F.avg(F.when(a, F.col("v"))).alias("mean_a"), F.avg(F.when(~a, F.col("v"))).alias("mean_b"),
         F.var_samp(F.when(a, F.col("v"))).alias("_va"), F.var_samp(F.when(~a, F.col("v"))).alias("_vb"))
     medians = exact_quantiles(
-        rows.select(F.when(a, F.col("v")).alias("va"), F.when(~a, F.col("v")).alias("vb")), [],
+        rows.select(*keys, F.when(a, F.col("v")).alias("va"), F.when(~a, F.col("v")).alias("vb")), keys,
         {"median_a": ("va", 0.5), "median_b": ("vb", 0.5)})
-    ranks = rank_sums(rows, [], "v", a)
-    one = attach_scalars(attach_scalars(ranks, moments), medians)
+    ranks = rank_sums(rows, keys, "v", a)
+    if keys:
+        one = join_null_safe(join_null_safe(ranks, moments, keys), medians, keys)
+    else:
+        one = attach_scalars(attach_scalars(ranks, moments), medians)
     na, nb = F.col("n_first").cast("double"), F.col("n_second").cast("double")
     n = na + nb
     u = F.col("rank_sum") - na * (na + 1) / 2
@@ -66,7 +71,7 @@ def compare_groups(df: DataFrame, value: str, in_a: Column) -> DataFrame:
     distance = F.abs(u - na * nb / 2) - F.lit(0.5)
     pooled = F.sqrt(((na - 1) * F.col("_va") + (nb - 1) * F.col("_vb")) / (na + nb - 2))
     return one.select(
-        F.col("n_first").alias("n_a"), F.col("n_second").alias("n_b"),
+        *keys, F.col("n_first").alias("n_a"), F.col("n_second").alias("n_b"),
         "mean_a", "mean_b", "median_a", "median_b",
         u.alias("u_stat"),
         F.when(spread > 0, F.greatest(distance, F.lit(0.0)) / spread).alias("z"),

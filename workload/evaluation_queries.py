@@ -332,10 +332,23 @@ def confidence_by_outcome(spark, sf):
     return st.compare_groups(v.positives(spark, sf), "pred_confidence", F.col("fail"))
 
 
-@query("embedding_by_label", GROUP_TEST.replace("{source}", "SELECT label < 5 AS a, CAST(embedding[1] AS DOUBLE) AS val FROM embeddings"), (), TEST_DOUBLES)
+# The same test per dimension of the embeddings.
+DIMENSION_TEST = (
+    GROUP_TEST.replace("SELECT n_a,", "SELECT dim, n_a,").replace("SELECT count(*) FILTER (WHERE a) AS n_a", "SELECT dim, count(*) FILTER (WHERE a) AS n_a")
+    .replace("rank() OVER (ORDER BY val)", "rank() OVER (PARTITION BY dim ORDER BY val)").replace("PARTITION BY val", "PARTITION BY dim, val")
+    .replace("FROM ({source}))))", "FROM ({source}))) GROUP BY dim)")
+    .replace("{source}", "SELECT label < 5 AS a, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS val FROM embeddings"))
+
+
+def _dimensions(spark, sf) -> DataFrame:
+    e = v.table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("dim", "val"))
+    return st.compare_groups(
+        e.withColumn("dim", F.col("dim").cast("long")), "val", F.col("label") < 5, ["dim"])
+
+
+@query("embedding_by_label", DIMENSION_TEST, (), TEST_DOUBLES)
 def embedding_by_label(spark, sf):
-    e = v.table(spark, sf, "embeddings").select(F.col("embedding")[0].cast("double").alias("val"), "label")
-    return st.compare_groups(e, "val", F.col("label") < 5)
+    return _dimensions(spark, sf)
 
 
 # Normal tail by the midpoint rule over the bell between 0 and |z|.
@@ -349,11 +362,9 @@ def confidence_test_p(spark, sf):
     return st.with_p_value(st.compare_groups(v.positives(spark, sf), "pred_confidence", F.col("fail")))
 
 
-@query("embedding_test_p", _P_VALUE.replace("{test}", GROUP_TEST.replace(
-    "{source}", "SELECT label < 5 AS a, CAST(embedding[2] AS DOUBLE) AS val FROM embeddings")), (), TEST_DOUBLES + " p_value")
+@query("embedding_test_p", _P_VALUE.replace("{test}", DIMENSION_TEST), (), TEST_DOUBLES + " p_value")
 def embedding_test_p(spark, sf):
-    e = v.table(spark, sf, "embeddings").select(F.col("embedding")[1].cast("double").alias("val"), "label")
-    return st.with_p_value(st.compare_groups(e, "val", F.col("label") < 5))
+    return st.with_p_value(_dimensions(spark, sf))
 
 
 def _deltas(spark, sf) -> DataFrame:
