@@ -5,6 +5,13 @@ the fixed base rules enter a sketch per (language, source, measure): counts of b
 is at most 1/32 of the value, the layout of high-dynamic-range histograms.  Sketches merge by adding
 counts, so they do not depend on partitioning, and a small group takes the merged sketch of its
 language or of all documents.  A document is rejected if a measure lies above its group's fence.
+
+Measures are ratios of counts, so fences are set on square roots, where chance alone moves any count
+by about one half.  A fence is the group's upper quartile plus FENCE times a spread that comes from
+the sketches alone: the quartile distance of the group, or, where its quartiles are equal, of its
+language (there, and then for all documents, the distance from the upper quartile to the quantile
+TAIL takes its place if the quartiles are equal again: small groups do not say where a tail ends).
+Where all these are equal the measure is constant but for outliers, and only chance is allowed.
 """
 
 from __future__ import annotations
@@ -24,15 +31,19 @@ MAX_REPEAT_PERCENT = 20
 SKETCH_BITS = 6
 # Least number of documents for a group to have a fence of its own.
 MIN_GROUP = 50
-# Fence: upper quartile plus so many times the quartile distance, or that measure's least spread.
+# Fence: upper quartile plus so many times the spread, on square roots.
 FENCE = 3
-# measure -> (numerator, denominator, scale, least spread)
+# Upper quantile, in tenths, that gives a merged sketch its spread where its quartiles are equal.
+TAIL = 9
+# Chance moves the square root of a count by about 1/2; three times that are allowed.
+CHANCE = 1.5
+# measure -> (numerator, denominator, scale)
 MEASURES = {
-    "symbols": ("n_symbols", "word_chars", 10_000, 200),
-    "capitals": ("n_capitals", "word_chars", 10_000, 600),
-    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 1_200),
-    "repeats": ("n_repeat_words", "n_words", 10_000, 600),
-    "word_length": ("word_chars", "n_words", 100, 200),
+    "symbols": ("n_symbols", "word_chars", 10_000),
+    "capitals": ("n_capitals", "word_chars", 10_000),
+    "dup_lines": ("n_dup_lines", "n_lines", 10_000),
+    "repeats": ("n_repeat_words", "n_words", 10_000),
+    "word_length": ("word_chars", "n_words", 100),
 }
 
 
@@ -97,7 +108,7 @@ def base_failed() -> Column:
 
 
 def value_of(measure: str) -> Column:
-    top, bottom, scale, _ = MEASURES[measure]
+    top, bottom, scale = MEASURES[measure]
     return F.when(F.col(bottom) > 0, F.floor(F.col(top) * scale / F.col(bottom))).otherwise(F.lit(0)).cast("long")
 
 
@@ -129,20 +140,31 @@ def sketches(counts: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """Upper fence of each group and measure: quartiles are the buckets that hold ranks ceil(n/4) and ceil(3n/4)."""
+    """Square roots of the upper quartile and of the spread of each group, per measure (``<measure>_q3``, ``_spread``).
+
+    Quantiles are the buckets that hold ranks ceil(n/4), ceil(3n/4) and ceil(TAIL n/10).  A spread of 0 says
+    that the sketch has none to give.
+    """
     group = Window.partitionBy("level", "lang", "source", "measure")
     at = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
-    quartiles = at.groupBy("level", "lang", "source", "measure", "total").agg(
-        F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"))
-    least = F.create_map(*[x for m, (*_, spread) in MEASURES.items() for x in (F.lit(m), F.lit(spread))])
-    fence = F.col("q3") + FENCE * F.greatest(F.col("q3") - F.col("q1"), least[F.col("measure")])
-    return quartiles.withColumn("fence", fence).groupBy("level", "lang", "source", "total").pivot(
-        "measure", list(MEASURES)).agg(F.first("fence"))
+
+    def root(of: int, share: int) -> Column:
+        return F.sqrt(F.min(F.when(of * F.col("upto") >= share * F.col("total"), F.col("bucket"))))
+
+    quantiles = at.groupBy("level", "lang", "source", "measure", "total").agg(
+        root(4, 1).alias("q1"), root(4, 3).alias("q3"), root(10, TAIL).alias("tail"))
+    middle = F.col("q3") - F.col("q1")
+    spread = F.when((F.col("level") == 0) | (middle > 0), middle).otherwise(F.col("tail") - F.col("q3"))
+    return quantiles.withColumn("spread", spread).groupBy("level", "lang", "source", "total").pivot(
+        "measure", list(MEASURES)).agg(F.first("q3").alias("q3"), F.first("spread").alias("spread"))
 
 
 def thresholds(counts: DataFrame) -> DataFrame:
-    """One row of fences per (language, source), from the finest level with enough documents."""
+    """One row per (language, source): per measure the fence's square root and the level that set its spread.
+
+    Quartile and spread come from the finest level with enough documents, the spread from the finest one
+    that has any; ``level_<measure>`` is null where no level has.
+    """
     levels = fences(sketches(counts)).where((F.col("total") >= MIN_GROUP) | (F.col("level") == 2))
     names = list(MEASURES)
     nothing = F.lit(None).cast("string")
@@ -156,10 +178,20 @@ def thresholds(counts: DataFrame) -> DataFrame:
         levels,
         (F.col("w.level") == levels["level"]) & F.col("w.lang").eqNullSafe(levels["lang"])
         & F.col("w.source").eqNullSafe(levels["source"]))
-    finest = F.min(F.struct(levels["level"], *[F.col(m) for m in names]))
-    return found.groupBy("_lang", "_source").agg(finest.alias("f")).select(
+    finest = found.groupBy("_lang", "_source").agg(
+        F.min(F.struct(levels["level"], *[F.col(f"{m}_q3") for m in names])).alias("f"),
+        *[F.min(F.when(F.col(f"{m}_spread") > 0, F.struct(levels["level"], F.col(f"{m}_spread").alias("spread")))).alias(m)
+          for m in names])
+    return finest.select(
         F.col("_lang").alias("lang"), F.col("_source").alias("source"),
-        *[F.col(f"f.{m}").alias(f"max_{m}") for m in names])
+        *[(F.col(f"f.{m}_q3") + FENCE * F.coalesce(F.col(f"{m}.spread"), F.lit(0.0))).alias(f"max_{m}") for m in names],
+        *[F.col(f"{m}.level").alias(f"level_{m}") for m in names])
+
+
+def beyond(measure: str) -> Column:
+    """Whether a count lies above what the fence and chance allow for its document; null without a fence."""
+    top, bottom, scale = MEASURES[measure]
+    return F.sqrt(F.col(top)) > F.col(f"max_{measure}") * F.sqrt(F.col(bottom) / F.lit(float(scale))) + F.lit(CHANCE)
 
 
 def _key(name: str) -> Column:
@@ -182,7 +214,7 @@ def judge_quality(documents: DataFrame) -> DataFrame:
     judged = salted_join(keyed, limits, ["_lang", "_source"], ["doc_id"], "left")
     above = F.lit(False)
     for m in MEASURES:
-        above = above | F.coalesce(value_of(m) > F.col(f"max_{m}"), F.lit(False))
+        above = above | F.coalesce(beyond(m), F.lit(False))
     return judged.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines",
         "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~above).alias("kept"))

@@ -10,16 +10,23 @@ from sightline.llm.tables import table
 
 
 def _value(measure: str) -> str:
-    top, bottom, scale, _ = rules.MEASURES[measure]
+    top, bottom, scale = rules.MEASURES[measure]
     return f"CASE WHEN {bottom} > 0 THEN ({top} * {scale}) // {bottom} ELSE 0 END"
 
 
 _PAIRS = " UNION ALL ".join(
     f"SELECT lang, source, '{m}' AS measure, {_value(m)} AS v FROM counts WHERE NOT base_failed" for m in rules.MEASURES)
-_LEAST = " ".join(f"WHEN '{m}' THEN {spread}" for m, (*_, spread) in rules.MEASURES.items())
-_ABOVE = " OR ".join(
-    f"coalesce({_value(m)} > (SELECT fence FROM best b WHERE b.measure = '{m}' AND b.lang IS NOT DISTINCT FROM c.lang "
-    f"AND b.source IS NOT DISTINCT FROM c.source), false)" for m in rules.MEASURES)
+
+
+def _above(measure: str) -> str:
+    top, bottom, scale = rules.MEASURES[measure]
+    fence = (
+        f"(SELECT fence FROM best b WHERE b.measure = '{measure}' AND b.lang IS NOT DISTINCT FROM c.lang "
+        "AND b.source IS NOT DISTINCT FROM c.source)")
+    return f"coalesce(sqrt({top}) > {fence} * sqrt({bottom} / {scale}::DOUBLE) + {rules.CHANCE}::DOUBLE, false)"
+
+
+_ABOVE = " OR ".join(_above(m) for m in rules.MEASURES)
 _SPACE = r"[\x20\x09-\x0D]"
 
 SQL = rf"""
@@ -43,13 +50,14 @@ cells AS (SELECT lang, source, measure, v - v % (1::BIGINT << greatest(length(bi
     FROM vals),
 levels AS (SELECT 0 AS level, * FROM cells UNION ALL SELECT 1, lang, NULL, measure, bucket FROM cells
     UNION ALL SELECT 2, NULL, NULL, measure, bucket FROM cells),
-fences AS (SELECT level, lang, source, measure, count(*) AS total,
-    quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM levels GROUP BY ALL),
-fenced AS (SELECT *, q3 + {rules.FENCE} * greatest(q3 - q1, CASE measure {_LEAST} END) AS fence FROM fences
+quantiles AS (SELECT level, lang, source, measure, count(*) AS total, sqrt(quantile_disc(bucket, 0.25)) AS q1,
+    sqrt(quantile_disc(bucket, 0.75)) AS q3, sqrt(quantile_disc(bucket, {rules.TAIL} / 10)) AS tail FROM levels GROUP BY ALL),
+fences AS (SELECT *, CASE WHEN level = 0 OR q3 > q1 THEN q3 - q1 ELSE tail - q3 END AS spread FROM quantiles
     WHERE total >= {rules.MIN_GROUP} OR level = 2),
 pairs AS (SELECT DISTINCT lang, source FROM counts),
-best AS (SELECT p.lang, p.source, f.measure, arg_min(f.fence, f.level) AS fence FROM pairs p JOIN fenced f ON
-    f.level = 2 OR (f.level = 1 AND f.lang IS NOT DISTINCT FROM p.lang)
+best AS (SELECT p.lang, p.source, f.measure,
+    arg_min(f.q3, f.level) + {rules.FENCE} * coalesce(arg_min(f.spread, f.level) FILTER (f.spread > 0), 0) AS fence
+    FROM pairs p JOIN fences f ON f.level = 2 OR (f.level = 1 AND f.lang IS NOT DISTINCT FROM p.lang)
     OR (f.level = 0 AND f.lang IS NOT DISTINCT FROM p.lang AND f.source IS NOT DISTINCT FROM p.source) GROUP BY ALL)
 SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_capitals, n_lines, n_dup_lines, n_repeat_words,
     base_failed, NOT base_failed AND NOT ({_ABOVE}) AS kept FROM counts c

@@ -394,6 +394,37 @@ def test_adaptive_fence_differs_by_group(spark):
     assert not kept[1000] and sum(kept.values()) == 240
 
 
+def test_fence_spreads_come_from_the_sketches(spark):
+    rng = random.Random(14)
+    rows = []
+    # Source a never has symbols, b has some in one document of five, so its quartiles are equal but its language has a tail.
+    for k in range(400):
+        words = sentence(rng, 80).split()
+        if k >= 200 and k % 4 == 0:
+            words = [w + "$" for w in words[:20]] + words[20:]
+        rows.append((k, " ".join(words), "en", "a" if k < 200 else "b"))
+    # Another language has none at all: only chance is allowed there and two symbols pass, twenty do not.
+    rows += [(1000 + k, sentence(rng, 80), "de", "a") for k in range(200)]
+    rows += [(2000, sentence(rng, 80) + " $$", "de", "a"), (2001, sentence(rng, 80) + " " + "$" * 20, "de", "a")]
+    docs = documents(spark, rows)
+    limits = {(r.lang, r.source): r for r in quality_rules.thresholds(quality_rules.measured(docs)).collect()}
+    assert limits["en", "a"].level_symbols == 1 and limits["en", "a"].max_symbols > 0
+    assert limits["de", "a"].level_symbols is None and limits["de", "a"].max_symbols == 0
+    assert limits["en", "a"].level_word_length == 0
+    kept = {r.doc_id: r.kept for r in quality_rules.judge_quality(docs).collect()}
+    assert all(kept[k] for k in range(400)) and kept[2000] and not kept[2001]
+
+
+def test_planted_junk_and_good_documents(spark):
+    from sightline.llm.rules_queries import op8
+
+    sf = "/root/testdata/sf0.1"
+    judged = op8(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    n = {(r.quality, r.base_failed, r.kept): r["count"] for r in judged.groupBy("quality", "base_failed", "kept").count().collect()}
+    assert n[0, False, True] <= 0.05 * (n[0, False, True] + n[0, False, False])
+    assert n[1, False, False] <= 0.01 * n[1, False, True]
+
+
 # Language ----------------------------------------------------------------------
 
 def test_viterbi_brute_force():
