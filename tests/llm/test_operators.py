@@ -586,6 +586,39 @@ def test_quality_classifier_accuracy(spark):
     assert op3(spark, "/root/testdata/sf0.001").count() == 200
 
 
+def test_metadata_classes_are_exact():
+    lang = ["de", "es", "fr", None] * 10 + ["it"]
+    classes = quality_classifier.Metadata.of(lang, ["a"] * len(lang))
+    seen = classes.vectors([5] * 6, ["de", "es", "fr", None, "it", "xx"], ["a"] * 6)
+    assert len({tuple(v) for v in seen[:5]}) == 5 and tuple(seen[4]) == tuple(seen[5])
+
+
+def test_newton_sums_of_tasks_match_a_local_fit(spark):
+    import numpy as np
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality_classifier.fit(docs.repartition(7), labels)
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    rows = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), "text", "n_chars", "lang", "source").orderBy("h").toArrow().to_pylist()
+    parts = []
+    for known in (True, False):
+        own = [r for r in rows if (quality.get(r["doc_id"]) is not None) == known]
+        text = quality_classifier._text_views(pa.array([r["text"] for r in own], pa.string())).astype(np.float64)
+        parts.append((text, model.classes.vectors(*([r[c] for r in own] for c in ("n_chars", "lang", "source"))), own))
+    (text, metadata, own), (pool_text, pool_metadata, others) = parts
+    assert len(others) > 300
+    y = np.array([float(quality[r["doc_id"]]) for r in own])
+    calls = []
+    want = quality_classifier.co_train(text, metadata, y, lambda work: calls.append(1) or work(pool_text, pool_metadata))
+    assert len(calls) == quality_classifier.ROUNDS * (1 + quality_classifier.STEPS)
+    for a, b in ((model.text, want.text), (model.metadata, want.metadata)):
+        assert np.allclose(a.weights, b.weights, atol=1e-6)
+    # What the views teach each other counts: without the pool the weights are others.
+    alone = quality_classifier.co_train(text, metadata, y, lambda work: work(pool_text[:0], pool_metadata[:0]))
+    assert not np.allclose(alone.metadata.weights, want.metadata.weights, atol=1e-3)
+
+
 def test_quality_classifier_edges(spark, edge_rows):
     docs = documents(spark, edge_rows)
     none = spark.createDataFrame([], "doc_id long, quality int")
