@@ -56,16 +56,18 @@ def text_vectors(words: Words) -> np.ndarray:
     size = np.diff(words.bounds).astype(np.float64)
     n = np.diff(words.row_bounds).astype(np.float64)
     some, chars = np.maximum(n, 1), np.maximum(size, 1)
-    at = np.append(words.bounds, 0)
 
     def share(mask: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(mask)])
-        return (sums[words.bounds[1:]] - sums[words.bounds[:-1]]) / chars
+        return np.diff(np.searchsorted(np.flatnonzero(mask), words.bounds)) / chars
 
     def per_word(mask: np.ndarray) -> np.ndarray:
         return np.bincount(words.rows, weights=mask, minlength=n_rows) / some
 
-    is_in = lambda letters: np.isin(data, np.frombuffer(letters, dtype=np.uint8))
+    def is_in(letters: bytes) -> np.ndarray:
+        table = np.zeros(256, dtype=bool)
+        table[list(letters)] = True
+        return table[data]
+
     h = words.hashes
     order = np.lexsort((h, words.rows))
     new = np.ones(len(h), dtype=bool)
@@ -88,7 +90,7 @@ def text_vectors(words: Words) -> np.ndarray:
         np.log1p(n), np.bincount(words.rows, weights=words.ends - words.starts, minlength=n_rows) / some,
         share(is_in(b"#*$%&<>")), share(is_in(b"|")), share(is_in(b"!?")), share(upper), share(digit),
         share(data >= 0x80), share(is_in(b"\n")), distinct, per_word(same), per_word(repeated), per_word(odd),
-        share(NOT_SPACE[data])])
+        size / chars - share(~NOT_SPACE[data])])
     vectors[n == 0] = 0
     return np.column_stack([vectors, _hashed(words, 1), _hashed(words, 2)])
 
