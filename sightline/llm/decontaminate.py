@@ -1,8 +1,8 @@
 """Benchmark decontamination: broadcast hash set of benchmark word windows, one scan of the documents.
 
 The windows of the benchmark items are hashed and the sorted hashes go to every task (their number is
-checked first).  Each document is cut into words once; windows whose hash is in the set are compared
-with the item's words, and the words they cover are hit.
+checked first; a large benchmark goes in passes).  Each document is cut into words once a pass; windows
+whose hash is in the set are compared with the item's words, and the words they cover are hit.
 """
 
 from __future__ import annotations
@@ -11,17 +11,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sightline.llm.textops import ALPHANUMERIC, LOWER_ASCII, Words, word_groups
+from sightline.operators.ordering import salted_join
+from sightline.session import cut_lineage, release
 
 WINDOW = 10
-# Most benchmark words that one pass over the documents broadcasts (about 100 bytes each in a task).
+# Benchmark words that one pass over the documents broadcasts (about 100 bytes each in a task).
 PASS_WORDS = 1_000_000
+# Longer items are cut, so that a single one cannot exceed a pass.
+PIECE_WORDS = 50_000
 
 _HITS = T.StructType([
     T.StructField("_n_words", T.LongType()), T.StructField("_hit_spans", T.ArrayType(T.LongType())),
     T.StructField("_items", T.ArrayType(T.StringType()))])
+_KEY = "_text_key"
+_FOUND = T.StructType([T.StructField(_KEY, T.BinaryType()), *_HITS.fields[1:]])
 
 
 def _normal(words: Words, first: int, size: int) -> bytes:
@@ -80,15 +87,57 @@ class _Windows:
         return n_words, spans, items
 
 
-def _passes(benchmark: DataFrame, item: str, text: str) -> list[list[tuple[str, str]]]:
-    """Items in passes of bounded size: the driver holds one pass at a time at most twice over."""
-    words = F.size(F.split(F.coalesce(F.col(text), F.lit("")), r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+")).cast("long")
-    total = benchmark.agg(F.coalesce(F.sum(words), F.lit(0))).first()[0]
-    n = int(total // PASS_WORDS) + 1
-    part = F.pmod(F.xxhash64(F.col(item), F.col(text)), F.lit(n))
+def _pieces(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """Distinct (item, piece, n_words); items of more than PIECE_WORDS words in pieces that share WINDOW - 1 words."""
+    words = F.filter(F.split(F.col(text), r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"), lambda w: w != "")
     rows = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(item).cast("string"), F.col(text), part)
-    return [[(r[0], r[1]) for r in rows.where(part == F.lit(k)).collect()] for k in range(n)]
+        F.col(item).cast("string").alias("item"), F.col(text).alias("piece"), words.alias("words"))
+    # A piece starts only where a full window is left, so no piece passes for a short item.
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (WINDOW - 1), F.lit(1)), F.lit(PIECE_WORDS))
+    cut = F.transform(starts, lambda s: F.slice("words", s, F.lit(PIECE_WORDS + WINDOW - 1)))
+    pieces = F.when(F.size("words") > PIECE_WORDS + WINDOW - 1, F.transform(cut, lambda w: F.struct(
+        F.array_join(w, " ").alias("piece"), F.size(w).cast("long").alias("n_words")))).otherwise(
+        F.array(F.struct("piece", F.size("words").cast("long").alias("n_words"))))
+    return rows.select("item", F.explode(pieces).alias("p")).select("item", "p.*").distinct()
+
+
+def _adding(documents: DataFrame, shared: Broadcast, text: str) -> DataFrame:
+    """``documents`` with the columns of _HITS from one pass."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _Windows(shared.value)
+        for batch in batches:
+            n_words, spans, names = windows.scan(batch.column(text))
+            columns = [*batch.columns, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())),
+                       pa.array(names, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *_HITS.names])
+
+    return documents.mapInArrow(scan, T.StructType([*documents.schema.fields, *_HITS.fields]))
+
+
+def _hits_only(texts: DataFrame, shared: Broadcast) -> DataFrame:
+    """Key, hit spans and items of the distinct texts (key, text) that one pass hits."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _Windows(shared.value)
+        for batch in batches:
+            _, spans, names = windows.scan(batch.column(1))
+            at = [i for i, found in enumerate(spans) if found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array([spans[i] for i in at], pa.list_(pa.int64())),
+                 pa.array([names[i] for i in at], pa.list_(pa.string()))], _FOUND.names)
+
+    return texts.mapInArrow(scan, _FOUND).dropDuplicates([_KEY])
+
+
+def _merged(hits: DataFrame) -> DataFrame:
+    """One row per text: the spans of its rows (one or two) united, and all their items."""
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [_union(s[0], s[1] if len(s) > 1 else []) for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(spans, pa.list_(pa.int64())), batch.column(2)], _FOUND.names)
+
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items"))))
+    return hits.groupBy(_KEY).agg(F.collect_list("_hit_spans"), items).mapInArrow(unite, _FOUND)
 
 
 def find_contamination(
@@ -103,8 +152,11 @@ def find_contamination(
     repeated rows are judged alike, an empty benchmark hits nothing.  Columns of ``documents`` of those
     three names are replaced.
 
-    The benchmark goes through the driver in passes of at most PASS_WORDS words (one job counts them);
-    each pass is one scan of the documents.
+    One job counts the benchmark's words.  Up to PASS_WORDS they go to every task at once and the documents
+    are scanned once, lazily.  A larger benchmark is dealt to passes of about so many words, and each pass is
+    a job of its own: its items are collected and broadcast, the hits it finds are written (distinct hit
+    texts only) and its broadcast is destroyed before the next one is collected.  The driver and a task hold
+    one pass at any size of the benchmark; scans grow with that size.
     """
     public = [n.removeprefix("_") for n in _HITS.names]
     found = _scanned(documents.drop(*public), benchmark, text, item, item_text)
@@ -113,27 +165,33 @@ def find_contamination(
 
 def _scanned(documents: DataFrame, benchmark: DataFrame, text: str, item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``documents`` with the three columns under names of our own."""
-    found = documents
-    passes = _passes(benchmark, item, item_text)
-    spark = documents.sparkSession
-    own = found.schema
-    for number, items in enumerate(passes):
-        shared = spark.sparkContext.broadcast(items)
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, later=number > 0) -> Iterator[pa.RecordBatch]:
-            windows = _Windows(shared.value)
-            for batch in batches:
-                n_words, spans, names = windows.scan(batch.column(text))
-                if later:
-                    spans = [_union(a, b) for a, b in zip(batch.column("_hit_spans").to_pylist(), spans)]
-                    names = [sorted({*a, *b}) for a, b in zip(batch.column("_items").to_pylist(), names)]
-                    batch = batch.drop_columns(_HITS.names)
-                columns = [*batch.columns, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())),
-                           pa.array(names, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *_HITS.names])
-
-        found = found.mapInArrow(scan, T.StructType([*own.fields, *_HITS.fields]))
-    return found
+    pieces = _pieces(benchmark, item, item_text)
+    passes = int(pieces.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0] // PASS_WORDS) + 1
+    broadcast = documents.sparkSession.sparkContext.broadcast
+    if passes == 1:
+        return _adding(documents, broadcast([(r[0], r[1]) for r in pieces.select("item", "piece").collect()]), text)
+
+    dealt = cut_lineage(pieces.select("item", "piece", F.pmod(F.xxhash64("item", "piece"), F.lit(passes)).alias("pass")))
+    key = F.unhex(F.sha2(F.col(text), 256)).alias(_KEY)
+    texts = documents.select(key, F.col(text).alias("_text"))
+    hits: DataFrame | None = None
+    for k in range(passes):
+        shared = broadcast([(r[0], r[1]) for r in dealt.where(F.col("pass") == k).select("item", "piece").collect()])
+        new = cut_lineage(_hits_only(texts, shared))
+        shared.destroy()
+        if hits is not None:
+            older, newer = hits, new
+            new = cut_lineage(_merged(older.unionByName(newer)))
+            release(older)
+            release(newer)
+        hits = new
+    release(dealt)
+    counted = _adding(documents.select("*", key), broadcast([]), text).drop("_hit_spans", "_items")
+    # Copies of one text share a key; their other columns spread them.
+    spread = [f.name for f in documents.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    found = salted_join(counted, hits, [_KEY], spread, "left").withColumns(
+        {n: F.coalesce(F.col(n), F.array().cast(_HITS[n].dataType)) for n in ("_hit_spans", "_items")})
+    return found.select(*documents.columns, *_HITS.names)
 
 
 def _union(a: list[int], b: list[int]) -> list[int]:
