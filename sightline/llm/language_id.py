@@ -8,7 +8,7 @@ costs SWITCH, labels spans of mixed-language text.  A document's language is tha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,14 +20,13 @@ from sightline.llm.textops import LOWER_ASCII, Words, word_groups
 UNKNOWN = "und"
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
-# The model has this many rows per language; more languages than that are refused.
-MAX_LANGUAGES = 250
 SMOOTHING = 0.5
 SWITCH = 12.0
 # A language uses a script if at least this share of its training words does.
 SCRIPT_SHARE = 0.001
-# Scores (words times languages) that are held at once.
+# Scores (words times languages) that are held at once, and bytes of one word.
 SCORES_AT_ONCE = 12_000_000
+BYTES_AT_ONCE = 4_000_000
 _NEVER = -1e9
 
 LETTERS = np.zeros(256, dtype=bool)
@@ -56,8 +55,12 @@ def trigram_codes(words: Words) -> tuple[np.ndarray, np.ndarray]:
     before[1:], after[:-1] = here[:-1], here[1:]
     before[first] = 0
     after[first + size - 1] = 0
+    return _buckets(before, here, after), first
+
+
+def _buckets(before: np.ndarray, here: np.ndarray, after: np.ndarray) -> np.ndarray:
     code = (before << np.uint32(16)) | (here << np.uint32(8)) | after
-    return (code * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS), first
+    return (code * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
 
 
 def scripts_of(words: Words) -> np.ndarray:
@@ -86,8 +89,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scripts = np.zeros((0, SCRIPTS), dtype=np.int64)
     for batch in batches:
         own = np.array([names.setdefault(x, len(names)) for x in batch.column(1).to_pylist()], dtype=np.int64)
-        if len(names) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
         grow = len(names) - len(grams)
         grams = np.vstack([grams, np.zeros((grow, BUCKETS), dtype=np.int64)])
         scripts = np.vstack([scripts, np.zeros((grow, SCRIPTS), dtype=np.int64)])
@@ -110,14 +111,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame) -> LanguageModel:
     """Model from ``text`` and ``lang`` of all rows (null in either: left out).
 
-    Runs a job; at most MAX_LANGUAGES * (BUCKETS + SCRIPTS) counts reach the driver.
+    Runs a job; at most BUCKETS + SCRIPTS counts of each language reach the driver, and a task holds the
+    counts or scores of all languages, so memory grows with their number but not with the rows.
     """
     rows = (
         labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
         .mapInArrow(_count, _COUNTS).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).toPandas())
     languages = sorted(rows["lang"].unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     index = {x: i for i, x in enumerate(languages)}
     grams, scripts = np.zeros((len(languages), BUCKETS)), np.zeros((len(languages), SCRIPTS))
     own = rows["lang"].map(index).to_numpy(dtype=np.int64)
@@ -133,14 +133,33 @@ def train(labelled: DataFrame) -> LanguageModel:
 
 def word_scores(model: LanguageModel, words: Words) -> np.ndarray:
     """(words, languages) log probabilities; languages that do not use the word's script are ruled out."""
-    codes, first = trigram_codes(words)
     out = np.empty((len(words.starts), len(model.languages)), dtype=np.float32)
-    for k in range(len(model.languages)):
-        out[:, k] = np.add.reduceat(model.scores[k][codes], first)
+    long = words.ends - words.starts > BYTES_AT_ONCE
+    for i in np.flatnonzero(long):
+        out[i] = _long_word_scores(model, words, int(i))
+    usual = words.part(np.flatnonzero(~long)) if long.any() else words
+    if len(usual.starts):
+        codes, first = trigram_codes(usual)
+        for k in range(len(model.languages)):
+            out[~long, k] = np.add.reduceat(model.scores[k][codes], first)
     out[~model.uses[scripts_of(words)]] = _NEVER
     return out
 
 
+def _long_word_scores(model: LanguageModel, words: Words, i: int) -> np.ndarray:
+    """Scores of one word (a text without spaces), added up over pieces of its bytes."""
+    data = words.data[words.starts[i]:words.ends[i]]
+    total = np.zeros(len(model.languages))
+    for a in range(0, len(data), BYTES_AT_ONCE):
+        # A byte on either side of the piece, 0 beyond the word's ends.
+        b = min(a + BYTES_AT_ONCE, len(data))
+        near = np.zeros(b - a + 2, dtype=np.uint32)
+        near[int(a == 0):b - a + 1 + int(b < len(data))] = words.fold[data[max(a - 1, 0):b + 1]]
+        counts = np.bincount(_buckets(near[:-2], near[1:-1], near[2:]), minlength=BUCKETS)
+        total += model.scores.astype(np.float64) @ counts
+    return total
+
+
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best language of every word; ``scores`` lists the words of texts with the given numbers of words.
 
@@ -161,8 +180,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     by_step = np.empty_like(scores)
     by_step[place] = scores
     best = np.zeros((n_texts, languages))
-    back = np.zeros(scores.shape, dtype=np.uint8)
-    own = np.arange(languages, dtype=np.uint8)
+    own = np.arange(languages, dtype=np.min_scalar_type(languages))
+    back = np.zeros(scores.shape, dtype=own.dtype)
     for t in range(steps):
         n = active[t]
         value = best[:n]
@@ -174,7 +193,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
             value = np.where(stay, value, moved)
         best[:n] = value + by_step[begin[t]:begin[t + 1]]
     state = best.argmax(axis=1)
-    path = np.empty(len(scores), dtype=np.uint8)
+    path = np.empty(len(scores), dtype=own.dtype)
     for t in range(steps - 1, -1, -1):
         n = active[t]
         path[begin[t]:begin[t + 1]] = state[:n]
@@ -182,12 +201,53 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     return path[place]
 
 
+def viterbi_in_pieces(
+    scores: Callable[[int, int], np.ndarray], bounds: np.ndarray, languages: int, switch: float = SWITCH
+) -> np.ndarray:
+    """:func:`viterbi` of one text whose scores are too many to hold; ``scores(a, b)`` makes those of words a to b.
+
+    Pieces lie between neighbours of ``bounds`` (from 0 to the number of words).  The first sweep keeps the
+    column of values in front of each piece; the second one goes from the last piece to the first, makes
+    the back pointers of a piece again from its column, and follows them.
+    """
+    own = np.arange(languages, dtype=np.min_scalar_type(languages))
+
+    def advance(value: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        part = scores(a, b)
+        back = np.zeros(part.shape, dtype=own.dtype)
+        for t in range(b - a):
+            if a + t:
+                top = value.argmax()
+                moved = value[top] - switch
+                stay = value >= moved
+                back[t] = np.where(stay, own, top)
+                value = np.where(stay, value, moved)
+            value = value + part[t]
+        return value, back
+
+    pieces = [(int(a), int(b)) for a, b in zip(bounds[:-1], bounds[1:])]
+    columns = [np.zeros(languages)]
+    for a, b in pieces:
+        columns.append(advance(columns[-1], a, b)[0])
+    path = np.empty(int(bounds[-1]), dtype=own.dtype)
+    state = int(columns.pop().argmax())
+    for a, b in reversed(pieces):
+        _, back = advance(columns.pop(), a, b)
+        for t in range(b - 1, a - 1, -1):
+            path[t] = state
+            state = int(back[t - a, state])
+    return path
+
+
 def identify(documents: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``documents`` with ``lang_pred``, ``score`` and ``lang_spans`` (first word, end word, language).
 
     Only the text is read.  ``lang_pred`` is the language of most letters (bytes of words), ``score`` its
     share of them; null texts and texts without a letter are "und" with score 0, as is everything under an
     empty model.  Ties go to the language first in the alphabet.  Repeated rows are judged alike.
+
+    Texts of one group with more than SCORES_AT_ONCE scores are labelled one by one in pieces of so many,
+    so neither a long text nor many languages make a large matrix.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     given = documents.drop("lang_pred", "score", "lang_spans")
@@ -207,19 +267,24 @@ def identify(documents: DataFrame, model: LanguageModel, text: str = "text") ->
             path = viterbi(np.concatenate([h[1] for h in held]), lengths)
             sizes = np.concatenate([h[2] for h in held])
             bounds = np.concatenate([[0], np.cumsum(lengths)])
-            result = []
-            for i, t in enumerate(texts):
-                a, b = bounds[i], bounds[i + 1]
-                if a == b or not (t.isascii() or any(c.isalpha() for c in t)):
-                    result.append((UNKNOWN, 0.0, []))
-                    continue
-                own = path[a:b]
-                letters = np.bincount(own, weights=sizes[a:b], minlength=len(names))
-                k = int(letters.argmax())
-                cut = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), int(b - a)]
-                spans = [{"start": s, "end": e, "lang": names[own[s]]} for s, e in zip(cut[:-1], cut[1:])]
-                result.append((names[k], float(letters[k] / letters.sum()), spans))
-            return result
+            return [verdict(t, path[a:b], sizes[a:b]) for t, a, b in zip(texts, bounds[:-1], bounds[1:])]
+
+        def verdict(t: str, own: np.ndarray, sizes: np.ndarray) -> tuple:
+            if not len(own) or not (t.isascii() or any(c.isalpha() for c in t)):
+                return UNKNOWN, 0.0, []
+            letters = np.bincount(own, weights=sizes, minlength=len(names))
+            k = int(letters.argmax())
+            cut = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            spans = [{"start": s, "end": e, "lang": names[own[s]]} for s, e in zip(cut[:-1], cut[1:])]
+            return names[k], float(letters[k] / letters.sum()), spans
+
+        def judge_in_pieces(t: str, words: Words) -> tuple:
+            sizes = words.ends - words.starts
+            cost = np.cumsum(sizes + len(names))
+            cuts = np.flatnonzero(np.diff(cost // SCORES_AT_ONCE)) + 1
+            bounds = np.concatenate([[0], cuts, [len(sizes)]]) if len(sizes) else np.zeros(1, dtype=np.int64)
+            path = viterbi_in_pieces(lambda a, b: word_scores(model, words.part(slice(a, b))), bounds, len(names))
+            return verdict(t, path, sizes)
 
         for batch in batches:
             texts = batch.column(text).to_pylist()
@@ -230,6 +295,14 @@ def identify(documents: DataFrame, model: LanguageModel, text: str = "text") ->
                 if not names:
                     result += [(UNKNOWN, 0.0, [])] * words.n_rows
                     continue
+                if len(words.starts) * len(names) > SCORES_AT_ONCE or len(words.data) > BYTES_AT_ONCE:
+                    if held:
+                        n = sum(len(h[0]) for h in held)
+                        result += judge([t or "" for t in texts[len(result):len(result) + n]], held)
+                        held, waiting = [], 0
+                    for a, b in zip(words.row_bounds[:-1], words.row_bounds[1:]):
+                        result.append(judge_in_pieces(texts[len(result)] or "", words.part(slice(a, b))))
+                    continue
                 if len(words.starts):
                     scores = word_scores(model, words)
                 else:

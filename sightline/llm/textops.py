@@ -82,6 +82,10 @@ class Words:
     def n_rows(self) -> int:
         return len(self.bounds) - 1
 
+    def part(self, which: slice | np.ndarray) -> Words:
+        """Some of the words, of the same texts."""
+        return Words(self.first_row, self.data, self.bounds, self.starts[which], self.ends[which], self.rows[which], self.fold)
+
     @cached_property
     def hashes(self) -> np.ndarray:
         if not len(self.starts):

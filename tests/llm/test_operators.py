@@ -139,9 +139,10 @@ def brute_contamination(docs, bench):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("pass_words", [1_000_000, 20])
-def test_decontamination_brute_force(spark, edge_rows, pass_words, monkeypatch):
+@pytest.mark.parametrize("pass_words, piece_words", [(1_000_000, 50_000), (20, 50_000), (20, 4), (1_000_000, 1)])
+def test_decontamination_brute_force(spark, edge_rows, pass_words, piece_words, monkeypatch):
     monkeypatch.setattr(decontaminate, "PASS_WORDS", pass_words)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", piece_words)
     rng = random.Random(8)
     bench = [(1, sentence(rng, 25)), (2, "Short ITEM here"), (10, sentence(rng, 14)), (11, None), (12, ""), (2, sentence(rng, 12))]
     texts = [sentence(rng, 20) + " " + bench[0][1][30:] + "\n" + sentence(rng, 5), "x short item, HERE y", bench[2][1].upper() + " " + bench[5][1]]
@@ -158,6 +159,23 @@ def test_decontamination_brute_force(spark, edge_rows, pass_words, monkeypatch):
     assert decontaminate.find_contamination(docs, frame.limit(0)).where("size(hit_spans) > 0").count() == 0
 
 
+def test_decontamination_passes_of_a_very_long_text(spark, edge_rows, monkeypatch):
+    """Passes agree with one scan on a long text, on repeated rows, and on items longer than a pass."""
+    long = edge_rows[5][1]
+    bench = spark.createDataFrame(
+        [(1, " ".join(long.split()[500:900])), (2, " ".join(long.split()[29_980:])), (2, "twice the same row"), (3, "twice the same row")],
+        "item_id long, text string")
+    docs = documents(spark, edge_rows)
+    columns = ["doc_id", "text", "n_words", "hit_spans", "items"]
+    whole = decontaminate.find_contamination(docs, bench).select(columns).collect()
+    monkeypatch.setattr(decontaminate, "PASS_WORDS", 60)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 30)
+    assert sorted(decontaminate.find_contamination(docs, bench).select(columns).collect(), key=repr) == sorted(whole, key=repr)
+    by_id = {r.doc_id: r for r in whole}
+    assert by_id[6].hit_spans == [500, 900, 29_980, 30_000] and by_id[6].items == ["1", "2"]
+    assert by_id[7].items == ["2", "3"] and sum(r.doc_id == 7 for r in whole) == 2
+
+
 # Substring dedup ---------------------------------------------------------------
 
 def brute_substrings(rows, size=35):
@@ -441,6 +459,38 @@ def test_viterbi_brute_force():
         at += n
 
 
+def test_viterbi_in_pieces_is_viterbi():
+    rng = np.random.default_rng(2)
+    for n, languages in ((1, 1), (40, 3), (300, 5), (60, 400)):
+        scores = (rng.normal(size=(n, languages)) * 3).astype(np.float32)
+        whole = language_id.viterbi(scores, np.array([n]), 4.0)
+        for piece in (1, 7, n):
+            bounds = np.append(np.arange(0, n, piece), n)
+            assert np.array_equal(language_id.viterbi_in_pieces(lambda a, b: scores[a:b], bounds, languages, 4.0), whole)
+
+
+def test_language_of_long_texts_and_many_languages(spark, monkeypatch):
+    """Pieces of words and of bytes give what a whole text gives; more than 256 languages are told apart."""
+    rng = random.Random(15)
+    own = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for k in range(300)}
+    rows = [(k, " ".join(rng.choice(w) for _ in range(80)), lang, "a") for k, (lang, w) in enumerate(own.items())]
+    model = language_id.train(documents(spark, rows))
+    assert model.languages == sorted(own)
+    long = " ".join(rng.choice(own[f"l{k // 500:03d}"]) for k in range(2_000))
+    docs = documents(spark, [*rows, (1000, long, None, None), (1001, None, None, None), (1002, "", None, None), (1003, "".join(own["l007"]) * 30, None, None)])
+    columns = ["doc_id", "lang_pred", "score", "lang_spans"]
+    whole = {r.doc_id: r for r in language_id.identify(docs, model).select(columns).collect()}
+    assert all(whole[k].lang_pred == r[2] for k, r in enumerate(rows))
+    assert [(s.start, s.end, s.lang) for s in whole[1000].lang_spans] == [(500 * k, 500 * k + 500, f"l{k:03d}") for k in range(4)]
+    monkeypatch.setattr(language_id, "SCORES_AT_ONCE", 5_000)
+    assert {r.doc_id: r for r in language_id.identify(docs, model).select(columns).collect()} == whole
+    words = next(textops.word_groups(pa.array([f"ab {'xyz' * 50} c"]), language_id.LETTERS, textops.LOWER_ASCII))
+    expected = language_id.word_scores(model, words)
+    for size in (2, 3, 149, 150):
+        monkeypatch.setattr(language_id, "BYTES_AT_ONCE", size)
+        assert np.allclose(language_id.word_scores(model, words), expected, rtol=1e-5)
+
+
 def test_language_held_out_accuracy(spark):
     from sightline.llm.language_queries import op7
 
