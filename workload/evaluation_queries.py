@@ -136,6 +136,34 @@ def deduplicated_predictions(spark, sf):
         v.frames(spark, sf), doubled, v.splits(spark, sf), v.tags(spark, sf), v.lines(spark, sf), "val", True))
 
 
+CONTESTED = """
+SELECT f.*, p.pred_x, p.pred_y, p.pred_confidence,
+  sqrt((p.pred_x - f.label_x) * (p.pred_x - f.label_x) + (p.pred_y - f.label_y) * (p.pred_y - f.label_y)) AS raw_err
+FROM (SELECT * FROM frames JOIN splits USING (dive_id) WHERE split = 'val') f LEFT JOIN (
+  SELECT image_id, pred_x, pred_y, pred_confidence FROM (
+    SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY pred_confidence DESC, pred_x NULLS LAST, pred_y NULLS LAST) AS place FROM (
+      SELECT image_id, pred_x, pred_y, pred_confidence FROM predictions
+      UNION ALL SELECT image_id, pred_x - 1, pred_y + 1, pred_confidence + CASE WHEN image_id % 3 = 0 THEN 0.25 ELSE 0 END
+        FROM predictions WHERE image_id % 3 < 2
+      UNION ALL SELECT image_id, NULL, NULL, pred_confidence FROM predictions WHERE image_id % 5 = 0))
+  WHERE place = 1) p USING (image_id)
+"""
+
+
+@query("contested_predictions", metric_sql(CONTESTED, ""), ("frames", "predictions", "splits"), RATES)
+def contested_predictions(spark, sf):
+    """Copies that win by confidence, that tie and win by their point, and that tie but have no point."""
+    p, image = v.predictions(spark, sf), F.col("image_id")
+    copies = p.where(image % 3 < 2).withColumns({
+        "pred_x": F.col("pred_x") - F.lit(1), "pred_y": F.col("pred_y") + F.lit(1),
+        "pred_confidence": F.col("pred_confidence") + F.when(image % 3 == 0, F.lit(0.25)).otherwise(F.lit(0.0))})
+    nowhere = F.lit(None).cast("double")
+    pointless = p.where(image % 5 == 0).withColumns({"pred_x": nowhere, "pred_y": nowhere})
+    return mt.core_metrics(fr.join_predictions(
+        v.frames(spark, sf), p.unionByName(copies).unionByName(pointless), v.splits(spark, sf), v.tags(spark, sf),
+        v.lines(spark, sf), "val", True))
+
+
 @query("per_frame_table", """
 SELECT image_id, dive_id, split, wavelength, line_confidence >= 5 AS steady, is_positive, pred_x, pred_y, pred_confidence, raw_err AS err FROM per_frame
 """, ("per_frame",), "pred_x pred_y pred_confidence err")
